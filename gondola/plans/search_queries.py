@@ -131,7 +131,7 @@ scores AS (SELECT a.query_id, p.doc_id, round(sum(a.times * CASE p.field WHEN 'n
    * ln(1 + (s.n_docs - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / s.avg_dl))), 6) AS score
   FROM asked a JOIN postings p ON p.term = a.term JOIN dfs d ON d.field = p.field AND d.term = p.term
     JOIN stats s ON s.field = p.field GROUP BY a.query_id, p.doc_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank,
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank,
    count(*) OVER (PARTITION BY query_id) AS total FROM scores)"""
 
 
