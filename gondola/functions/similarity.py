@@ -14,7 +14,7 @@ EDIT_WEIGHT, WORD_WEIGHT = 0.6, 0.4
 
 def levenshtein_score(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
-    return F.coalesce(100 - 100 * F.levenshtein(a, b) / F.nullif(longest, F.lit(0)), F.lit(100.0))
+    return F.coalesce(100 - F.levenshtein(a, b) / F.nullif(longest, F.lit(0)) * 100, F.lit(100.0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -70,13 +70,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit-length vector; a zero vector stays as it is."""
-    with_norm = F.struct(v.alias("v"), norm(v).alias("n"))
-    return let(
-        with_norm,
-        lambda s: F.transform(
-            s["v"], lambda x: F.when(s["n"] == 0, x.cast("double")).otherwise(x.cast("double") / s["n"])
-        ),
-    )
+    scaled = F.struct(v.alias("v"), F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0)).alias("n"))
+    return let(scaled, lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"]))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:

@@ -6,12 +6,11 @@ the graph that joins vectors within cosine distance ``eps``.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.vectors import l2_normalize, norm
@@ -23,49 +22,56 @@ from gondola.session import cut_lineage
 _SLACK = 1e-12
 # Above this reach the leading coordinates of unit vectors tell hardly any apart.
 _GRID_REACH = 0.5
-_GRID_COORDINATES = 2
 
 
-def _grid(points: DataFrame, reach: float) -> tuple[DataFrame, list[str]]:
-    """Cells of width ``reach`` along the leading principal coordinates.
+def _place(points: DataFrame, reach: float) -> DataFrame:
+    """Add ``_k0`` (strip of width ``reach``) and ``_s1`` along two axes.
 
-    Projecting never lengthens a distance, so points within reach lie in the
-    same or in adjacent cells. The projection is a few vectors of fixed width.
+    Projecting on an axis never lengthens a distance, so points within reach lie
+    in the same or in adjacent strips and at most ``reach`` apart along ``_s1``.
+    The axes are the leading principal ones where strips can separate points.
     """
     if reach >= _GRID_REACH or points.isEmpty():
-        return points.withColumns({"_c0": F.lit(0), "_c1": F.lit(0), "_s0": F.get("unit", F.lit(0))}), ["_c0", "_c1"]
+        return points.withColumns({"_k0": F.lit(0), "_s1": F.get("unit", F.lit(0))})
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     typed = points.withColumn("_vector", array_to_vector("unit"))
-    model = PCA(k=_GRID_COORDINATES + 1, inputCol="_vector", outputCol="_projected").fit(typed)
+    model = PCA(k=2, inputCol="_vector", outputCol="_projected").fit(typed)
     placed = model.transform(typed).withColumn("_p", vector_to_array("_projected"))
-    width = reach * 1.0001
-    cells = {f"_c{i}": F.floor(F.get("_p", F.lit(i)) / width).cast("int") for i in range(_GRID_COORDINATES)}
-    return (
-        placed.withColumns({**cells, "_s0": F.get("_p", F.lit(_GRID_COORDINATES))}).drop("_vector", "_projected", "_p"),
-        ["_c0", "_c1"],
-    )
+    strip = F.floor(F.get("_p", F.lit(0)) / (reach * 1.0001)).cast("int")
+    return placed.withColumns({"_k0": strip, "_s1": F.get("_p", F.lit(1))}).drop("_vector", "_projected", "_p")
+
+
+def _tiles(points: DataFrame, store: list[str], reach: float) -> DataFrame:
+    """Tiles per store: strip by strip, along ``_s1`` inside a strip."""
+    placed = _place(points, reach)
+    return X.pack(placed, store, "id", "unit", ["_k0", "_s1", "id"], ["_k0", "_s1"])
+
 
+def _describe(packed: DataFrame, store: list[str]) -> DataFrame:
+    return X.describe(packed, *store, "ids", "_k0", "_s1").select(
+        *store, "tile_id", "centre", "radius",
+        F.array_min("ids").alias("least_id"),
+        F.array_min("_k0").alias("lo0"), F.array_max("_k0").alias("hi0"),
+        F.array_min("_s1").alias("lo1"), F.array_max("_s1").alias("hi1"),
+    )
 
-def _match_tiles(points: DataFrame, store: list[str], reach: float):
-    placed, cell = _grid(points, reach)
-    packed = X.pack(placed, [*store, *cell], "id", "unit", ["_s0", "id"])
-    return packed, cell
 
+def _near_tiles(small: DataFrame, store: list[str], reach: float, skip: Column | None = None) -> DataFrame:
+    """Pairs of tiles that can hold points within reach, each pair once.
 
-def _neighbours(tiles: DataFrame, cell: list[str]) -> DataFrame:
-    """Each tile once per adjacent cell, with ``_home`` for its own one."""
-    offsets = list(itertools.product((-1, 0, 1), repeat=len(cell)))
-    shifts = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{i}") for i, v in enumerate(o)]) for o in offsets]))
-    moved = tiles.withColumn("_d", shifts)
-    home = F.lit(True)
-    for i in range(len(cell)):
-        home = home & (F.col(f"_d.d{i}") == 0)
-    moved = moved.withColumn("_home", home)
-    for i, c in enumerate(cell):
-        moved = moved.withColumn(c, F.col(c) + F.col(f"_d.d{i}"))
-    return moved.drop("_d")
+    Tiles meet on (store, strip); the left one also stands in the strips next to
+    its own. The first strip two tiles share is the one that reports them.
+    """
+    left = small.withColumn("_strip", F.explode(F.sequence(F.col("lo0") - 1, F.col("hi0") + 1)))
+    right = small.withColumn("_strip", F.explode(F.sequence("lo0", "hi0")))
+    once = (F.col("a.tile_id") <= F.col("b.tile_id")) & (
+        F.col("a._strip") == F.greatest(F.col("a.lo0") - 1, F.col("b.lo0"))
+    )
+    close = (F.col("a.lo1") - F.col("b.hi1") <= reach + 1e-9) & (F.col("b.lo1") - F.col("a.hi1") <= reach + 1e-9)
+    condition = once & close if skip is None else once & close & ~skip
+    return X.pair(left, right, [*store, "_strip"], reach, condition)
 
 
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, store: list[str] | None = None) -> DataFrame:
@@ -78,7 +84,8 @@ def epsilon_self_join(
     """(id_a, id_b, similarity), id_a < id_b: all pairs within cosine distance eps."""
     store = store or []
     points = unit_vectors(df, id_col, vec_col, store).where(norm(F.col("unit")) > 0)
-    packed, cell = _match_tiles(points, store, math.sqrt(2 * eps))
+    reach = math.sqrt(2 * eps)
+    packed = _tiles(points, store, reach)
     low = 1 - eps - _SLACK
 
     def kernel(a: dict, b: dict) -> pd.DataFrame:
@@ -91,10 +98,7 @@ def epsilon_self_join(
             {"id_a": np.minimum(x, y), "id_b": np.maximum(x, y), "similarity": similarity[i, j]}
         )
 
-    small = X.describe(packed, *store, *cell)
-    pairs = X.pair(
-        _neighbours(small, cell), small, [*store, *cell], math.sqrt(2 * eps), F.col("a.tile_id") <= F.col("b.tile_id")
-    )
+    pairs = _near_tiles(_describe(packed, store), store, reach)
     return X.compare(pairs, packed, packed, kernel, "id_a long, id_b long, similarity double")
 
 
@@ -111,31 +115,30 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label_r, label_c = new_r, new_c
 
 
-def _linking_edges(packed: DataFrame, store: list[str], cell: list[str], eps: float) -> DataFrame:
+def _linking_edges(packed: DataFrame, store: list[str], eps: float) -> DataFrame:
     """Edges with the same components as the full epsilon graph.
 
     A tile pair yields at most one edge per point. Tiles that lie, together with
-    others of their cell, within half the reach of a common centre are mutually
-    connected: their points get one edge each and are not compared at all.
+    others of their neighbourhood, within half the reach of a common centre are
+    mutually connected: their points get one edge each and are not compared.
     """
     reach = math.sqrt(2 * eps)
     low = 1 - eps - _SLACK
-    key = [*store, *cell]
-    small = packed.select(*key, "tile_id", "centre", "radius", F.array_min("ids").alias("least_id"))
-    anchors = small.groupBy(*key).agg(F.min_by("centre", "tile_id").alias("anchor"))
-    marked = small.join(anchors, key).withColumn(
+    spot = [*store, "lo0", "_spot"]
+    small = _describe(packed, store).withColumn("_spot", F.floor(F.col("lo1") / reach))
+    anchors = small.groupBy(*spot).agg(F.min_by("centre", "tile_id").alias("anchor"))
+    marked = small.join(anchors, spot).withColumn(
         "core", X.distance(F.col("centre"), F.col("anchor")) + F.col("radius") <= reach / 2 - 1e-9
     )
     marked = cut_lineage(marked.drop("anchor"))
-    heads = marked.where("core").groupBy(*key).agg(F.min("least_id").alias("head"))
+    heads = marked.where("core").groupBy(*spot).agg(F.min("least_id").alias("head"))
     members = packed.select("tile_id", F.explode("ids").alias("dst"))
     stars = (
-        marked.where("core").join(heads, key).select("tile_id", F.col("head").alias("src"))
+        marked.where("core").join(heads, spot).select("tile_id", F.col("head").alias("src"))
         .join(members, "tile_id").select("src", "dst")
     )
-    left = _neighbours(marked, cell).where("not (_home and core)")
-    ordered = F.col("a.tile_id") <= F.col("b.tile_id")
-    pairs = X.pair(left, marked, key, reach, ordered | (F.col("a._home") & F.col("b.core")))
+    same_spot = (F.col("a.lo0") == F.col("b.lo0")) & (F.col("a._spot") == F.col("b._spot"))
+    pairs = _near_tiles(marked, store, reach, same_spot & F.col("a.core") & F.col("b.core"))
 
     def kernel(a: dict, b: dict) -> pd.DataFrame:
         linked = a["x"] @ b["x"].T >= low
@@ -160,8 +163,8 @@ def cluster_names(
     points = cut_lineage(unit_vectors(df, id_col, vec_col, store).withColumn("_zero", norm(F.col("unit")) == 0))
     directed = points.where("not _zero")
     distinct = cut_lineage(directed.groupBy(*store, "unit").agg(F.min("id").alias("id")))
-    packed, cell = _match_tiles(distinct, store, math.sqrt(2 * eps))
-    roots = components(distinct, _linking_edges(packed, store, cell, eps))
+    packed = _tiles(distinct, store, math.sqrt(2 * eps))
+    roots = components(distinct, _linking_edges(packed, store, eps))
     rooted = distinct.join(roots, "id").select(*store, "unit", "root")
     placed = directed.join(rooted, [*store, "unit"]).select(*store, "id", "root")
     alone = points.where("_zero").select(*store, "id", F.col("id").alias("root"))

@@ -1,3 +1,9 @@
 """Importing this module registers every query."""
 
-from gondola.plans import checkout_queries, cluster_queries, search_queries, text_queries  # noqa: F401
+from gondola.plans import (  # noqa: F401
+    catalogue_queries,
+    checkout_queries,
+    cluster_queries,
+    search_queries,
+    text_queries,
+)

@@ -128,7 +128,7 @@ def w4(t: Inputs):
 
 @query(
     "a17_cluster_counts",
-    f"+ {VECTORS}, {_edges()} SELECT count(DISTINCT root) AS n_clusters, 0 AS n_noise FROM roots",
+    f"+ {VECTORS}, {_edges()} SELECT count(DISTINCT root) AS n_clusters, CAST(0 AS BIGINT) AS n_noise FROM roots",
     recursive=True,
 )
 def a17(t: Inputs):

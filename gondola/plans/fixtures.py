@@ -77,8 +77,8 @@ _view(
     """
 SELECT CAST(s_suppkey AS INT) AS store_id,
        CAST(CAST((s_suppkey * 7919) % 50000 AS DECIMAL(18,3)) / 1000 AS DECIMAL(10,2)) AS distance_km,
-       CAST({half_even}(CAST((s_suppkey * 31) % 5400 AS DOUBLE) / 60) AS INT) AS duration_min
-FROM supplier WHERE s_suppkey % 10 <> 9""",
+       {half_even} AS duration_min
+FROM supplier WHERE s_acctbal > 0""",
 )
 _view(
     "raw_listings",
@@ -156,6 +156,75 @@ SELECT CAST(product_id AS BIGINT) * 10000000 + store_id AS store_product_id, sto
 FROM offers_raw""",
     uses=("offers_raw",),
 )
+# Catalogue before a merge: the offers seen up to a date, families with vectors.
+_view(
+    "old_offers",
+    """
+SELECT CAST(l_partkey AS BIGINT) * 10000000 + l_suppkey AS store_product_id, CAST(l_suppkey AS INT) AS store_id,
+       CAST(l_partkey AS INT) AS product_id, CAST(l_partkey AS INT) AS ref_id, concat('old ', CAST(l_partkey AS VARCHAR(12))) AS name,
+       CAST(min(l_extendedprice) AS DECIMAL(18,2)) AS price, CAST(max(l_extendedprice) AS DECIMAL(18,2)) AS old_price,
+       'old link' AS link, 'old cart' AS cart_link, 'old image' AS image_url
+FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01 00:00:00' GROUP BY l_partkey, l_suppkey""",
+)
+_view(
+    "family_vectors",
+    """
+SELECT f.family_id, f.brand_id, f.name, {doubles} AS embedded_name
+FROM families f JOIN embeddings e ON e.vec_id = f.family_id % 500""",
+    uses=("families",),
+)
+_view(
+    "gold_members",
+    """
+SELECT o.store_id, CASE f.brand_id % 5 WHEN 0 THEN concat('brand-', CAST(f.brand_id - 1 AS VARCHAR(12)))
+         WHEN 1 THEN concat('brand-', CAST(f.brand_id - 1 AS VARCHAR(12)), '-sa')
+         WHEN 2 THEN concat('brnd-', CAST(f.brand_id - 1 AS VARCHAR(12)))
+         WHEN 3 THEN concat('brand ', CAST(f.brand_id - 1 AS VARCHAR(12)))
+         ELSE concat('zq-', CAST(f.brand_id - 1 AS VARCHAR(12))) END AS brand,
+       CAST(f.family_id AS BIGINT) AS cluster, f.family_id, f.brand_id, f.name AS family_name,
+       CASE WHEN o.product_id % 4 = 0 THEN p.weight + 1 ELSE p.weight END AS weight, p.measure,
+       CAST(o.store_id AS BIGINT) * 1000000000 + o.product_id AS row_id, p.name, o.product_id, o.price, o.old_price
+FROM offers_raw o JOIN products p ON p.product_id = o.product_id JOIN families f ON f.family_id = p.family_id""",
+    uses=("offers_raw", "families", "products"),
+)
+_view(
+    "gold_families",
+    """
+SELECT g.store_id, g.brand, g.cluster,
+       CASE WHEN g.family_id % 6 = 5 THEN concat('zzz ', g.family_name) ELSE concat(g.family_name, ' extra') END AS name,
+       {perturbed} AS embedded_name
+FROM (SELECT DISTINCT store_id, brand, cluster, family_id, family_name FROM gold_members) g
+  JOIN embeddings e ON e.vec_id = CASE WHEN g.family_id % 7 = 0 THEN (g.family_id + 1) % 500 ELSE g.family_id % 500 END""",
+    uses=("gold_members",),
+)
+_view(
+    "gold_variations",
+    """
+SELECT store_id, brand, cluster, weight, measure, min(name) AS name, concat('img ', min(name)) AS image_url
+FROM gold_members GROUP BY store_id, brand, cluster, weight, measure""",
+    uses=("gold_members",),
+)
+_view(
+    "gold_sellers",
+    """
+SELECT store_id, brand, cluster, weight, measure, row_id, price + 1 AS price, old_price, 'new link' AS link,
+       'new cart' AS cart_link, CAST(product_id AS VARCHAR(12)) AS ref_id
+FROM gold_members""",
+    uses=("gold_members",),
+)
+
+# Fragments that the two engines spell differently.
+_SPELLING = {
+    "half_even": (
+        "CAST(bround(CAST((s_suppkey * 31) % 5400 AS DOUBLE) / 60) AS INT)",
+        "CAST(round_even(CAST((s_suppkey * 31) % 5400 AS DOUBLE) / 60, 0) AS INT)",
+    ),
+    "doubles": ("CAST(e.embedding AS ARRAY<DOUBLE>)", "CAST(e.embedding AS DOUBLE[])"),
+    "perturbed": (
+        "transform(e.embedding, (x, i) -> CAST(x AS DOUBLE) + (i % 5 - 2) * 0.02D)",
+        "list_transform(e.embedding, lambda x, i: CAST(x AS DOUBLE) + ((i - 1) % 5 - 2) * CAST(0.02 AS DOUBLE))",
+    ),
+}
 
 
 def _ordered(names: tuple[str, ...]) -> list[str]:
@@ -168,11 +237,9 @@ def _ordered(names: tuple[str, ...]) -> list[str]:
 
 
 def view_sql(name: str, engine: str) -> str:
-    half_even = "bround" if engine == "spark" else "round_even"
-    text = VIEWS[name].replace("{half_even}", half_even)
-    if engine == "duckdb":
-        text = text.replace("round_even(CAST((s_suppkey * 31) % 5400 AS DOUBLE) / 60)",
-                            "round_even(CAST((s_suppkey * 31) % 5400 AS DOUBLE) / 60, 0)")
+    text = VIEWS[name]
+    for mark, (spark, duckdb) in _SPELLING.items():
+        text = text.replace("{" + mark + "}", spark if engine == "spark" else duckdb)
     return text
 
 
