@@ -308,7 +308,7 @@ def c3(t: Inputs):
 
 @query(
     "c4_insert_store_products",
-    f"""+ {SEED} SELECT store_id, product_id, CAST(o[1] AS INT) AS ref_id, CAST(o[2] AS DECIMAL(18,2)) AS price FROM seed_offers""",
+    f"""+ {SEED} SELECT store_id, CAST(product_id AS INT) AS product_id, CAST(o[1] AS INT) AS ref_id, CAST(o[2] AS DECIMAL(18,2)) AS price FROM seed_offers""",
     GOLD,
 )
 def c4(t: Inputs):
