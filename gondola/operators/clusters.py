@@ -39,7 +39,7 @@ def _place(points: DataFrame, reach: float) -> DataFrame:
     typed = points.withColumn("_vector", array_to_vector("unit"))
     model = PCA(k=2, inputCol="_vector", outputCol="_projected").fit(typed)
     placed = model.transform(typed).withColumn("_p", vector_to_array("_projected"))
-    strip = F.floor(F.get("_p", F.lit(0)) / (reach * 1.0001)).cast("int")
+    strip = F.floor(F.get("_p", F.lit(0)) / (reach * 1.0001) + 0.5).cast("int")
     return placed.withColumns({"_k0": strip, "_s1": F.get("_p", F.lit(1))}).drop("_vector", "_projected", "_p")
 
 
@@ -119,26 +119,39 @@ def _linking_edges(packed: DataFrame, store: list[str], eps: float) -> DataFrame
     """Edges with the same components as the full epsilon graph.
 
     A tile pair yields at most one edge per point. Tiles that lie, together with
-    others of their neighbourhood, within half the reach of a common centre are
-    mutually connected: their points get one edge each and are not compared.
+    others of their spot, within half the reach of a common anchor are mutually
+    connected: their points get one edge each and are not compared. Two spots
+    whose anchors and spans fit into the reach are joined by one more edge.
     """
     reach = math.sqrt(2 * eps)
     low = 1 - eps - _SLACK
     spot = [*store, "lo0", "_spot"]
-    small = _describe(packed, store).withColumn("_spot", F.floor(F.col("lo1") / reach))
+    small = _describe(packed, store).withColumn("_spot", F.floor(F.col("lo1") / reach + 0.5))
     anchors = small.groupBy(*spot).agg(F.min_by("centre", "tile_id").alias("anchor"))
-    marked = small.join(anchors, spot).withColumn(
-        "core", X.distance(F.col("centre"), F.col("anchor")) + F.col("radius") <= reach / 2 - 1e-9
+    reached = small.join(anchors, spot).withColumn(
+        "_span", X.distance(F.col("centre"), F.col("anchor")) + F.col("radius")
     )
-    marked = cut_lineage(marked.drop("anchor"))
-    heads = marked.where("core").groupBy(*spot).agg(F.min("least_id").alias("head"))
+    reached = reached.withColumn("core", F.col("_span") <= reach / 2 - 1e-9)
+    heads = cut_lineage(
+        reached.where("core").groupBy(*spot, "anchor").agg(F.min("least_id").alias("head"), F.max("_span").alias("span"))
+    )
+    marked = cut_lineage(reached.drop("_span", "anchor").join(heads, spot, "left"))
     members = packed.select("tile_id", F.explode("ids").alias("dst"))
     stars = (
-        marked.where("core").join(heads, spot).select("tile_id", F.col("head").alias("src"))
-        .join(members, "tile_id").select("src", "dst")
+        marked.where("core").select("tile_id", F.col("head").alias("src")).join(members, "tile_id").select("src", "dst")
     )
-    same_spot = (F.col("a.lo0") == F.col("b.lo0")) & (F.col("a._spot") == F.col("b._spot"))
-    pairs = _near_tiles(marked, store, reach, same_spot & F.col("a.core") & F.col("b.core"))
+
+    def fits(a: str, b: str) -> Column:
+        gap = X.distance(F.col(f"{a}.anchor"), F.col(f"{b}.anchor"))
+        return gap + F.col(f"{a}.span") + F.col(f"{b}.span") <= reach - 1e-9
+
+    near = heads.withColumn("_strip", F.explode(F.sequence(F.col("lo0") - 1, F.col("lo0") + 1))).alias("a")
+    on = (F.col("a._strip") == F.col("b.lo0")) & (F.col("a.head") < F.col("b.head")) & fits("a", "b")
+    for s in store:
+        on = on & (F.col(f"a.{s}") == F.col(f"b.{s}"))
+    bridges = near.join(heads.alias("b"), on).select(F.col("a.head").alias("src"), F.col("b.head").alias("dst"))
+    skip = F.col("a.core") & F.col("b.core") & fits("a", "b")
+    pairs = _near_tiles(marked, store, reach, skip)
 
     def kernel(a: dict, b: dict) -> pd.DataFrame:
         linked = a["x"] @ b["x"].T >= low
@@ -148,7 +161,8 @@ def _linking_edges(packed: DataFrame, store: list[str], eps: float) -> DataFrame
         dst = np.concatenate([a["ids"][label_a], a["ids"][label_b[hit]]])
         return pd.DataFrame({"src": src[src != dst], "dst": dst[src != dst]})
 
-    return stars.unionByName(X.compare(pairs, packed, packed, kernel, "src long, dst long"))
+    compared = X.compare(pairs, packed, packed, kernel, "src long, dst long")
+    return stars.unionByName(bridges).unionByName(compared)
 
 
 def cluster_names(
