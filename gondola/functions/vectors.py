@@ -33,30 +33,39 @@ def hashed_embedding(text: Column, dims: int = 64) -> Column:
     )
 
 
-def embed_names(
-    df: DataFrame,
-    name: str = "name",
-    out: str = "embedded_name",
-    stopwords: Iterable[str] | None = None,
-    model: Callable[[pd.Series], list] | None = None,
-) -> DataFrame:
-    """Add a vector per name.
+def clean_names(name: Column, stopwords: Iterable[str] | None = None) -> Column:
+    """The text of a name that its vector is made from."""
+    return remove_stopwords(name, portuguese_stopwords() if stopwords is None else stopwords)
+
+
+def embed_texts(df: DataFrame, text: str, out: str, model: Callable[[pd.Series], list] | None = None) -> DataFrame:
+    """Add a vector per cleaned text.
 
-    Without a model the words of the name are hashed and the result has unit
-    length. With one, ``model`` gets Arrow batches of cleaned names and returns
-    one vector per name.
+    Without a model the words are hashed and the result has unit length. With
+    one, ``model`` gets Arrow batches of texts and returns one vector per text.
     """
-    stop = portuguese_stopwords() if stopwords is None else stopwords
-    cleaned = remove_stopwords(F.col(name), stop)
     if model is None:
-        return df.withColumn(out, l2_normalize(hashed_embedding(cleaned)))
+        return df.withColumn(out, l2_normalize(hashed_embedding(F.col(text))))
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([list(map(float, v)) for v in model(batch)])
 
-    return df.withColumn(out, run(cleaned))
+    return df.withColumn(out, run(F.col(text)))
+
+
+def embed_names(
+    df: DataFrame,
+    name: str = "name",
+    out: str = "embedded_name",
+    stopwords: Iterable[str] | None = None,
+    model: Callable[[pd.Series], list] | None = None,
+) -> DataFrame:
+    """Add a vector per name; each distinct cleaned name is embedded once."""
+    cleaned = df.withColumn("_text", clean_names(F.col(name), stopwords))
+    vectors = embed_texts(cleaned.select("_text").distinct(), "_text", out, model)
+    return cleaned.join(vectors, "_text").drop("_text")
 
 
 def _dot(a: Column, b: Column) -> Column:

@@ -243,7 +243,7 @@ def upsert_store_products(offers: DataFrame, store_products: DataFrame) -> DataF
 def match_gold(gold: Gold, old: Catalogue, threshold: float = 50.0, similarity: float = 0.9):
     """(offers of listed rows, families to insert with family_id, ignored families)."""
     slugs = gold.families.select(F.col("brand").alias("slug"))
-    brand = match_brand(slugs, old.brands, threshold).select(F.col("slug").alias("brand"), "brand_id")
+    brand = cut_lineage(match_brand(slugs, old.brands, threshold).select(F.col("slug").alias("brand"), "brand_id"))
     branded = cut_lineage(gold.families.join(brand, "brand"))
     offers = batch_offers(gold).join(branded.select(*FAMILY), FAMILY, "left_semi")
     listed = cut_lineage(existing_listings(offers, old.store_products))

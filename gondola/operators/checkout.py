@@ -88,7 +88,25 @@ def covers_whole_cart(offers: DataFrame, carts: DataFrame) -> DataFrame:
 
 
 def full_offers(carts: DataFrame, store_products: DataFrame) -> DataFrame:
-    return covers_whole_cart(offer_by_store(cart_offers(carts, store_products)), carts)
+    """Totals of the stores that hold a whole cart.
+
+    Same rows as ``covers_whole_cart(offer_by_store(cart_offers(..)))``, planned
+    for size: the cart's size travels with its lines, so incomplete offers are
+    dropped where they are summed and never shuffled again, and money is summed
+    in whole cents.
+    """
+    sizes = carts.groupBy("cart_id").agg(F.count(F.lit(1)).alias("_size"))
+    cents = store_products.select("store_id", "product_id", (F.col("price").cast("decimal(18,2)") * 100).cast("long").alias("_cents"))
+    lines = carts.select("cart_id", "product_id", F.col("quantity").cast("long").alias("_quantity")).join(sizes, "cart_id")
+    summed = (
+        lines.join(cents, "product_id")
+        .groupBy("cart_id", "store_id", "_size")
+        .agg(F.sum(F.col("_quantity") * F.col("_cents")).alias("_total"), F.count(F.lit(1)).alias("n_items"))
+        .where("n_items = _size")
+    )
+    return summed.select(
+        "cart_id", "store_id", (F.col("_total").cast("decimal(36,0)") / 100).cast(MONEY).alias("total_cost"), "n_items"
+    )
 
 
 def cheapest_single_store(carts: DataFrame, store_products: DataFrame) -> DataFrame:

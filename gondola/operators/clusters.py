@@ -174,15 +174,18 @@ def cluster_names(
     part in comparisons. A zero vector has no direction and stays alone.
     """
     store = store or []
-    points = cut_lineage(unit_vectors(df, id_col, vec_col, store).withColumn("_zero", norm(F.col("unit")) == 0))
-    directed = points.where("not _zero")
-    distinct = cut_lineage(directed.groupBy(*store, "unit").agg(F.min("id").alias("id")))
-    packed = _tiles(distinct, store, math.sqrt(2 * eps))
-    roots = components(distinct, _linking_edges(packed, store, eps))
-    rooted = distinct.join(roots, "id").select(*store, "unit", "root")
-    placed = directed.join(rooted, [*store, "unit"]).select(*store, "id", "root")
-    alone = points.where("_zero").select(*store, "id", F.col("id").alias("root"))
-    return placed.unionByName(alone)
+    points = df.select(*store, F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    copies = points.groupBy(*store, "vec").agg(F.min("id").alias("rep"))
+    distinct = cut_lineage(copies.withColumn("unit", l2_normalize(F.col("vec"))))
+    directed = distinct.select(*store, F.col("rep").alias("id"), "unit").where(norm(F.col("unit")) > 0)
+    packed = _tiles(directed, store, math.sqrt(2 * eps))
+    roots = components(directed, _linking_edges(packed, store, eps)).select(F.col("id").alias("rep"), "root")
+    rooted = distinct.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    first = rooted.select(*store, F.col("rep").alias("id"), "root")
+    # Only further copies have to look their vector up.
+    others = points.join(first.select("id"), "id", "left_anti")
+    copied = others.join(rooted.drop("rep", "unit"), [*store, "vec"]).select(*store, "id", "root")
+    return cut_lineage(first.unionByName(copied))
 
 
 def cluster_number(roots: DataFrame, store: list[str] | None = None) -> DataFrame:
@@ -261,13 +264,9 @@ def silhouette(df: DataFrame, id_col: str, vec_col: str, label: str) -> DataFram
     )
     a = F.col("inside") / F.nullif(F.col("own_size") - 1, F.lit(0))
     value = F.coalesce((F.col("b") - a) / F.nullif(F.greatest(a, F.col("b")), F.lit(0.0)), F.lit(0.0))
-    facts = sizes.agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("n"))
-    # Both sides are one row.
-    return (
-        per_point.agg(F.avg(value).alias("score"))
-        .join(F.broadcast(facts))
-        .select(F.when((F.col("k") > 1) & (F.col("k") < F.col("n")), F.col("score")).alias("silhouette"))
-    )
+    k, n = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    defined = F.lit(1 < k < n)
+    return per_point.agg(F.avg(F.when(defined, value)).alias("silhouette"))
 
 
 def davies_bouldin(df: DataFrame, vec_col: str, label: str) -> DataFrame:

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.functions.vectors import embed_names
+from gondola.functions.vectors import clean_names, embed_texts
 from gondola.operators.clusters import cluster_names, cluster_number
 from gondola.operators.lists import LIST_ROWS, nest
 from gondola.operators.numbering import number_rows
@@ -34,10 +34,10 @@ def group_families(listings: DataFrame) -> DataFrame:
     return listings.where("brand is not null and cluster is not null")
 
 
-def representative(members: DataFrame) -> DataFrame:
-    """First name and vector of every family."""
-    first = F.min_by(F.struct("name", "embedded_name"), "row_id").alias("f")
-    return members.groupBy(*FAMILY).agg(first).select(*FAMILY, "f.*")
+def representative(members: DataFrame, *columns: str) -> DataFrame:
+    """First row of every family: its name and the other given columns."""
+    first = members.groupBy(*FAMILY).agg(F.min_by(F.struct("name", *columns), "row_id").alias("_first"))
+    return first.select(*FAMILY, "_first.*")
 
 
 def group_variations(members: DataFrame) -> DataFrame:
@@ -65,16 +65,24 @@ def with_row_ids(silver: DataFrame) -> DataFrame:
 
 
 def build_gold(silver: DataFrame, eps: float = 0.01, model=None, stopwords=None) -> Gold:
-    """Cluster the names of each store and group listings by (brand, cluster)."""
+    """Cluster the names of each store and group listings by (brand, cluster).
+
+    A name's vector depends on its cleaned text alone, so vectors exist per
+    distinct text only: listings carry the text, never the vector, and equal
+    texts of a store are one point of the clustering.
+    """
     priced = drop_unpriced(silver)
     numbered = priced if "row_id" in silver.columns else with_row_ids(priced)
-    if "embedded_name" not in silver.columns:
-        numbered = embed_names(numbered, stopwords=stopwords, model=model)
-    listings = cut_lineage(numbered)
-    roots = cluster_names(listings, "row_id", "embedded_name", eps, ["store_id"])
-    labels = cluster_number(roots, ["store_id"]).select(F.col("id").alias("row_id"), "cluster")
-    members = cut_lineage(group_families(listings.join(labels, "row_id")))
-    return Gold(representative(members), group_variations(members), sellers(members))
+    listings = cut_lineage(numbered.withColumn("_text", clean_names(F.col("name"), stopwords)))
+    points = listings.groupBy("store_id", "_text").agg(F.min("row_id").alias("id"))
+    vectors = cut_lineage(embed_texts(points.select("_text").distinct(), "_text", "embedded_name", model))
+    placed = cut_lineage(points.join(vectors, "_text"))
+    roots = cluster_names(placed, "id", "embedded_name", eps, ["store_id"])
+    numbers = cluster_number(roots, ["store_id"]).select("id", "cluster")
+    by_text = placed.select("store_id", "_text", "id").join(numbers, "id").drop("id")
+    members = cut_lineage(group_families(listings.join(by_text, ["store_id", "_text"])))
+    families = representative(members, "_text").join(vectors, "_text").drop("_text")
+    return Gold(families, group_variations(members), sellers(members))
 
 
 def nest_gold(gold: Gold, rows: int = LIST_ROWS) -> DataFrame:

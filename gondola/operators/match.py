@@ -101,12 +101,11 @@ def match_family(
     compared tile by tile, so one brand may hold any share of the rows.
     """
     rounded = l2_normalize(vector_literal(F.col("embedded_name")))
-    asked = cut_lineage(
-        listings.select(
-            F.col(id_col).cast("long").alias("id"), "brand_id", F.get(get_words(F.col("name")), F.lit(0)).alias("word"), rounded.alias("unit")
-        ).where("word is not null and brand_id is not null").where(norm(F.col("unit")) > 0)
-    )
-    unique = cut_lineage(asked.groupBy("brand_id", "word", "unit").agg(F.min("id").alias("rep")))
+    asked = listings.select(
+        F.col(id_col).cast("long").alias("id"), "brand_id", F.get(get_words(F.col("name")), F.lit(0)).alias("word"), "embedded_name"
+    ).where("word is not null and brand_id is not null")
+    copies = asked.groupBy("brand_id", "word", "embedded_name").agg(F.min("id").alias("rep"))
+    unique = cut_lineage(copies.withColumn("unit", rounded))
     blocks = unique.select("brand_id", "word").distinct()
     offered = (
         families.select("family_id", "brand_id", F.explode(_prefixes(F.col("name"))).alias("word"), "embedded_name")
@@ -115,8 +114,9 @@ def match_family(
         .where(norm(F.col("unit")) > 0)
     )
     block = ["brand_id", "word"]
-    left = X.pack(unique.withColumn("_s", F.get("unit", F.lit(0))), block, "rep", "unit", ["_s", "rep"])
-    right = X.pack(offered.withColumn("_s", F.get("unit", F.lit(0))), block, "family_id", "unit", ["_s", "family_id"])
+    first = F.get("unit", F.lit(0))
+    left = X.pack(unique.where(norm(F.col("unit")) > 0).withColumn("_s", first), block, "rep", "unit", ["_s", "rep"])
+    right = X.pack(offered.withColumn("_s", first), block, "family_id", "unit", ["_s", "family_id"])
     low = similarity - 1e-12
 
     def kernel(a: dict, b: dict) -> pd.DataFrame:
@@ -131,8 +131,8 @@ def match_family(
     best = found.groupBy("rep").agg(
         F.max_by(F.struct("family_id", "similarity"), F.struct("similarity", -F.col("family_id"))).alias("m")
     )
-    chosen = unique.join(best, "rep").select(*block, "unit", "m.family_id", "m.similarity")
-    return asked.join(chosen, [*block, "unit"]).select(F.col("id").alias(id_col), "family_id", "similarity")
+    chosen = unique.join(best, "rep").select(*block, "embedded_name", "m.family_id", "m.similarity")
+    return asked.join(chosen, [*block, "embedded_name"]).select(F.col("id").alias(id_col), "family_id", "similarity")
 
 
 def existing_listings(sellers: DataFrame, store_products: DataFrame) -> DataFrame:

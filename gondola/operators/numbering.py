@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.session import cut_lineage
@@ -11,7 +11,7 @@ from gondola.session import cut_lineage
 _LOCAL_BITS = 33
 
 
-def number_rows(df: DataFrame, order_by: list[str], name: str, start: int | Column = 0) -> DataFrame:
+def number_rows(df: DataFrame, order_by: list[str], name: str, start: int = 0) -> DataFrame:
     """Add ``name`` = start, start+1, ... in the order of ``order_by``.
 
     Rows are range partitioned, sorted inside each partition and numbered
@@ -30,22 +30,18 @@ def number_rows(df: DataFrame, order_by: list[str], name: str, start: int | Colu
         .count()
         .select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))
     )
-    first = start if isinstance(start, Column) else F.lit(start)
     local = F.col("_mono") - F.shiftleft(F.col("_part"), _LOCAL_BITS)
     return (
         kept.join(F.broadcast(offsets), "_part")
-        .withColumn(name, (first + F.col("_offset") + local).cast("long"))
+        .withColumn(name, (F.lit(start) + F.col("_offset") + local).cast("long"))
         .drop("_mono", "_part", "_offset")
     )
 
 
 def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str, order_by: list[str]) -> DataFrame:
-    """Number ``new_rows`` above the largest id already in ``existing``."""
-    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_top"))
-    numbered = number_rows(new_rows, order_by, id_col, start=1)
-    # ``top`` is one row by construction.
-    return (
-        numbered.join(F.broadcast(top))
-        .withColumn(id_col, F.col(id_col) + F.col("_top"))
-        .drop("_top")
-    )
+    """Number ``new_rows`` above the largest id already in ``existing``.
+
+    That id is the only value that reaches the driver.
+    """
+    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]
+    return number_rows(new_rows, order_by, id_col, start=top + 1)
