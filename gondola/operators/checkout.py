@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gondola.functions.routes import first_leg, meters_to_km, parse_duration_min
 from gondola.operators.lists import LIST_ROWS, nest
+from gondola.session import cut_lineage
 
 MONEY = "decimal(38,2)"
 
@@ -198,11 +199,14 @@ def cheapest_per_item_with_distance(
 
 
 def cart_result(carts: DataFrame, store_products: DataFrame, distances: DataFrame) -> DataFrame:
-    """The four answers per cart, one row per (cart, answer, store)."""
+    """The four answers per cart, one row per (cart, answer, store).
+
+    Both kinds of offers feed two answers each, so they are written once.
+    """
     none_km, none_min = F.lit(None).cast("decimal(10,2)"), F.lit(None).cast("int")
     columns = ["cart_id", "answer", "store_id", "total_cost", "n_items", "distance_km", "duration_min"]
-    full = full_offers(carts, store_products)
-    split = cheapest_per_item(carts, store_products)
+    full = cut_lineage(full_offers(carts, store_products))
+    split = cut_lineage(cheapest_per_item(carts, store_products))
     parts = {
         "best_single_store": _best(full, ["total_cost", "store_id"], ["n_items"]),
         "best_per_item_stores": split,
