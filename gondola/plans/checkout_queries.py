@@ -229,7 +229,7 @@ def j9(t: Inputs):
 @query(
     "f36_first_leg",
     """SELECT CAST(s_suppkey AS INT) AS store_id,
-         CAST(round(((s_suppkey * 7919) % 50000) / 1000.0, 2) AS DECIMAL(10,2)) AS distance_km,
+         CAST(round(CAST((s_suppkey * 7919) % 50000 AS DECIMAL(18,3)) * 0.001, 2) AS DECIMAL(10,2)) AS distance_km,
          CAST(round_even(((s_suppkey * 31) % 5400) / 60.0, 0) AS INT) AS duration_min FROM supplier""",
 )
 def f36(t: Inputs):
@@ -252,7 +252,7 @@ def f34(t: Inputs):
 
 @query(
     "f35_meters_to_km",
-    "SELECT o_orderkey, CAST(round(o_totalprice / 1000, 2) AS DECIMAL(10,2)) AS km FROM orders",
+    "SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 0.001, 2) AS DECIMAL(10,2)) AS km FROM orders",
 )
 def f35(t: Inputs):
     return t.orders.select("o_orderkey", R.meters_to_km(F.col("o_totalprice")).alias("km"))

@@ -76,7 +76,7 @@ _view(
     "distances",
     """
 SELECT CAST(s_suppkey AS INT) AS store_id,
-       CAST(CAST((s_suppkey * 7919) % 50000 AS DECIMAL(18,3)) / 1000 AS DECIMAL(10,2)) AS distance_km,
+       CAST(round(CAST((s_suppkey * 7919) % 50000 AS DECIMAL(18,3)) * 0.001, 2) AS DECIMAL(10,2)) AS distance_km,
        {half_even} AS duration_min
 FROM supplier WHERE s_acctbal > 0""",
 )
