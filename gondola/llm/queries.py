@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from gondola.llm import span_queries, token_queries  # noqa: F401
+from gondola.llm import dedup_queries, span_queries, token_queries  # noqa: F401
 from gondola.llm.registry import ORACLES, QUERIES  # noqa: F401
