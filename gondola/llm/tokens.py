@@ -1,10 +1,11 @@
 """Token ids of whole texts with a public tokenizer, inside tasks.
 
-A text is cut where the tokenizer's own pre-tokenization always cuts: before a
-single blank that follows and precedes other characters, and around other white
-space. The units between these cuts are encoded by the library once and kept, so
-its cost follows the vocabulary of a task and not its text. Texts with white
-space beyond ASCII or with the string of a special token are encoded whole.
+A text is cut where the tokenizer's own pre-tokenization always cuts: around white
+space (a single blank stays with what follows) and between letters and the signs
+that end a word. The units between these cuts are encoded by the library once and
+kept, so its cost follows the vocabulary of a task and not its text; a unit that is
+one pre-token goes to the library's model directly. Texts with white space beyond
+ASCII or with the string of a special token are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,48 +16,69 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Units a worker keeps before it starts anew.
-CACHE_UNITS = 400_000
+#: Units a worker keeps before it lets go of those it has not met lately.
+CACHE_UNITS = 500_000
 #: Characters encoded by one call of the library.
 CALL_CHARS = 200_000
 
-_UNIT = re.compile(r"\s+(?!\S)| ?\S+|\s", re.ASCII)
-_WHOLE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Only letters that every version of Unicode calls letters; signs without the apostrophe, which starts contractions.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+_UNIT = re.compile(
+    rf" ?[{_LETTERS}]+(?=[{_SIGNS}]*(?!\S))|(?<=[{_LETTERS}])[{_SIGNS}]+(?!\S)|\s+(?!\S)| ?\S+|\s", re.ASCII
+)
+_SINGLE = re.compile(rf" ?[{_LETTERS}]+|[{_SIGNS}]+", re.ASCII)
+_WHOLE = re.compile("[\x85\xa0 ᠎ -     　]")
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Printable bytes stand for themselves, the others for the characters from 256 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def _load(path: str) -> Callable[[list[str]], list[bytes]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model, letters = tokenizer.model, _byte_letters()
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
     known: dict[str, bytes] = {}
 
-    def encode_units(units: list[str]) -> list[bytes]:
-        found: list[bytes] = []
+    def encode_units(units: list[str]) -> None:
         call: list[str] = []
         size = 0
-        for unit in [*units, None]:
-            if unit is None or size > CALL_CHARS:
-                encoded = tokenizer.encode_batch_fast(call, add_special_tokens=False)
-                found += [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        for unit in units:
+            if _SINGLE.fullmatch(unit):
+                tokens = model.tokenize(unit.encode().decode("latin-1").translate(letters))
+                known[unit] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+                continue
+            call.append(unit)
+            size += len(unit)
+            if size > CALL_CHARS:
+                encode_call(call)
                 call, size = [], 0
-            if unit is not None:
-                call.append(unit)
-                size += len(unit)
-        return found
+        if call:
+            encode_call(call)
+
+    def encode_call(units: list[str]) -> None:
+        for unit, e in zip(units, tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True):
+            known[unit] = np.array(e.ids, "<u4").tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
+        cut = [
+            [text] if _WHOLE.search(text) or special.search(text) else _UNIT.findall(text) for text in texts
+        ]
+        met = {u for units in cut for u in units}
+        encode_units([u for u in met if u not in known])
+        ids = [b"".join([known[u] for u in units]) for units in cut]
         if len(known) > CACHE_UNITS:
-            known.clear()
-        cut: list[list[str]] = []
-        for text in texts:
-            whole = _WHOLE.search(text) or any(s in text for s in specials)
-            cut.append([text] if whole else _UNIT.findall(text))
-        unseen = list({u for units in cut for u in units if u not in known})
-        known.update(zip(unseen, encode_units(unseen), strict=True))
-        return [b"".join([known[u] for u in units]) for units in cut]
+            for unit in known.keys() - met:
+                del known[unit]
+        return ids
 
     return encode
 
