@@ -22,12 +22,12 @@ CACHE_UNITS = 500_000
 CALL_CHARS = 200_000
 
 # Only letters that every version of Unicode calls letters; signs without the apostrophe, which starts contractions.
-_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
 _UNIT = re.compile(
     rf" ?[{_LETTERS}]+(?=[{_SIGNS}]*(?!\S))|(?<=[{_LETTERS}])[{_SIGNS}]+(?!\S)|\s+(?!\S)| ?\S+|\s", re.ASCII
 )
 _SINGLE = re.compile(rf" ?[{_LETTERS}]+|[{_SIGNS}]+", re.ASCII)
-_WHOLE = re.compile("[\x85\xa0 ᠎ -     　]")
+_WHOLE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
