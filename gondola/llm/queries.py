@@ -1,4 +1,10 @@
 """Importing this module registers every query of the subpackage."""
 
-from gondola.llm import dedup_queries, span_queries, token_queries  # noqa: F401
+from gondola.llm import (  # noqa: F401
+    dedup_queries,
+    pipeline_query,
+    quality_queries,
+    span_queries,
+    token_queries,
+)
 from gondola.llm.registry import ORACLES, QUERIES  # noqa: F401

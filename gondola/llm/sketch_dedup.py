@@ -53,6 +53,7 @@ _LOW = _U((1 << 40) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
+    x = np.atleast_1d(x)
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
