@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import chat, packing, token_files
+from gondola.llm import chat, packing, pieces, token_files
 from gondola.llm.registry import query, table
 from gondola.llm.staging import shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 @query("op1_packing")
@@ -28,6 +29,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_sampled_pieces")
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECES)
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id",
+        F.expr("length(ids) div 4").cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 @query("op7_token_planes")
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
