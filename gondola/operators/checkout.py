@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.routes import first_leg, meters_to_km, parse_duration_min
-from gondola.operators.lists import LIST_ROWS, nest
+from gondola.operators.lists import nest
 from gondola.session import cut_lineage
 
 MONEY = "decimal(38,2)"
@@ -226,7 +226,7 @@ def cart_result(carts: DataFrame, store_products: DataFrame, distances: DataFram
     return out
 
 
-def nest_offers(items: DataFrame, stores: DataFrame, rows: int = LIST_ROWS) -> DataFrame:
+def nest_offers(items: DataFrame, stores: DataFrame) -> DataFrame:
     """Nested offers: store name, total and item list without internal ids."""
     shown = F.struct(
         "product_id",
@@ -234,11 +234,11 @@ def nest_offers(items: DataFrame, stores: DataFrame, rows: int = LIST_ROWS) -> D
         "quantity",
         "total_price",
     )
-    lists = nest(items, ["cart_id", "store_id"], shown, "items", ["product_id"], rows)
+    lists = nest(items, ["cart_id", "store_id"], shown, "items")
     named = lists.join(offer_by_store(items), ["cart_id", "store_id"]).join(
         stores.select("store_id", F.col("name").alias("store_name")), "store_id"
     )
-    return named.select("cart_id", "store_id", "part", "store_name", hide_internal_fields("items").alias("items"), "total_cost")
+    return named.select("cart_id", "store_id", "store_name", hide_internal_fields("items").alias("items"), "total_cost")
 
 
 def hide_internal_fields(items: str) -> Column:

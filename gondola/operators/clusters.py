@@ -29,9 +29,10 @@ def _place(points: DataFrame, reach: float) -> DataFrame:
 
     Projecting on an axis never lengthens a distance, so points within reach lie
     in the same or in adjacent strips and at most ``reach`` apart along ``_s1``.
-    The axes are the leading principal ones where strips can separate points.
+    The axes are the leading principal ones where strips can separate points;
+    fewer than two points have none.
     """
-    if reach >= _GRID_REACH or points.isEmpty():
+    if reach >= _GRID_REACH or points.limit(2).count() < 2:
         return points.withColumns({"_k0": F.lit(0), "_s1": F.get("unit", F.lit(0))})
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -174,7 +175,10 @@ def cluster_names(
     part in comparisons. A zero vector has no direction and stays alone.
     """
     store = store or []
-    points = df.select(*store, F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    every = df.select(*store, F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    has_direction = F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
+    alone = every.where(~has_direction).select(*store, "id", F.col("id").alias("root"))
+    points = every.where(has_direction)
     copies = points.groupBy(*store, "vec").agg(F.min("id").alias("rep"))
     distinct = cut_lineage(copies.withColumn("unit", l2_normalize(F.col("vec"))))
     directed = distinct.select(*store, F.col("rep").alias("id"), "unit").where(norm(F.col("unit")) > 0)
@@ -185,7 +189,7 @@ def cluster_names(
     # Only further copies have to look their vector up.
     others = points.join(first.select("id"), "id", "left_anti")
     copied = others.join(rooted.drop("rep", "unit"), [*store, "vec"]).select(*store, "id", "root")
-    return cut_lineage(first.unionByName(copied))
+    return cut_lineage(first.unionByName(copied).unionByName(alone))
 
 
 def cluster_number(roots: DataFrame, store: list[str] | None = None) -> DataFrame:

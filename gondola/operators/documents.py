@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.routes import null_if_zero
-from gondola.operators.lists import LIST_ROWS, nest
+from gondola.operators.lists import nest
 
 
 def catalogue_join(
@@ -65,13 +65,11 @@ def build_documents(
     families: DataFrame,
     brands: DataFrame,
     stores: DataFrame,
-    rows: int = LIST_ROWS,
 ) -> DataFrame:
-    """Nested documents, variations by weight (none counts as 0) then id.
+    """Nested documents, one per family, variations by weight (none counts as 0) then id.
 
-    A family with more than ``rows`` variations becomes several documents told
-    apart by ``part``. The store list of a variation is a set over the stores
-    table, which is the configuration of the shop chains.
+    The store list of a variation is a set over the stores table, which is the
+    configuration of the shop chains.
     """
     slugs = store_set(store_products, stores).groupBy("product_id").agg(
         F.array_sort(F.collect_set("slug")).alias("stores")
@@ -82,10 +80,9 @@ def build_documents(
         "product_id",
         *[c for c in ("name", "weight", "measure", "image_url", "stores", "min_price", "max_price")],
     )
-    nested = nest(flat, ["family_id", "family_name", "brand"], element, "variations", ["product_id"], rows)
+    nested = nest(flat, ["family_id", "family_name", "brand"], element, "variations")
     return nested.select(
         F.col("family_id").alias("id"),
-        "part",
         F.col("family_name").alias("name"),
         "brand",
         F.transform("variations", lambda v: v.dropFields("_sort")).alias("variations"),
@@ -98,10 +95,14 @@ def replace_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new)
 
 
+def document_headers(variations: DataFrame) -> DataFrame:
+    """(id, name, brand): what the search reads, one row per family of ``document_variations``."""
+    return variations.select(F.col("family_id").alias("id"), F.col("family_name").alias("name"), "brand").distinct()
+
+
 def bulk_lines(docs: DataFrame) -> DataFrame:
     """Action line and document line per document, next to each other."""
-    key: Column = F.when(F.col("part") == 0, F.col("id").cast("string")).otherwise(F.concat_ws("-", "id", "part"))
-    action = F.to_json(F.struct(F.struct(key.alias("_id")).alias("index")))
+    action = F.to_json(F.struct(F.struct(F.col("id").cast("string").alias("_id")).alias("index")))
     body = F.to_json(F.struct("id", "name", "brand", "variations"), {"ignoreNullFields": "false"})
     return docs.select(F.explode(F.array(action, body)).alias("value"))
 

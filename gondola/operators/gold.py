@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gondola.functions.vectors import clean_names, embed_texts
 from gondola.operators.clusters import cluster_names, cluster_number
-from gondola.operators.lists import LIST_ROWS, nest
+from gondola.operators.lists import nest
 from gondola.operators.numbering import number_rows
 from gondola.operators.silver import drop_unpriced
 from gondola.session import cut_lineage
@@ -85,18 +85,18 @@ def build_gold(silver: DataFrame, eps: float = 0.01, model=None, stopwords=None)
     return Gold(families, group_variations(members), sellers(members))
 
 
-def nest_gold(gold: Gold, rows: int = LIST_ROWS) -> DataFrame:
-    """One row per family (and ``part`` when it is very large)."""
+def nest_gold(gold: Gold) -> DataFrame:
+    """One row per family."""
     seller = F.struct("row_id", "store_id", *SELLER)
-    lists = nest(gold.sellers, VARIATION, seller, "sellers", ["row_id"], rows)
+    lists = nest(gold.sellers, VARIATION, seller, "sellers")
     filled = gold.variations.join(lists, VARIATION)
-    element = F.struct("weight", "measure", "part", "name", "image_url", "sellers")
-    grouped = nest(filled, FAMILY, element, "variations", ["weight", "measure", "part"], rows)
+    element = F.struct("weight", "measure", "name", "image_url", "sellers")
+    grouped = nest(filled, FAMILY, element, "variations")
     return gold.families.join(grouped, FAMILY)
 
 
 def flatten_gold(nested: DataFrame) -> Gold:
-    """The flat tables of nested families; one row may carry a part of a family."""
+    """The flat tables of nested families."""
     variations = nested.select(*FAMILY, F.posexplode("variations").alias("_pos", "v")).select(
         *FAMILY, "_pos", "v.weight", "v.measure", "v.name", "v.image_url", "v.sellers"
     )

@@ -24,10 +24,10 @@ def build_postings(docs: DataFrame, fields: tuple[str, ...] = ("name", "brand"))
     return grams.groupBy("field", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def nested_postings(docs: DataFrame) -> DataFrame:
-    """Postings of the variation names; indexed, but no query reads them."""
-    names = docs.select("id", F.explode("variations").alias("v")).select(
-        F.struct("id", F.col("v.product_id").alias("variation_id")).alias("id"), F.col("v.name").alias("name")
+def nested_postings(variations: DataFrame) -> DataFrame:
+    """Postings of the names of flat variations; indexed, but no query reads them."""
+    names = variations.select(
+        F.struct(F.col("family_id").alias("id"), F.col("product_id").alias("variation_id")).alias("id"), "name"
     )
     return build_postings(names, ("name",)).select(
         F.lit("variations.name").alias("field"), "term", "doc_id.*", "tf", "dl"

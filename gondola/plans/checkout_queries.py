@@ -297,7 +297,7 @@ def x5(t: Inputs):
 
 @query(
     "p11_nested_offers",
-    """SELECT cart_id, store_id, 0 AS part, store_name, CAST(sum(total_price) AS DECIMAL(38,2)) AS total_cost,
+    """SELECT cart_id, store_id, store_name, CAST(sum(total_price) AS DECIMAL(38,2)) AS total_cost,
          count(*) AS n_items, string_agg(concat(CAST(quantity AS VARCHAR), 'x', CAST(price AS VARCHAR)), ' '
            ORDER BY product_id) AS items
        FROM (SELECT c.*, s.store_id, s.price, CAST(c.quantity * s.price AS DECIMAL(38,2)) AS total_price, t.name AS store_name
@@ -311,6 +311,6 @@ def p11(t: Inputs):
         "items", lambda i: F.concat(i["quantity"].cast("string"), F.lit("x"), i["price"].cast("string"))
     )
     return nested.select(
-        "cart_id", "store_id", "part", "store_name", "total_cost",
+        "cart_id", "store_id", "store_name", "total_cost",
         F.size("items").cast("long").alias("n_items"), F.array_join(shown, " ").alias("items"),
     )

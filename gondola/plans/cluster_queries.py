@@ -15,14 +15,15 @@ from gondola.plans.text_queries import EXPECTED_MEASURE, EXPECTED_WEIGHT, STOP_S
 # Cosine distance that gives small clusters at every scale of the test vectors.
 EPS = 0.58
 LOW = 1 - EPS - 1e-12
+TIGHT = 1 - 0.01 - 1e-12
 
 VECTORS = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
-def _edges(same: str = "") -> str:
+def _edges(same: str = "", low: float = LOW) -> str:
     return f"""
 pairs AS (SELECT a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.e, b.e) AS similarity
-  FROM v a JOIN v b ON a.id < b.id {same} WHERE list_cosine_similarity(a.e, b.e) >= {LOW!r}),
+  FROM v a JOIN v b ON a.id < b.id {same} WHERE list_cosine_similarity(a.e, b.e) >= {low!r}),
 links AS (SELECT id_a AS x, id_b AS y FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
 reach AS (SELECT id, id AS other FROM v UNION SELECT r.id, l.y FROM reach r JOIN links l ON l.x = r.other),
 roots AS (SELECT id, min(other) AS root FROM reach GROUP BY id)"""
@@ -106,6 +107,12 @@ def a20(t: Inputs):
     return K.cluster_names(t.embeddings, "vec_id", "embedding", EPS)
 
 
+@query("a20_cluster_names_tight", f"+ {VECTORS}, {_edges(low=TIGHT)} SELECT id, root FROM roots", recursive=True)
+def a20_tight(t: Inputs):
+    """So small a distance that points are separated by strips."""
+    return K.cluster_names(t.embeddings, "vec_id", "embedding", 0.01)
+
+
 @query(
     "a20_cluster_names_per_store",
     f"+ {VECTORS}, {_edges('AND a.label = b.label')} SELECT v.label, id, root FROM roots JOIN v USING (id)",
@@ -215,14 +222,14 @@ def a3(t: Inputs):
     "a1_nested_families",
     f"""+ {MEMBERS}, n AS (SELECT store_id, brand, cluster, count(DISTINCT (weight, measure)) AS n_variations,
           count(*) AS n_sellers, string_agg(CAST(ref_id AS VARCHAR), ',' ORDER BY weight, measure, row_id) AS refs
-        FROM clustered GROUP BY store_id, brand, cluster) SELECT *, 0 AS part FROM n""",
+        FROM clustered GROUP BY store_id, brand, cluster) SELECT * FROM n""",
     ("raw_listings",),
 )
 def a1(t: Inputs):
     nested = G.nest_gold(_gold(t))
     refs = F.flatten(F.transform("variations", lambda v: F.transform(v["sellers"], lambda s: s["ref_id"])))
     return nested.select(
-        "store_id", "brand", "cluster", "part", F.size("variations").cast("long").alias("n_variations"),
+        "store_id", "brand", "cluster", F.size("variations").cast("long").alias("n_variations"),
         F.size(refs).cast("long").alias("n_sellers"), F.array_join(refs, ",").alias("refs"),
     )
 

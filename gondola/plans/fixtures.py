@@ -170,7 +170,8 @@ _view(
     "family_vectors",
     """
 SELECT f.family_id, f.brand_id, f.name, {doubles} AS embedded_name
-FROM families f JOIN embeddings e ON e.vec_id = f.family_id % 500""",
+FROM families f CROSS JOIN (SELECT count(*) AS vectors FROM embeddings) n
+  JOIN embeddings e ON e.vec_id = f.family_id % n.vectors""",
     uses=("families",),
 )
 _view(
@@ -194,7 +195,8 @@ SELECT g.store_id, g.brand, g.cluster,
        CASE WHEN g.family_id % 6 = 5 THEN concat('zzz ', g.family_name) ELSE concat(g.family_name, ' extra') END AS name,
        {perturbed} AS embedded_name
 FROM (SELECT DISTINCT store_id, brand, cluster, family_id, family_name FROM gold_members) g
-  JOIN embeddings e ON e.vec_id = CASE WHEN g.family_id % 7 = 0 THEN (g.family_id + 1) % 500 ELSE g.family_id % 500 END""",
+  CROSS JOIN (SELECT count(*) AS vectors FROM embeddings) n
+  JOIN embeddings e ON e.vec_id = (CASE WHEN g.family_id % 7 = 0 THEN g.family_id + 1 ELSE g.family_id END) % n.vectors""",
     uses=("gold_members",),
 )
 _view(

@@ -63,15 +63,15 @@ flat AS (
 
 @query(
     "a6_build_documents",
-    f"""+ {DOCUMENTS} SELECT id, 0 AS part, family_name, brand, CAST(row_number() OVER (
+    f"""+ {DOCUMENTS} SELECT id, family_name, brand, CAST(row_number() OVER (
           PARTITION BY id ORDER BY coalesce(weight, 0), product_id) - 1 AS INT) AS pos,
           product_id, name, weight, measure, min_price, max_price, image_url, stores FROM flat""",
     CATALOGUE,
 )
 def a6(t: Inputs):
     docs = D.build_documents(*_catalogue(t))
-    return docs.select("id", "part", F.col("name").alias("family_name"), "brand", F.posexplode("variations")).select(
-        "id", "part", "family_name", "brand", "pos", "col.product_id", "col.name", "col.weight", "col.measure",
+    return docs.select("id", F.col("name").alias("family_name"), "brand", F.posexplode("variations")).select(
+        "id", "family_name", "brand", "pos", "col.product_id", "col.name", "col.weight", "col.measure",
         "col.min_price", "col.max_price", "col.image_url", F.array_join("col.stores", ",").alias("stores"),
     )
 
@@ -102,9 +102,25 @@ def c11(t: Inputs):
     return D.replace_documents(old, changed.withColumn("name", F.lit("new")))
 
 
-@query("s14_bulk_lines")
+@query(
+    "s14_bulk_lines",
+    f"""+ {DOCUMENTS} SELECT CAST(id AS VARCHAR) AS key, id, family_name, brand, CAST(row_number() OVER (
+          PARTITION BY id ORDER BY coalesce(weight, 0), product_id) - 1 AS INT) AS pos,
+          product_id, name, weight, measure, min_price, max_price, image_url, stores FROM flat""",
+    CATALOGUE,
+)
 def s14(t: Inputs):
-    return D.bulk_lines(D.build_documents(*_catalogue(t)))
+    """The lines read back: each action with the document line that follows it."""
+    docs = D.build_documents(*_catalogue(t))
+    lines = D.bulk_lines(docs).select("value", F.get_json_object("value", "$.index._id").alias("key"))
+    shape = docs.select("id", "name", "brand", "variations").schema
+    bodies = lines.where("key is null").select(F.from_json("value", shape).alias("d"))
+    read = bodies.select("d.id", F.col("d.name").alias("family_name"), "d.brand", F.posexplode("d.variations").alias("pos", "v"))
+    keyed = read.join(lines.where("key is not null").select("key"), F.col("id").cast("string") == F.col("key"))
+    return keyed.select(
+        "key", "id", "family_name", "brand", "pos", "v.product_id", "v.name", "v.weight", "v.measure",
+        "v.min_price", "v.max_price", "v.image_url", F.array_join("v.stores", ",").alias("stores"),
+    )
 
 
 DOCS = "docs AS (SELECT CAST(p_partkey AS INT) AS id, p_name AS name, lower(replace(p_brand, '#', '-')) AS brand FROM part)"
@@ -213,7 +229,7 @@ def q4(t: Inputs):
     ("products", "offers_raw"),
 )
 def q1_nested(t: Inputs):
-    return Q.nested_postings(D.build_documents(*_catalogue(t)))
+    return Q.nested_postings(D.document_variations(*_catalogue(t)))
 
 
 @query(
@@ -265,13 +281,13 @@ def f29(t: Inputs):
     "f31_merge_cart_links",
     r"""+ links AS (SELECT page_id, regexp_extract(url, '^\w+://([^/]+)', 1) AS host, url FROM pages),
          q AS (SELECT *, regexp_extract(url, '\?([^#]*)', 1) AS query FROM links)
-       SELECT host, 0 AS part, regexp_extract(arg_min(url, page_id), '^[^?#]+') || '?' ||
+       SELECT host, regexp_extract(arg_min(url, page_id), '^[^?#]+') || '?' ||
          coalesce(string_agg(nullif(query, ''), '&' ORDER BY page_id), '') AS link FROM q GROUP BY host""",
 )
 def f31(t: Inputs):
     links = t.pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), "url")
-    lists = L.nest(links, ["host"], F.struct("page_id", "url"), "links", ["page_id"])
-    return lists.select("host", "part", P.merge_cart_links(F.transform("links", lambda x: x["url"])).alias("link"))
+    lists = L.nest(links, ["host"], F.struct("page_id", "url"), "links")
+    return lists.select("host", P.merge_cart_links(F.transform("links", lambda x: x["url"])).alias("link"))
 
 
 @query(

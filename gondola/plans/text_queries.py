@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from gondola.functions import measure as M
 from gondola.functions import text as X
-from gondola.functions.vocabulary import FOLD_MANY, LIQUID_UNITS, SOLID_UNITS, fold_pairs
+from gondola.functions.vocabulary import ABBREVIATIONS, COUNT_UNITS, FOLD_MANY, LIQUID_UNITS, SOLID_UNITS, fold_pairs
 from gondola.operators import silver as S
 from gondola.plans.registry import Inputs, query
 from gondola.sources.stores import STORES
@@ -49,11 +51,12 @@ def f2(t: Inputs):
 
 @query(
     "f3_replace_full_word",
-    r"SELECT doc_id, regexp_replace(text, '(?i)\bthe\b', 'zzz', 'g') AS text FROM documents WHERE lang = 'en'",
+    # Twice, since a border between two words belongs to both.
+    r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|$)', '\1zzz\2', 'g'),
+          '(?i)(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|$)', '\1zzz\2', 'g') AS text FROM documents""",
 )
 def f3(t: Inputs):
-    english = t.documents.where("lang = 'en'")
-    return english.select("doc_id", X.replace_full_word(F.col("text"), "the", "zzz").alias("text"))
+    return t.documents.select("doc_id", X.replace_full_word(F.col("text"), "the", "zzz").alias("text"))
 
 
 @query("f4_fold_accents", f"SELECT doc_id, {_fold('text')} AS text FROM documents")
@@ -88,12 +91,31 @@ def f6(t: Inputs):
     return t.documents.select("doc_id", X.remove_patterns(X.fold_accents(F.lower("text"))).alias("text"))
 
 
-@query("f7_expand_connectives")
+# DuckDB has no look-around: what must not be a digit is captured and put back.
+_NO_DIGIT = r"(\s(?:\D|$)|[^\d\s]|$)"
+_CONNECTED = "lower(name)"
+for _found, _put in [
+    (rf"\bp/{_NO_DIGIT}", r"para \1"),
+    (rf"\bs/{_NO_DIGIT}", r"sem \1"),
+    (rf"\bc/{_NO_DIGIT}", r"com \1"),
+    (rf"\b\s?/\s?{_NO_DIGIT}", r" e \1"),
+    (r"(^|[^\d\s])\s*\+\s*", r"\1 + "),
+    (r"(^|\D)\.(\D|$)", r"\1. \2"),
+]:
+    _CONNECTED = f"regexp_replace({_CONNECTED}, '{_found}', '{_put}', 'g')"
+_SPELLED = "lower(name)"
+for _key, _value in ABBREVIATIONS.items():
+    _token = re.escape(_key.rstrip(".").lower()).replace("\\ ", " ")
+    for _ in range(2):  # a blank between two tokens belongs to both
+        _SPELLED = f"regexp_replace({_SPELLED}, '(^|\\s){_token}\\.?(\\s|$)', '\\1{_value}\\2', 'g')"
+
+
+@query("f7_expand_connectives", f"SELECT ref_id, store_id, {_CONNECTED} AS name FROM raw_listings", LISTINGS)
 def f7(t: Inputs):
     return t.raw_listings.select("ref_id", "store_id", X.expand_connectives(F.lower("name")).alias("name"))
 
 
-@query("f8_expand_abbreviations")
+@query("f8_expand_abbreviations", f"SELECT ref_id, store_id, {_SPELLED} AS name FROM raw_listings", LISTINGS)
 def f8(t: Inputs):
     return t.raw_listings.select("ref_id", "store_id", X.expand_abbreviations(F.lower("name")).alias("name"))
 
@@ -214,7 +236,18 @@ def f16(t: Inputs):
     return t.raw_listings.select("ref_id", "store_id", found).select("ref_id", "store_id", "q.weight", "q.measure")
 
 
-@query("f17_unit_count")
+_UNITS = "|".join(COUNT_UNITS)
+
+
+@query(
+    "f17_unit_count",
+    rf"""+ parts AS (SELECT ref_id, store_id, name, regexp_extract(name, '(?i)(?:c/|com)\s*(\d+(?:/\d+)?)', 1) AS pack,
+           regexp_extract(name, '(?i)(\d+(?:/\d+)?)(?:\s*(?:{_UNITS}))\s*(?:[^\w\s]|$)', 1) AS counted FROM raw_listings)
+       SELECT ref_id, store_id, CASE WHEN pack <> '' THEN CAST(string_split(pack, '/')[-1] AS DOUBLE)
+           WHEN counted <> '' THEN CAST(string_split(counted, '/')[-1] AS DOUBLE)
+           WHEN regexp_matches(name, '(?i){_UNITS}') THEN 1.0 END AS units FROM parts""",
+    LISTINGS,
+)
 def f17(t: Inputs):
     return t.raw_listings.select("ref_id", "store_id", M.unit_count(F.col("name")).alias("units"))
 

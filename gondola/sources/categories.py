@@ -13,7 +13,8 @@ def flatten_category_tree(edges: DataFrame) -> DataFrame:
     """(id, path) of every leaf, path as ``/a/b/leaf/``, from edges (id, parent_id).
 
     Walks down level by level: one join of the current level with the edges per
-    level of the tree, whatever its size.
+    level of the tree, whatever its size. An edge back to a category that is
+    already on its own path is not followed, so a cycle ends.
     """
     edges = edges.select("id", "parent_id")
     inner = edges.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
@@ -23,9 +24,10 @@ def flatten_category_tree(edges: DataFrame) -> DataFrame:
         done = level.join(inner, "id", "left_anti").select("id", F.concat("path", F.lit("/")).alias("path"))
         leaves = done if leaves is None else leaves.unionByName(done)
         above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_above"))
-        level = cut_lineage(
-            edges.join(above, "parent_id").select("id", leaf_path(F.col("_above"), F.col("id")).alias("path"))
-        )
+        step = leaf_path(F.lit(""), F.col("id"))
+        again = F.contains(F.concat("_above", F.lit("/")), F.concat(step, F.lit("/")))
+        below = edges.join(above, "parent_id").where(~again)
+        level = cut_lineage(below.select("id", leaf_path(F.col("_above"), F.col("id")).alias("path")))
     return level.limit(0) if leaves is None else leaves
 
 

@@ -63,7 +63,9 @@ def listing_schema(store: Store) -> str:
 
 
 def read_listing_pages(spark: SparkSession, path: str, store: Store, distinct: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(listings, unreadable lines) of landed pages, one JSON array of listings per line.
+    """(listings, rejected values) of landed pages, one JSON array of listings per line.
+
+    Rejected are lines that cannot be read and listings without a product id.
 
     Pages overlap at their borders; the repeats are kept unless ``distinct``.
     """
@@ -71,6 +73,8 @@ def read_listing_pages(spark: SparkSession, path: str, store: Store, distinct: b
     parsed = spark.read.text(path).select("value", F.from_json("value", page).alias("page"))
     bad = parsed.where("page is null and trim(value) <> ''").select("value")
     listings = parsed.where("page is not null").select(F.inline("page"))
+    unnamed = listings.where("productId is null").select(F.to_json(F.struct("*")).alias("value"))
+    bad = bad.unionByName(unnamed)
     listings = listings.where("productId is not null")
     return (listings.dropDuplicates(["productId"]) if distinct else listings), bad
 

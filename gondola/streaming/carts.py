@@ -99,9 +99,13 @@ def start_cart_state(
         else:
             snapshot = session.createDataFrame([], STATE_SCHEMA)
             clock = session.createDataFrame([], "cart_id bigint, last_seq bigint")
-        parts = dict(zip(("carts", "clock", "late"), advance(snapshot, clock, batch)))
-        for name, part in parts.items():
-            part.write.mode("overwrite").parquet(f"{_version(root, batch_id)}/{name}")
+        kept = batch.persist()
+        try:
+            parts = dict(zip(("carts", "clock", "late"), advance(snapshot, clock, kept)))
+            for name, part in parts.items():
+                part.write.mode("overwrite").parquet(f"{_version(root, batch_id)}/{name}")
+        finally:
+            kept.unpersist()
 
     writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -10,6 +10,7 @@ from gondola.functions import routes as T
 from gondola.operators import checkout as C
 from gondola.operators import documents as D
 from gondola.operators import search as Q
+from gondola.operators.lists import nest
 from gondola.operators.silver import build_silver, drop_unpriced
 from gondola.sources import layers as L
 from gondola.sources.categories import allowed_categories, flatten_category_tree
@@ -86,8 +87,28 @@ def test_documents_and_bulk(spark):
     assert got == [(6, None, None, None, "i3", ["s1"]), (5, 7, 3.0, 3.0, "i1", ["s1", "s2"])]
     action, body = [json.loads(r.value) for r in D.bulk_lines(docs).collect()]
     assert action == {"index": {"_id": "1"}} and body["variations"][0]["weight"] is None
-    parts = D.build_documents(sp, products, families, brands, stores, rows=1)
-    assert sorted(v.product_id for d in parts.collect() for v in d.variations) == [5, 6]
+
+
+def test_large_family_is_one_document(spark):
+    n = 1500
+    sp = spark.range(n).selectExpr("id AS store_product_id", "1 AS store_id", "cast(id AS int) AS product_id", "1.0D AS price", "'i' AS image_url")
+    products = spark.range(n).selectExpr("cast(id AS int) AS product_id", "1 AS family_id", "concat('p', id) AS name", "cast(id AS int) AS weight", "'g' AS measure")
+    families = spark.createDataFrame([(1, 1, "Fam")], "family_id int, brand_id int, name string")
+    brands = spark.createDataFrame([(1, "acme")], "brand_id int, slug string")
+    stores = spark.createDataFrame([(1, "s1")], "store_id int, slug string")
+    (doc,) = D.build_documents(sp, products, families, brands, stores).collect()
+    assert [v.product_id for v in doc.variations] == list(range(n))
+    headers = D.document_headers(D.document_variations(sp, products, families, brands, stores))
+    assert headers.collect() == [(1, "Fam", "acme")]
+    links = spark.range(n).select(F.lit("h").alias("host"), "id", F.concat(F.lit("https://h/x?k="), "id").alias("url"))
+    (host,) = nest(links, ["host"], F.struct("id", "url"), "links").collect()
+    assert [x.id for x in host.links] == list(range(n))
+
+
+def test_category_cycle_ends(spark):
+    edges = spark.createDataFrame([(1, None), (2, 1), (3, 2), (2, 3), (4, 3)], "id int, parent_id int")
+    got = {r.id for r in flatten_category_tree(edges).collect()}
+    assert got == {4}
 
 
 def test_links_and_labels(spark):

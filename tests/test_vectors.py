@@ -147,3 +147,10 @@ def test_embedding_hook(spark):
     row = V.embed_names(df, stopwords=["o", "de"], model=lengths).first()
     assert row.embedded_name == [float(len("arroz casa")), 1.0]
     assert V.embed_names(df).first().embedded_name is not None
+
+
+def test_one_vector_and_only_zero_vectors(spark):
+    one = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "id long, v array<double>")
+    assert {r.id: r.root for r in K.cluster_names(one, "id", "v", 0.01).collect()} == {1: 1, 2: 1}
+    zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "id long, v array<double>")
+    assert {r.id: r.root for r in K.cluster_names(zero, "id", "v", 0.01).collect()} == {1: 1, 2: 2, 3: 3}
