@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.staging import staged, text_or_empty
+from gondola.llm.staging import slices, staged, text_or_empty
 
 ORDER = 4
 BLOCK_CHARS = 16_000_000
@@ -56,34 +56,31 @@ def grams(text: str) -> np.ndarray:
     return out
 
 
-def _parts(texts: list[str]):
-    """Lists of texts with about ``_PART`` characters."""
-    part: list[int] = []
+def _parts(table: pa.Table):
+    """(ids, texts) of a few rows at a time, about ``_PART`` characters."""
+    names: list = []
+    texts: list[str] = []
     size = 0
-    for i, text in enumerate(texts):
-        part.append(i)
-        size += len(text)
-        if size > _PART:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-def _texts(table: pa.Table) -> tuple[list, list[str]]:
-    doc = table["doc"].combine_chunks()
-    return table["doc_id"].to_pylist(), [t or "" for t in doc.field("text").to_pylist()]
+    for batch in slices(table.select(["doc_id", "doc"]).to_batches()):
+        for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("doc").field("text").to_pylist(), strict=True):
+            names.append(name)
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size > _PART:
+                yield names, texts
+                names, texts, size = [], [], 0
+    if names:
+        yield names, texts
 
 
 def _ask(docs: pa.Table, trusted: pa.Table) -> pa.Table:
     """Distinct n-grams of a block with their counts in trusted documents."""
     good = set(trusted["doc_id"].to_pylist())
-    names, texts = _texts(docs)
     known = np.empty(0, np.int64)
     counts = np.empty(0, np.int64)
-    for part in _parts(texts):
+    for names, texts in _parts(docs):
         for wanted in (True, False):
-            own = [grams(texts[i]) for i in part if texts[i] and (names[i] in good) == wanted]
+            own = [grams(text) for name, text in zip(names, texts, strict=True) if text and (name in good) == wanted]
             if own:
                 found, n = np.unique(np.concatenate(own), return_counts=True)
                 every, at = np.unique(np.concatenate([known, found]), return_inverse=True)
@@ -102,14 +99,15 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Mean negative log probability per byte of each document of a block."""
     order = np.argsort(answers["gram"].to_numpy())
     known, costs = answers["gram"].to_numpy()[order], answers["cost"].to_numpy()[order]
-    _, texts = _texts(docs)
-    means = np.full(len(texts), np.nan)
-    sizes = np.zeros(len(texts), np.int64)
-    for part in _parts(texts):
-        some = [i for i in part if texts[i]]
+    means = np.full(docs.num_rows, np.nan)
+    sizes = np.zeros(docs.num_rows, np.int64)
+    done = 0
+    for _, texts in _parts(docs):
+        some = [done + i for i, text in enumerate(texts) if text]
+        done += len(texts)
         if not some:
             continue
-        own = [grams(texts[i]) for i in some]
+        own = [grams(text) for text in texts if text]
         each = np.array([len(x) for x in own])
         every = np.concatenate(own)
         at = np.minimum(np.searchsorted(known, every), len(known) - 1)

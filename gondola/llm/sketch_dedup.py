@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.staging import staged, text_or_empty
+from gondola.llm.staging import slices, staged, text_or_empty
 from gondola.operators.components import components
 from gondola.session import cut_lineage
 
@@ -128,7 +128,7 @@ def _band_keys(bins: np.ndarray) -> np.ndarray:
 
 def _sketch_kernel(words: int, bands: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, digests, sketches, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 items = shingles(text, words)
