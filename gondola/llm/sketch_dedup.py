@@ -343,7 +343,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     per_class = classes.select("digest", "id").join(found, "id", "left").select(
         "digest", F.coalesce("root", "id").alias("_component")
     )
-    component = F.coalesce("_component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return sketched.select("doc_id", "key", "n", "digest").join(per_class, "digest", "left").select(
         "doc_id",
         "key",
