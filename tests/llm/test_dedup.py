@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gondola.llm import nn_descent, one_bit_search, sketch_dedup
 from gondola.llm.dedup_queries import op3_nn_descent, op8_sketch_dedup
@@ -57,7 +58,7 @@ def test_op8_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
-def near_group(rng, n):
+def near_group(rng, n, others):
     """A text and copies with some words changed, similar to different degrees, among others."""
     vocabulary = [f"w{i}" for i in range(4000)]
     middle = rng.choices(vocabulary, k=300)
@@ -67,20 +68,19 @@ def near_group(rng, n):
         for _ in range(rng.randint(0, 14)):
             words[rng.randrange(300)] = rng.choice(vocabulary)
         rows.append((1000 - i, " ".join(words)))
-    rows += [(2000 + i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 200)))) for i in range(80)]
+    rows += [(2000 + i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 200)))) for i in range(others)]
     passage = " ".join(rng.choices(vocabulary, k=60))
-    rows += [(3000 + i, passage + " " + " ".join(rng.choices(vocabulary, k=rng.randint(1, 60)))) for i in range(60)]
+    rows += [(3000 + i, passage + " " + " ".join(rng.choices(vocabulary, k=rng.randint(1, 60)))) for i in range(others)]
     return rows
 
 
-@pytest.mark.parametrize("tiles", [None, (16, 2_000)])
-@pytest.mark.parametrize("words, percent", [(3, 85), (5, 80)])
+@pytest.mark.parametrize("words, percent, tiles", [(3, 85, None), (5, 80, None), (3, 85, (16, 3_000))])
 def test_near_copies_of_all_degrees(spark, monkeypatch, tiles, words, percent):
+    rows = near_group(random.Random(7), 50 if tiles else 150, 10 if tiles else 60)
     if tiles:
         monkeypatch.setattr(sketch_dedup, "BUCKET_TILE", tiles[0])
         monkeypatch.setattr(sketch_dedup, "CLUSTER_TILE", tiles[1])
-    rows = near_group(random.Random(7), 150)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in sketch_dedup.near_duplicates(df, words, percent).collect()}
     assert got == brute(rows, words, percent)
 
@@ -171,7 +171,7 @@ def test_search_against_brute_force(spark, monkeypatch):
         (n, i, np.array(v)) for n, (i, v, _) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all() and any(v)
     ]
     got = {}
-    for r in one_bit_search.search(df, df.vec_id % 20 == 0, 20).collect():
+    for r in one_bit_search.search(df, F.col("vec_id") % 20 == 0, 20).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     hits = total = 0
     for n, i, v in fine:
@@ -183,4 +183,4 @@ def test_search_against_brute_force(spark, monkeypatch):
         hits += len({j for _, j, _ in own} & {j for _, j in scores})
         total += len(scores)
     assert hits >= 0.99 * total
-    assert one_bit_search.search(df.limit(0), df.vec_id % 20 == 0, 20).count() == 0
+    assert one_bit_search.search(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
