@@ -163,10 +163,15 @@ def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     queries = marked.where("_query").select(*columns, F.lit(True).alias("query"), own(n_q, 1).alias("qb"), blocks(n_x).alias("xb"))
     others = marked.select(*columns, F.lit(False).alias("query"), blocks(n_q).alias("qb"), own(n_x, 2).alias("xb"))
 
+    names = ["query_row", "query_id", "vec_id", "row"]
+    empty = pa.table({**{c: pa.array([], pa.int64()) for c in names}, "score": pa.array([], pa.float64())})
+
     def kernel(table: pa.Table) -> pa.Table:
         sides = table["query"].to_numpy()
+        if sides.all() or not sides.any():  # a block without queries or without vectors
+            return empty
         q, x = _arrays(table, sides, True), _arrays(table, sides, False)
-        found = search_block(q, x, k) if len(q["row"]) and len(x["row"]) else []
+        found = search_block(q, x, k)
         n, j, score = (np.array(c) for c in zip(*found, strict=True)) if found else (np.empty(0, int),) * 3
         return pa.table(
             {
