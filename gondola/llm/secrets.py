@@ -25,25 +25,32 @@ LEDGER = f"blob string, rule string, version int, found {S.SPANS}"
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern, and a literal or pattern that a text must hold before the search is worth its cost."""
+    """A pattern, and a literal or pattern that a text must hold before the search is worth its cost.
+
+    With ``least``, a match whose second group is shorter is dropped but has been
+    passed over: what begins inside it is not found.
+    """
 
     name: str
     version: int
     pattern: str
     literal: str = ""
+    least: int = 0
 
     def find(self, text: Column, rank: int) -> Column:
         guard = F.contains(text, F.lit(self.literal)) if self.literal else text.rlike(self.pattern)
-        return S.find(text, self.pattern, self.name, rank, guard)
+        value = lambda hit: F.length(F.regexp_extract(hit, self.pattern, 2)) >= self.least
+        return S.find(text, self.pattern, self.name, rank, guard, value if self.least else None)
 
 
-# The three base rules. Their least lengths are part of the pattern; a
-# failing match could only hide shorter ones, so the result is the same.
+# The three base rules. The least lengths of runs are part of their pattern,
+# as a shorter run can only hide shorter ones; a short value can hide the name of the next.
 BASE = (
     Rule(
         "assign",
-        1,
-        r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]{12,}+)",
+        2,
+        r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)",
+        least=12,
     ),
     Rule("access", 1, r"AKIA[A-Z0-9]{14,}+", "AKIA"),
     Rule("hex", 1, r"[0-9a-f]{16,}+"),

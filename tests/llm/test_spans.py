@@ -58,7 +58,7 @@ def digest(found):
 PARTS = [
     "a", "é", "😀", " ", "  ", "\n", ".", "-", "_", "@", "+", "(", ")", "1", "42", "255", "256", "0007", "4539578763621486",
     "4539 5787 6362 1486", "a.b@c.de", "x@y", "+1 (988) 555-2485", "10.0.0.1", "1.2.3.4.5.6.7.8", "password", "Token",
-    "API_KEY", "=", ":", '"', "'", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "/", "%",
+    "secret:", "API_KEY", "=", ":", '"', "'", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "/", "%",
 ]
 
 
@@ -92,6 +92,19 @@ def test_base_secrets_equal_plain_patterns(hard):
         assert row.s == want, data[row.doc_id]
 
 
+def test_a_short_value_hides_the_name_in_it(spark):
+    rows = [
+        (1, "password: secret: abcdefghijklmnop"),
+        (2, "token=secret 'x' secret: abcdefghijklmnop"),
+        (3, 'api_key="Token":"abcdefghijklmnop"'),
+        (4, "secret:passwd=abcdefg"),
+    ]
+    found, _ = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], rules=secrets.BASE)
+    got = {r.doc.doc_id: sorted((s.start, s.rank, s.end, s.kind) for s in r.spans) for r in found.collect()}
+    assert got == {i: sorted(secret(text)) for i, text in rows}
+    assert not got[1] and not got[3] and len(got[2]) == len(got[4]) == 1
+
+
 @pytest.mark.parametrize("build, brute", [(op4_pii, personal), (op10_secrets, secret)])
 def test_queries(spark, build, brute):
     sf = "/root/testdata/sf0.001"
