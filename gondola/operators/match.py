@@ -16,7 +16,8 @@ from gondola.operators import tiles as X
 from gondola.operators.numbering import number_rows
 from gondola.session import cut_lineage
 
-_CHUNK = 4096
+# Brands and listing slugs of one block key that meet in one cell of its grid.
+_CHUNK, _SLUG_CHUNK = 4096, 65_536
 
 
 def _block_keys(p: Column, threshold: float) -> Column:
@@ -42,8 +43,12 @@ def match_brand(listings: DataFrame, brands: DataFrame, threshold: float = 50.0)
 
     Equal slugs first; the others take the brand with the best mixed score, the
     lowest id on a tie, if it reaches ``threshold``. Candidates come from an
-    equi-join on block keys. A key that many brands share is divided into chunks
-    of bounded size, and only the best candidate per slug leaves each task.
+    equi-join on block keys; a pair that shares several keys is scored at the
+    smallest of them only. A key that many share is a grid of cells of bounded
+    size on both sides, and only the best candidate per slug leaves each task.
+
+    Below a threshold of 50 the edit part can reach it with a single shared
+    character, so nearly all brands are candidates of each slug.
     """
     slugs = listings.select("slug").where("slug is not null").distinct()
     known = brands.select("brand_id", "slug").where("slug is not null")
@@ -52,15 +57,18 @@ def match_brand(listings: DataFrame, brands: DataFrame, threshold: float = 50.0)
     rest = slugs.join(by_slug, "slug", "left_anti").where("slug <> ''").withColumn("a", processed(F.col("slug")))
     named = known.where("slug <> ''").select("brand_id", processed(F.col("slug")).alias("b"))
 
+    left = rest.select("slug", "a", F.explode(_block_keys(F.col("a"), threshold)).alias("key"))
     right = named.select("brand_id", "b", F.explode(_block_keys(F.col("b"), threshold)).alias("key"))
-    chunks = right.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / _CHUNK).cast("int").alias("chunks"))
-    right = right.join(chunks, "key").withColumn("chunk", F.pmod(F.hash("brand_id"), F.col("chunks"))).drop("chunks")
-    left = (
-        rest.select("slug", "a", F.explode(_block_keys(F.col("a"), threshold)).alias("key"))
-        .join(chunks, "key")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .drop("chunks")
-    )
+
+    def cells(side: DataFrame, size: int, name: str) -> DataFrame:
+        return side.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    grid = cells(left, _SLUG_CHUNK, "_rows").join(cells(right, _CHUNK, "_columns"), "key")
+    own = lambda c, n: F.pmod(F.hash(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(grid, "key").select("slug", "a", "key", own("slug", "_rows").alias("row"), every("_columns").alias("column"))
+    right = right.join(grid, "key").select("brand_id", "b", "key", own("brand_id", "_columns").alias("column"), every("_rows").alias("row"))
+    shared = F.array_intersect(_block_keys(F.col("a"), threshold), _block_keys(F.col("b"), threshold))
     shorter = F.least(F.length("a.text"), F.length("b.text"))
     longer = F.nullif(F.greatest(F.length("a.text"), F.length("b.text")), F.lit(0))
     bound = 100 * (
@@ -68,8 +76,9 @@ def match_brand(listings: DataFrame, brands: DataFrame, threshold: float = 50.0)
         + WORD_WEIGHT * jaccard(F.col("a.words"), F.col("b.words"))
     )
     scored = (
-        left.join(right, ["key", "chunk"])
+        left.join(right, ["key", "row", "column"])
         .where(bound >= threshold - 1e-6)
+        .where(F.array_min(shared) == F.col("key"))
         .select("slug", "brand_id", mixed_of_processed(F.col("a"), F.col("b")).alias("score"))
         .where(F.col("score") >= threshold)
     )
