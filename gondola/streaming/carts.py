@@ -71,12 +71,47 @@ def advance(snapshot: DataFrame, clock: DataFrame, batch: DataFrame) -> tuple[Da
     return kept.unionByName(moved.select(*kept.columns)), clock, late
 
 
+#: Every so many batches the whole state is written; the others write the carts they touch.
+FULL_EVERY = 16
+CLOCK_SCHEMA = "cart_id bigint, last_seq bigint"
+
+
 def _version(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/version={batch_id:012d}"
 
 
+def _written(spark: SparkSession, root: str, batch_id: int, part: str, schema: str) -> DataFrame:
+    """One part of the versions from the last whole one up to ``batch_id``, with the version of each row."""
+    if batch_id < 0:
+        return spark.createDataFrame([], f"{schema}, version bigint")
+    versions = range(batch_id - batch_id % FULL_EVERY, batch_id + 1)
+    paths = [f"{_version(root, v)}/{part}" for v in versions]
+    rows = spark.read.schema(f"{schema}, version bigint").option("basePath", root).parquet(*paths)
+    return rows.withColumn("version", F.col("version").cast("bigint"))
+
+
+def _newest(rows: DataFrame, clock: DataFrame) -> DataFrame:
+    """The rows of each cart in the version that wrote it last."""
+    return rows.join(clock.select("cart_id", "version"), ["cart_id", "version"], "left_semi").drop("version")
+
+
+def _clock(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """(cart_id, last_seq, version): the highest seq of every cart and the version that wrote it last."""
+    rows = _written(spark, root, batch_id, "clock", CLOCK_SCHEMA)
+    return rows.groupBy("cart_id").agg(F.max("last_seq").alias("last_seq"), F.max("version").alias("version"))
+
+
 def read_state(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{_version(root, batch_id)}/carts")
+    """The state of all carts after one batch."""
+    rows = _written(spark, root, batch_id, "carts", STATE_SCHEMA)
+    return _newest(rows, _clock(spark, root, batch_id))
+
+
+def _drop_before(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Remove the versions of the ``FULL_EVERY`` batches before ``batch_id``."""
+    for old in range(max(0, batch_id - FULL_EVERY), batch_id):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_version(root, old))
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def start_cart_state(
@@ -84,28 +119,31 @@ def start_cart_state(
 ) -> StreamingQuery:
     """Keep cart snapshots up to date from a stream of events.
 
-    Every micro-batch reads the snapshot of the batch before and writes its own
-    version under ``root``, a folder all executors share. A batch that is run
-    again overwrites the same version, so the result does not change. When the
-    same stream is resumed the previous version is found by its batch id.
+    Every micro-batch writes its own version under ``root``, a folder all executors
+    share: the carts it touches, and every ``FULL_EVERY`` batches all of them. What is
+    written follows the batch, and reading meets at most ``FULL_EVERY`` versions. A
+    batch that is run again overwrites the same version, so the result does not
+    change. When the same stream is resumed the versions before are found by the
+    batch id. The versions between two whole ones go when a third is complete.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        if batch_id > 0:
-            before = _version(root, batch_id - 1)
-            snapshot = session.read.schema(STATE_SCHEMA).parquet(f"{before}/carts")
-            clock = session.read.schema("cart_id bigint, last_seq bigint").parquet(f"{before}/clock")
-        else:
-            snapshot = session.createDataFrame([], STATE_SCHEMA)
-            clock = session.createDataFrame([], "cart_id bigint, last_seq bigint")
+        clock = _clock(session, root, batch_id - 1)
         kept = batch.persist()
         try:
-            parts = dict(zip(("carts", "clock", "late"), advance(snapshot, clock, kept)))
+            if batch_id % FULL_EVERY:
+                clock = clock.join(kept.select("cart_id").distinct(), "cart_id", "left_semi")
+            clock = clock.persist()
+            snapshot = _newest(_written(session, root, batch_id - 1, "carts", STATE_SCHEMA), clock)
+            parts = dict(zip(("carts", "clock", "late"), advance(snapshot, clock.drop("version"), kept)))
             for name, part in parts.items():
                 part.write.mode("overwrite").parquet(f"{_version(root, batch_id)}/{name}")
         finally:
+            clock.unpersist()
             kept.unpersist()
+        if batch_id % FULL_EVERY == 1 and batch_id > FULL_EVERY:  # the whole version before is committed
+            _drop_before(session, root, batch_id - 1 - FULL_EVERY)
 
     writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -60,6 +60,21 @@ def test_stream_of_several_batches_with_late_events(spark, tmp_path):
     assert spark.read.parquet(f"{root}/version=000000000003/late").count() == 1
 
 
+def test_whole_versions_and_touched_carts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "FULL_EVERY", 3)
+    landed, root, offsets = (str(tmp_path / p) for p in ("landed", "state", "offsets"))
+    rows = []
+    for batch in range(8):
+        part = [(s, t, batch % 4 if batch else c, *r) for s, t, c, *r in events(30, 40 + batch, start=100 * batch)]
+        rows += part
+        spark.createDataFrame(part, COLUMNS).coalesce(1).write.mode("append").parquet(landed)
+        R.start_cart_state(spark.readStream.schema(R.EVENT_SCHEMA).parquet(landed), root, offsets).awaitTermination()
+        assert state(R.read_state(spark, root, batch)) == replay(rows)
+    written = {p.name[-1]: {r.cart_id for r in spark.read.parquet(f"{p}/clock").collect()} for p in (tmp_path / "state").iterdir()}
+    assert set(written) == set("34567")  # 0, 1 and 2 went when 6 was committed
+    assert written["4"] == {0} and written["7"] == {3} and len(written["6"]) == len({r[2] for r in rows})
+
+
 def test_running_a_batch_again_gives_the_same(spark):
     first, second = events(100, 5), events(100, 6, start=500)
     empty = spark.createDataFrame([], R.STATE_SCHEMA), spark.createDataFrame([], "cart_id long, last_seq long")
