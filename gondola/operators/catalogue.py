@@ -114,8 +114,21 @@ def last_wins_map(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(id_col).alias(id_col))
 
 
-def lookup_family(variations: DataFrame, gold: DataFrame, families: DataFrame) -> DataFrame:
-    """Variations with the family_id of their gold row's name, or null."""
+def lookup_family(
+    variations: DataFrame, gold: DataFrame, families: DataFrame, brands: DataFrame | None = None
+) -> DataFrame:
+    """Variations with the family_id of their gold row's name, or null.
+
+    With ``brands`` a family must have the gold row's brand too, so equal names of
+    two brands stay apart; the source application looks at the name alone.
+    """
+    if brands is not None:
+        last = last_wins_map(families, ["brand_id", "name"], "family_id").alias("f")
+        known = lookup_brand_id(gold.select(*FAMILY, "name"), brands).alias("g")
+        named = known.join(last, _equal("g", "f", "brand_id", "name"), "left").select(
+            *[f"g.{c}" for c in FAMILY], F.col("g.name").alias("family_name"), "f.family_id"
+        )
+        return variations.join(named, FAMILY)
     by_name = last_wins_map(families, ["name"], "family_id").withColumnRenamed("name", "family_name")
     named = gold.select(*FAMILY, F.col("name").alias("family_name")).join(by_name, "family_name", "left")
     return variations.join(named, FAMILY)

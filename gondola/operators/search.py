@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.functions.text import edge_ngrams, search_tokens
+from gondola.functions.text import edge_ngrams, fold_accents, search_tokens
 
 K1, B = 1.2, 0.75
 # Field boosts and page size of the product search.
@@ -53,14 +53,18 @@ def non_blank_query(queries: DataFrame) -> DataFrame:
     return queries.where(F.trim("text") != "")
 
 
-def score(queries: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
+def score(queries: DataFrame, postings: DataFrame, stats: DataFrame, fold: bool = False) -> DataFrame:
     """(query_id, doc_id, score) for every document that holds any query word.
 
+    ``fold`` folds the accents of the queries, for an index of folded names; the
+    source application does not.
+
     Only postings of asked-for terms leave the index. A term's document count
     comes from those rows, and both joins run on (field, term); adaptive
     execution splits a term that most documents carry.
     """
-    words = non_blank_query(queries).select("query_id", F.explode(search_tokens(F.col("text"))).alias("term"))
+    text = fold_accents(F.lower("text")) if fold else F.col("text")
+    words = non_blank_query(queries).select("query_id", F.explode(search_tokens(text)).alias("term"))
     asked = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     found = postings.join(asked.select("term").distinct(), "term", "left_semi")
     frequency = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -97,10 +101,10 @@ def page_of_hits(scores: DataFrame, page: int = 1, size: int = PAGE_SIZE) -> Dat
 
 
 def search_products(
-    queries: DataFrame, docs: DataFrame, postings: DataFrame, stats: DataFrame, page: int = 1
+    queries: DataFrame, docs: DataFrame, postings: DataFrame, stats: DataFrame, page: int = 1, fold: bool = False
 ) -> DataFrame:
     """One page of documents per query with the total number of hits."""
-    scores = score(queries, postings, stats)
+    scores = score(queries, postings, stats, fold)
     hits = page_of_hits(scores, page).join(total_hits(scores), "query_id")
     return hits.join(docs, hits["doc_id"] == docs["id"]).drop("id")
 

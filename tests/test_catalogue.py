@@ -33,6 +33,21 @@ def test_merging_twice_changes_nothing(spark):
     assert C.unique_audit(second.catalogue.store_products, "store_id", "product_id").count() == 0
 
 
+def test_family_of_the_same_brand(spark):
+    gold = spark.createDataFrame(
+        [(1, "acme", 0, "Leite"), (1, "best", 1, "Leite"), (1, None, 2, "Leite"), (1, "acme", 3, None)],
+        "store_id int, brand string, cluster long, name string",
+    )
+    families = spark.createDataFrame(
+        [(5, 1, "Leite"), (6, 1, "Leite"), (7, 2, "Leite"), (8, None, "Leite")], "family_id long, brand_id long, name string"
+    )
+    brands = spark.createDataFrame([(1, "acme"), (2, "best")], "brand_id long, slug string")
+    wanted = gold.select("store_id", "brand", "cluster").where("brand is not null")
+    by_brand = {r.cluster: r.family_id for r in C.lookup_family(wanted, gold, families, brands).collect()}
+    assert by_brand == {0: 6, 1: 7, 3: None}
+    assert {r.cluster: r.family_id for r in C.lookup_family(wanted, gold, families).collect()} == {0: 8, 1: 8, 3: None}
+
+
 GOLD_COLUMNS = "store_id int, brand string, cluster long, "
 
 

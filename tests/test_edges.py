@@ -64,6 +64,8 @@ def test_search_prefixes(spark):
     assert set(got) == {"a", "e"} and set(got["a"]) == {1, 2}
     assert got["a"][1] > got["a"][2]
     assert got["e"][1] > 1.9 * Q_single(spark, docs)
+    folded = Q.score(asked.where("query_id = 'd'"), Q.build_postings(docs), Q.field_stats(docs), fold=True)
+    assert [r.doc_id for r in folded.collect()] == [3]
 
 
 def Q_single(spark, docs):
