@@ -39,8 +39,10 @@ def best(slug, brands, threshold):
     return found if top >= threshold else None
 
 
-@pytest.mark.parametrize("threshold", [40.0, 50.0, 70.0])
-def test_brand_match_against_all_pairs(spark, threshold):
+@pytest.mark.parametrize("threshold, cells", [(40.0, (4096, 65_536)), (50.0, (4096, 65_536)), (50.0, (2, 5)), (70.0, (4096, 65_536))])
+def test_brand_match_against_all_pairs(spark, monkeypatch, threshold, cells):
+    monkeypatch.setattr(M, "_CHUNK", cells[0])
+    monkeypatch.setattr(M, "_SLUG_CHUNK", cells[1])
     rng = random.Random(11)
     base = ["nestle", "coca-cola", "tio-joao", "sadia", "perdigao", "uniao", "casa-do-queijo", "ab", "abcdef", "--", "guarani-sa", "x"]
     brands = {i + 1: b for i, b in enumerate(base)}
