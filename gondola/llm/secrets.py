@@ -110,10 +110,12 @@ def find_secrets(
     new = staged(scan(versions, ledger, rules), "secret-ledger")
     whole = new if ledger is None else ledger.unionByName(new)
     current = F.concat_ws(" ", "rule", F.col("version").cast("string")).isin(*[f"{r.name} {r.version}" for r in rules])
-    per_blob = (
+    # Written, so that the join deals out both of its sides and a blob that many paths hold can be split.
+    per_blob = staged(
         whole.where(current & (F.size("found") > 0))
         .groupBy("blob")
-        .agg(F.flatten(F.collect_list("found")).alias("spans"))
+        .agg(F.flatten(F.collect_list("found")).alias("spans")),
+        "secret-spans",
     )
     doc = F.struct(*[F.col(c) for c in keep]).alias("doc")
     paths = versions.select(doc, blob_of(text_or_empty()).alias("blob"))
