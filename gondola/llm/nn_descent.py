@@ -4,10 +4,11 @@ A neighbour graph starts from the leaves of random-hyperplane trees and is refin
 joining neighbours of neighbours: around every vector its neighbours in both directions
 meet and improve each other's lists. A list whose last entry still reaches the threshold
 is saturated and is enlarged for the next round. After each round the links of a bounded
-sample are compared with all rows, and the descent ends when that recall is high enough
-or nothing changes. Edges at the threshold stay; where lists were full, the links of a
-vector are counted exactly among all vectors its edges lead to, tile by tile, so
-counts never depend on the length of a list and no pair is written.
+sample are compared with all rows, and the descent ends when that recall is high enough.
+Its components say which vectors share a tile. Then all tiles of a label meet that their
+centres and radii do not keep apart: this counts the links of every vector exactly and
+joins components that links lead across, so results never depend on the length of a
+list and no pair is written.
 
 Equal vectors of a label are one point with a weight. Leaves, neighbourhoods and
 clusters are divided by hash into pieces of bounded size, so a label, a hub or a group
@@ -233,7 +234,44 @@ def _roots(edges: DataFrame) -> DataFrame:
     return cut_lineage(components(nodes, edges, "id"))
 
 
-def _count_kernel(threshold: float):
+def _bounds_kernel(batches):
+    """The unit mean of every tile and the largest angle of a member to it."""
+    for batch in batches:
+        centres, radii = [], []
+        for i in range(batch.num_rows):
+            u = units(matrix(batch.column("members").slice(i, 1).flatten().field("embedding")))
+            mean = u.sum(axis=0)
+            centre = mean / np.linalg.norm(mean) if np.linalg.norm(mean) > 1e-9 else u[0]
+            centres.append(centre)
+            radii.append(float(np.arccos(np.clip(u @ centre, -1, 1)).max()))
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[batch.column(c) for c in ("label", "d", "tile")],
+                pa.array([c.tolist() for c in centres], pa.list_(pa.float64())),
+                pa.array(radii, pa.float64()),
+            ],
+            ["label", "d", "tile", "centre", "radius"],
+        )
+
+
+def _bridges(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different roots that join what ``near`` joins: at most as many as rows and columns."""
+    near = near & (left[:, None] != right[None, :])
+    _, first, at = np.unique(right, return_index=True, return_inverse=True)
+    group = first[at]
+    pairs: list[tuple[int, int]] = []
+    for row in np.flatnonzero(near.any(axis=1)):
+        met = np.unique(group[near[row]])
+        pairs += [(left[row], right[x]) for x in met]
+        if len(met) > 1:
+            group[np.isin(group, met)] = met[0]
+    src, dst = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0).T
+    return src, dst
+
+
+def _pair_kernel(threshold: float):
+    """Per pair of tiles (id, n, null): links of each point, and (root, 0, other root): roots that links join."""
+
     def kernel(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -241,35 +279,70 @@ def _count_kernel(threshold: float):
                 left, right = units(matrix(a.field("embedding"))), units(matrix(b.field("embedding")))
                 ids_a, ids_b = a.field("id").to_numpy(), b.field("id").to_numpy()
                 near = (left @ right.T >= threshold) & (ids_a[:, None] != ids_b[None, :])
-                counts = [near @ b.field("copies").to_numpy()]
-                names = [ids_a]
+                if not near.any():
+                    continue
+                names, counts = [ids_a], [near @ b.field("copies").to_numpy()]
                 if not batch.column("same")[i].as_py():
                     counts.append(a.field("copies").to_numpy() @ near)
                     names.append(ids_b)
+                name, n = np.concatenate(names), np.concatenate(counts)
+                src, dst = _bridges(near, a.field("root").to_numpy(), b.field("root").to_numpy())
+                name, n = name[n > 0], n[n > 0]
+                other = pa.array(np.append(np.zeros_like(name), dst), pa.int64(), mask=np.arange(len(n) + len(dst)) < len(n))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(names), pa.int64()), pa.array(np.concatenate(counts), pa.int64())],
-                    ["id", "n"],
+                    [pa.array(np.append(name, src), pa.int64()), pa.array(np.append(n, np.zeros_like(src)), pa.int64()), other],
+                    ["id", "n", "other"],
                 )
 
     return kernel
 
 
-def count_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, n): exact weighted links of each point among the points of its cluster (root, id, embedding, copies)."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_tiles"))
-    tiles = cut_lineage(
-        members.join(sizes, "root")
-        .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
-        .groupBy("root", "tile")
-        .agg(F.collect_list(F.struct("id", "embedding", "copies")).alias("members"), F.first("_tiles").alias("_tiles"))
+def _tiles(points: DataFrame) -> DataFrame:
+    """(label, d, tile, members): points of a label in tiles; a large component has tiles of its own, so these are narrow."""
+    large = points.groupBy("label", "d", "root").count().where(F.col("count") >= TILE // 4).drop("count")
+    own = F.coalesce("_large", F.lit(False))
+    seated = (
+        points.join(large.withColumn("_large", F.lit(True)), ["label", "d", "root"], "left")
+        .withColumn("_large", own)
+        .withColumn("_seat", F.when(F.col("_large"), F.col("root")).otherwise(F.lit(0)))
+    )
+    keys = ["label", "d", "_large", "_seat"]
+    sizes = seated.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_tiles"))
+    return cut_lineage(
+        seated.join(sizes, keys)
+        .withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")))
+        .groupBy(*keys, "_tile")
+        .agg(F.collect_list(F.struct("id", "embedding", "copies", "root")).alias("members"))
+        .select("label", "d", F.monotonically_increasing_id().alias("tile"), "members")
+    )
+
+
+def links_of_tiles(points: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Exact links within each label, whatever the descent found: (id, n) and (src, dst) between roots.
+
+    ``points`` is (label, d, id, embedding, copies, root). All tiles of a label meet, but
+    for pairs whose centres lie further apart than both radii and the angle of the
+    threshold. No pair of points is written: a task returns the weighted number of links
+    of each point and the pairs of roots that join what its links join.
+    """
+    tiles = _tiles(points)
+    bounds = cut_lineage(
+        tiles.mapInArrow(_bounds_kernel, "label long, d int, tile long, centre array<double>, radius double")
     )
-    later = F.when(F.col("tile") + 1 < F.col("_tiles"), F.sequence(F.col("tile") + 1, F.col("_tiles") - 1))
-    right = tiles.select("root", F.col("tile").alias("_other"), F.col("members").alias("more"))
-    pairs = tiles.select("root", F.explode(later).alias("_other"), "members").join(right, ["root", "_other"])
-    meetings = tiles.select("members", F.col("members").alias("more"), F.lit(True).alias("same")).unionByName(
-        pairs.select("members", "more", F.lit(False).alias("same"))
+    right = bounds.select("label", "d", *[F.col(c).alias(f"_{c}") for c in ("tile", "centre", "radius")])
+    cosine = F.aggregate(F.zip_with("centre", "_centre", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    reach = F.col("radius") + F.col("_radius") + math.acos(threshold) + 1e-6
+    pairs = cut_lineage(
+        bounds.join(right, ["label", "d"])
+        .where((F.col("tile") == F.col("_tile")) | ((F.col("tile") < F.col("_tile")) & (angle <= reach)))
+        .select("tile", "_tile", (F.col("tile") == F.col("_tile")).alias("same"))
     )
-    return meetings.mapInArrow(_count_kernel(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    more = tiles.select(F.col("tile").alias("_tile"), F.col("members").alias("more"))
+    meetings = pairs.join(tiles.select("tile", "members"), "tile").join(more, "_tile").select("members", "more", "same")
+    met = cut_lineage(meetings.mapInArrow(_pair_kernel(threshold), "id long, n long, other long"))
+    counts = met.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
+    return counts, met.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst"))
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -289,15 +362,16 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
     )
     graph, _ = neighbour_graph(points, threshold)
     roots = _roots(_edges(graph, threshold))
-    members = points.select("id", "embedding", "copies").join(roots, "id")
-    counts = count_links(members, threshold)
+    rooted = points.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    counts, bridges = links_of_tiles(rooted, threshold)
+    wider = _roots(bridges).select(F.col("id").alias("root"), F.col("root").alias("_wider"))
     per_point = (
-        points.join(roots, "id", "left")
+        rooted.join(wider, "root", "left")
         .join(counts, "id", "left")
         .select(
             "label",
             F.col("embedding").alias("embedding"),
-            F.coalesce("root", "id").alias("_root"),
+            F.coalesce("_wider", "root").alias("_root"),
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("_links"),
         )
     )

@@ -157,6 +157,31 @@ def test_nn_descent_against_brute_force(spark, monkeypatch):
     assert nn_descent.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def nn_descent_equals_all_pairs(spark, x):
+    """``x`` as one label; whole results against all pairs."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    want = roots(range(len(x)), np.argwhere(np.triu(near)).tolist())
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nn_descent.near_duplicate_vectors(df).collect()}
+    assert got == {i: (int(near[i].sum()), want[i], want[i] == i) for i in range(len(x))}
+    return near
+
+
+def test_nn_descent_joins_saturated_neighbourhoods(spark, monkeypatch):
+    """Two groups of near copies with a few links across: no list of eight holds one of them."""
+    monkeypatch.setattr(nn_descent, "LONGEST", 8)
+    monkeypatch.setattr(nn_descent, "TILE", 128)
+    rng = np.random.default_rng(4)
+    one = np.eye(64)[0]
+    other = 0.935 * one + np.sqrt(1 - 0.935**2) * np.eye(64)[1]
+    x = np.concatenate([c + 0.1 / 8 * rng.normal(size=(200, 64)) for c in (one, other)])
+    near = nn_descent_equals_all_pairs(spark, x)
+    assert near[:200, 200:].any() and near[:200, :200].sum() > 200 * 190
+
+
 def test_op3_runs_on_all_rows(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert op3_nn_descent(spark, SF).count() == n
