@@ -3,8 +3,8 @@
 A neighbour graph starts from the leaves of random-hyperplane trees and is refined by
 joining neighbours of neighbours: around every vector its neighbours in both directions
 meet and improve each other's lists. A list whose last entry still reaches the threshold
-is saturated and is enlarged for the next round. After each round the links of a bounded
-sample are compared with all rows, and the descent ends when that recall is high enough.
+is saturated and is enlarged for the next round. The descent ends when a round finds no
+new link, or after ``ROUNDS``.
 Its components say which vectors share a tile. Then all tiles of a label meet that their
 centres and radii do not keep apart: this counts the links of every vector exactly and
 joins components that links lead across, so results never depend on the length of a
@@ -35,8 +35,6 @@ from gondola.session import cut_lineage
 
 TREES, LEAF, NEIGHBOURS, LONGEST = 6, 64, 8, 64
 ROUNDS = 4
-#: Vectors whose links are checked against all rows after each round, and the recall that ends the descent.
-AUDIT, RECALL = 512, 0.999
 #: Members of a neighbourhood and of a tile of a cluster that meet in one task.
 MEETING, TILE = 64, 1_024
 SEED = 93
@@ -169,38 +167,8 @@ def _descend(graph: DataFrame, points: DataFrame, threshold: float) -> DataFrame
     return merged.select("id", "k", F.slice("found", 1, F.col("k")).alias("found"))
 
 
-def _links_of_sample(points: DataFrame, threshold: float) -> tuple[DataFrame, list[int]]:
-    """Links of at most ``AUDIT`` points found by comparing them with all rows, and the ids of these points."""
-    rows = points.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "label", "embedding").collect()
-    sample = [(r.id, r.label, units(np.array([r.embedding]))[0]) for r in rows]
-
-    def kernel(batches):
-        for batch in batches:
-            ids, labels, dims = (batch.column(c).to_numpy() for c in ("id", "label", "d"))
-            a, b = [], []
-            for d in np.unique(dims):
-                own = np.flatnonzero(dims == d)
-                u = units(matrix(batch.column("embedding").take(pa.array(own))))
-                few = [s for s in sample if len(s[2]) == d]
-                if few:
-                    near = np.stack([s[2] for s in few]) @ u.T >= threshold
-                    near &= np.array([s[1] for s in few])[:, None] == labels[own][None, :]
-                    near &= np.array([s[0] for s in few])[:, None] != ids[own][None, :]
-                    i, j = np.nonzero(near)
-                    a += [few[k][0] for k in i]
-                    b += ids[own][j].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["id", "other"])
-
-    links = points.select("id", "label", "d", "embedding").mapInArrow(kernel, "id long, other long")
-    return cut_lineage(links), [r.id for r in rows]
-
-
-def neighbour_graph(points: DataFrame, threshold: float, rounds: int = ROUNDS) -> tuple[DataFrame, list[float]]:
-    """(id, k, found) and the audited recall of each round.
-
-    A link counts as found if it is in either list, or if the lists connect its ends
-    and one of them is saturated, since these are counted exactly afterwards.
-    """
+def neighbour_graph(points: DataFrame, threshold: float, rounds: int = ROUNDS) -> DataFrame:
+    """(id, k, found). Ends when a round finds no new link, or after ``rounds``; the tiles find what is left."""
     start = _best(_meet(_leaves(points)), F.lit(NEIGHBOURS))
     none = F.array().cast("array<struct<sim:double,id:long>>")
     graph = cut_lineage(
@@ -208,19 +176,13 @@ def neighbour_graph(points: DataFrame, threshold: float, rounds: int = ROUNDS) -
             "id", F.lit(NEIGHBOURS).alias("k"), F.coalesce("found", none).alias("found")
         )
     )
-    truth, _ = _links_of_sample(points, threshold)
-    total = truth.count()
-    recalls: list[float] = []
+    links = _edges(graph, threshold).count()
     for _ in range(rounds):
         graph = cut_lineage(_descend(graph, points, threshold))
-        edges = _edges(graph, threshold)
-        roots = _roots(edges)
-        ends = truth.join(roots, "id").join(roots.select(F.col("id").alias("other"), F.col("root").alias("_r")), "other")
-        found = ends.where(F.col("root") == F.col("_r")).count()
-        recalls.append(found / total if total else 1.0)
-        if recalls[-1] >= RECALL:
+        before, links = links, _edges(graph, threshold).count()
+        if links == before:
             break
-    return graph, recalls
+    return graph
 
 
 def _edges(graph: DataFrame, threshold: float) -> DataFrame:
@@ -360,7 +322,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
         .withColumn("d", F.size("embedding")),
         "vector-points",
     )
-    graph, _ = neighbour_graph(points, threshold)
+    graph = neighbour_graph(points, threshold)
     roots = _roots(_edges(graph, threshold))
     rooted = points.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     counts, bridges = links_of_tiles(rooted, threshold)

@@ -182,6 +182,20 @@ def test_nn_descent_joins_saturated_neighbourhoods(spark, monkeypatch):
     assert near[:200, 200:].any() and near[:200, :200].sum() > 200 * 190
 
 
+def test_nn_descent_finds_isolated_pairs_beside_a_hot_group(spark, monkeypatch):
+    """A third of the label are near copies, whose links outnumber those of all pairs; one tree misses many pairs."""
+    monkeypatch.setattr(nn_descent, "TREES", 1)
+    rng = np.random.default_rng(6)
+    hot = np.eye(64)[0] + 0.1 / 8 * rng.normal(size=(500, 64))
+    one = rng.normal(size=(500, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    side = rng.normal(size=(500, 64))
+    side -= (side * one).sum(axis=1, keepdims=True) * one
+    other = 0.94 * one + np.sqrt(1 - 0.94**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    near = nn_descent_equals_all_pairs(spark, np.concatenate([hot, one, other]))
+    assert near[500:, 500:].sum() >= 1000
+
+
 def test_op3_runs_on_all_rows(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert op3_nn_descent(spark, SF).count() == n
