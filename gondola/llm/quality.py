@@ -1,8 +1,8 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
 The model is over bytes (order 4, digits as one), so n-grams are exact integers and a
-suffix or a context is a mask or a shift. It is trained on all trusted text: documents
-labelled good and not toxic.
+suffix or a context is a mask or a shift. It is trained on trusted text: documents
+labelled good and not toxic, but for one of ``HELD`` that is held out.
 
 1. Documents are dealt into blocks by hash. A block sends its distinct n-grams with
    their trusted counts, so what is shuffled follows the vocabulary, not the text.
@@ -11,9 +11,9 @@ labelled good and not toxic.
    n-gram any block asked for.
 3. Each block gets the probabilities it asked for and scores its documents.
 4. A document is rejected if its mean negative log probability per byte, less an
-   allowance for short texts, lies beyond its language's fence: the median of the
-   trusted documents plus ``FENCE`` times the distance of their 95 % quantile from it.
-   Languages with few trusted documents use the fence over all languages.
+   allowance for short texts, lies beyond its language's fence: the ``TOP`` quantile of
+   the documents labelled good that the model was not trained on. Languages with few of
+   them use the fence over all languages; without any, those of the training count.
 
 The texts are shuffled once: both passes read the same exchange in one plan.
 
@@ -37,8 +37,9 @@ ORDER = 4
 BLOCK_CHARS = 16_000_000
 #: Allowance for short texts, in nats times the square root of the bytes.
 SHORT = 8.0
-FENCE = 4.0
-#: Trusted documents a language needs for a fence of its own.
+#: One of so many trusted documents is held out of the training, and the quantile of the costs not trained on.
+HELD, TOP = 8, 0.995
+#: Documents outside the training a language needs for a fence of its own.
 LEAST_TRUSTED = 50
 
 _PART = 1_000_000
@@ -195,9 +196,14 @@ def probabilities(asked: DataFrame) -> DataFrame:
     return by_level.select("gram", (-F.log(p)).alias("cost"))
 
 
+def _good(labels: DataFrame, condition: F.Column | bool = True) -> DataFrame:
+    good = (F.col("quality") == 1) & F.col("doc_id").isNotNull() & F.lit(condition)
+    return labels.where(good).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+
+
 def _trusted(labels: DataFrame) -> DataFrame:
-    good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    return labels.where(good & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0
+    return _good(labels, F.coalesce(F.col("toxic"), F.lit(0)) == 0).where(~held)
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -230,15 +236,19 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
         ),
         "perplexities",
     )
-    trusted = scored.select("doc_id", "lang", "adjusted").join(_trusted(labels), "doc_id", "left_semi")
-    spots = F.percentile_approx("adjusted", [0.5, 0.95], 10_000)
-    fence = lambda q: q[0] + FENCE * (q[1] - q[0])
-    overall = trusted.agg(spots.alias("q")).select(fence(F.col("q"))).first()[0]
+    costs = scored.select("doc_id", "lang", "adjusted")
+    trusted = costs.join(_trusted(labels), "doc_id", "left_semi")
+    unseen = costs.join(_good(labels).join(_trusted(labels), "doc_id", "left_anti"), "doc_id", "left_semi")
+    spot = F.percentile_approx("adjusted", TOP, 10_000)
+    overall = unseen.select(spot).first()[0]
+    if overall is None:
+        unseen = trusted
+        overall = unseen.select(spot).first()[0]
     fences = (
-        trusted.groupBy("lang")
-        .agg(spots.alias("q"), F.count("adjusted").alias("n"))
+        unseen.groupBy("lang")
+        .agg(spot.alias("fence"), F.count("adjusted").alias("n"))
         .where(F.col("n") >= LEAST_TRUSTED)
-        .select("lang", fence(F.col("q")).alias("fence"))
+        .select("lang", "fence")
     )
     limit = F.coalesce("fence", F.lit(overall).cast("double"))
     return scored.join(fences, "lang", "left").select(

@@ -71,6 +71,15 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert judged.count() == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
 
 
+def test_little_junk_stays(spark):
+    judged = op5_quality(spark, "/root/testdata/sf0.1").select("doc_id", "kept")
+    rows = judged.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
+    clean = [r.kept for r in rows if r.quality == 1]
+    junk = [r.kept for r in rows if r.quality == 0]
+    print(f"junk kept {sum(junk)} of {len(junk)}, clean lost {len(clean) - sum(clean)} of {len(clean)}")
+    assert np.mean(junk) < 0.1 and np.mean(clean) > 0.995
+
+
 @pytest.mark.parametrize("label", [(1, 0), (0, 0), (None, None)])
 def test_quality_hard_rows(spark, hard_docs, no_docs, label):
     rows, df = hard_docs
