@@ -107,11 +107,39 @@ def read_state(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
     return _newest(rows, _clock(spark, root, batch_id))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _late_versions(spark: SparkSession, root: str, versions: list[int]) -> set[int]:
+    """Those of ``versions`` that set events aside."""
+    paths = [f"{_version(root, v)}/late" for v in versions]
+    paths = [p for p in paths if (at := _hadoop(spark, p))[0].exists(at[1])]
+    if not paths:
+        return set()
+    rows = spark.read.schema(f"{EVENT_SCHEMA}, version bigint").option("basePath", root).parquet(*paths)
+    return {r.version for r in rows.select("version").distinct().collect()}
+
+
 def _drop_before(spark: SparkSession, root: str, batch_id: int) -> None:
-    """Remove the versions of the ``FULL_EVERY`` batches before ``batch_id``."""
-    for old in range(max(0, batch_id - FULL_EVERY), batch_id):
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_version(root, old))
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    """Remove the carts and clocks of the ``FULL_EVERY`` batches before ``batch_id``; late events stay.
+
+    No later version has the events a batch set aside, so its folder goes only without any.
+    """
+    versions = list(range(max(0, batch_id - FULL_EVERY), batch_id))
+    held = _late_versions(spark, root, versions)
+    for old in versions:
+        for part in ("/carts", "/clock") if old in held else ("",):
+            system, place = _hadoop(spark, _version(root, old) + part)
+            system.delete(place, True)
+
+
+def read_late(spark: SparkSession, root: str) -> DataFrame:
+    """All events that came too late, with the version of the batch that set them aside."""
+    rows = spark.read.schema(f"{EVENT_SCHEMA}, version bigint").option("basePath", root)
+    return rows.parquet(f"{root.rstrip('/')}/version=*/late")
 
 
 def start_cart_state(
@@ -124,7 +152,8 @@ def start_cart_state(
     written follows the batch, and reading meets at most ``FULL_EVERY`` versions. A
     batch that is run again overwrites the same version, so the result does not
     change. When the same stream is resumed the versions before are found by the
-    batch id. The versions between two whole ones go when a third is complete.
+    batch id. The carts between two whole versions go when a third is complete; events
+    that came too late stay with the version that set them aside (``read_late``).
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:

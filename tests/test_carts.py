@@ -75,6 +75,20 @@ def test_whole_versions_and_touched_carts(spark, tmp_path, monkeypatch):
     assert written["4"] == {0} and written["7"] == {3} and len(written["6"]) == len({r[2] for r in rows})
 
 
+def test_late_events_outlive_their_version(spark, tmp_path):
+    root = str(tmp_path / "state")
+    rows = spark.createDataFrame([(7, None, 1, "clear", "0", 0)], R.EVENT_SCHEMA).coalesce(1)
+    for version in range(3):
+        for part in ("carts", "clock", "late"):
+            held = rows if version != 1 else rows.limit(0)
+            held.write.parquet(f"{R._version(root, version)}/{part}")
+    for _ in range(2):  # the batch may be run again
+        R._drop_before(spark, root, 2)
+        left = {f"{p.parent.name[-1]}/{p.name}" for p in (tmp_path / "state").glob("version=*/*")}
+        assert left == {"0/late", "2/carts", "2/clock", "2/late"}  # version 1 set nothing aside
+    assert [(r.version, r.seq) for r in R.read_late(spark, root).orderBy("version").collect()] == [(0, 7), (2, 7)]
+
+
 def test_running_a_batch_again_gives_the_same(spark):
     first, second = events(100, 5), events(100, 6, start=500)
     empty = spark.createDataFrame([], R.STATE_SCHEMA), spark.createDataFrame([], "cart_id long, last_seq long")
