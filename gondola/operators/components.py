@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.session import cut_lineage
+from gondola.session import cut_lineage, forget
 
 
 def _shortcut(parents: DataFrame) -> DataFrame:
-    """Point every vertex at the end of its chain; chains halve each round."""
+    """Point every vertex at the end of its chain; chains halve each round. Takes and gives a cut (v, p)."""
     while True:
         up = parents.select(F.col("v").alias("_at"), F.col("p").alias("_up"))
         jumped = cut_lineage(
@@ -17,7 +17,8 @@ def _shortcut(parents: DataFrame) -> DataFrame:
                 "v", F.coalesce("_up", "p").alias("p"), (F.coalesce("_up", "p") != F.col("p")).alias("moved")
             )
         )
-        parents = jumped.select("v", "p")
+        forget(parents)
+        parents = jumped
         if jumped.where("moved").isEmpty():
             return parents
 
@@ -41,18 +42,20 @@ def components(vertices: DataFrame, edges: DataFrame, id_col: str = "id") -> Dat
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         hooked = both.groupBy("src").agg(F.min("dst").alias("m"))
         parents = _shortcut(cut_lineage(hooked.select(F.col("src").alias("v"), F.least("src", "m").alias("p"))))
-        if labels is None:
-            labels = parents
+        before = labels
+        if before is None:
+            labels = cut_lineage(parents.select("v", "p"))
         else:
             step = parents.select(F.col("v").alias("_at"), F.col("p").alias("_up"))
             labels = cut_lineage(
-                labels.join(step, F.col("p") == F.col("_at"), "left").select("v", F.coalesce("_up", "p").alias("p"))
+                before.join(step, F.col("p") == F.col("_at"), "left").select("v", F.coalesce("_up", "p").alias("p"))
             )
         source = parents.select(F.col("v").alias("src"), F.col("p").alias("a"))
         target = parents.select(F.col("v").alias("dst"), F.col("p").alias("b"))
-        edges = tidy(
-            edges.join(source, "src").join(target, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        )
+        merged = edges.join(source, "src").join(target, "dst")
+        left = tidy(merged.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        forget(edges, parents, before)
+        edges = left
     all_ids = vertices.select(id_col)
     if labels is None:
         return all_ids.withColumn("root", F.col(id_col))

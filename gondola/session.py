@@ -1,9 +1,10 @@
-"""Session set-up and the reliable checkpoint used to cut long lineages."""
+"""Session set-up, the folder all executors share, and the cut of long lineages."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,22 +29,49 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
     Only a local master may run without that setting, since there the driver
-    and the executors share one disk.
+    and the executors share one disk; it gets one folder per session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="gondola-checkpoint-")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="gondola-checkpoint-"))
+    return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def _hadoop_path(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/gondola/{name}-{uuid.uuid4().hex}"
+    files, place = _hadoop_path(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and continue from there.
+
+    Unlike a checkpoint, which keeps the size estimate of the plan it cuts, the
+    result is sized by its files, so that estimates do not multiply from cut to
+    cut and joins are planned by what is there.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*cuts: DataFrame | None) -> None:
+    """Remove the files of cuts that nothing reads any more; a loop calls it for the rounds behind it."""
+    for df in cuts:
+        for file in df.inputFiles()[:1] if df is not None else []:
+            files, place = _hadoop_path(df.sparkSession, file.rpartition("/")[0])
+            files.delete(place, True)

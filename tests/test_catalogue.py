@@ -130,6 +130,6 @@ def test_gold_first_known_values_and_nesting(spark):
     assert set(nested) == {1, 2} and gold.families.count() == 2
     one = nested[1]
     assert [(v.weight, v.image_url, [s.ref_id for s in v.sellers]) for v in one.variations] == [(1, "img", ["a", "b"]), (2, "img2", ["c"])]
-    back = flatten_gold(nest_gold(gold, rows=1))
+    back = flatten_gold(nest_gold(gold))
     assert rows(back.variations.select("store_id", "weight", "name", "image_url")) == rows(gold.variations.select("store_id", "weight", "name", "image_url"))
     assert back.sellers.count() == 4
