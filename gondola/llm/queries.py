@@ -4,6 +4,7 @@ from gondola.llm import (  # noqa: F401
     dedup_queries,
     pipeline_query,
     quality_queries,
+    run_queries,
     span_queries,
     token_queries,
 )

@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.session import shared_dir
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder all executors share; removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/gondola-llm/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+from gondola.session import cut_lineage, shared_path  # noqa: F401
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    The cut survives lost executors, and later steps read only the columns they need.
-    """
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back; later steps read only the columns they need."""
+    return cut_lineage(df, name)
 
 
 #: Rows of a batch that a task turns into Python values at once.
@@ -45,3 +30,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def kept_columns(names: list[str]) -> Column:
+    """The columns ``names`` as one struct, so that no name can clash with those an operator makes."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in names])
