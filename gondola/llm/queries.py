@@ -7,5 +7,6 @@ from gondola.llm import (  # noqa: F401
     run_queries,
     span_queries,
     token_queries,
+    turn_queries,
 )
 from gondola.llm.registry import ORACLES, QUERIES  # noqa: F401
