@@ -2,6 +2,7 @@
 
 from gondola.llm import (  # noqa: F401
     dedup_queries,
+    page_queries,
     pipeline_query,
     quality_queries,
     run_queries,
