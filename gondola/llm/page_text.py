@@ -367,9 +367,10 @@ def templates(read: DataFrame, share: float = SHARE, pages: int = PAGES, prose_s
 def main_text(pages: DataFrame, keep: list[str], share: float = SHARE, least_pages: int = PAGES) -> DataFrame:
     """(page, text, n_template): main text of every row of ``pages`` (url, html) and its blocks removed as template."""
     read = staged(read_pages(pages, keep), "pages")
-    shared = templates(read, share, least_pages)
+    # Both are written, so that their size decides whether pages are shuffled to meet them.
+    shared = staged(templates(read, share, least_pages), "templates")
     around = read.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash"))
-    met = around.join(shared, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("template"))
+    met = staged(around.join(shared, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("template")), "met")
     none = F.array().cast("array<long>")
     joined = read.select("page", "row", "blocks").join(met, "row", "left").withColumn("template", F.coalesce("template", none))
     left = joined.select(
