@@ -15,9 +15,11 @@ bound for leaving a pair out.
    once, and the same walk confirms each step on the full shingle sets.
 4. Confirmed links give the components.
 
-Buckets and clusters are divided into tiles of bounded size. For a cluster of
-several tiles the tiles are walked alone, then one leader of every part, then the
-documents outside the largest part against all tiles: nothing is left out.
+Buckets and clusters are divided into tiles of bounded size, dealt by tile and read
+from sorted rows, so a task holds one tile at a time. For a cluster of several tiles the
+tiles are walked alone, then one leader of every part, then the documents outside the
+largest part against all tiles: nothing is left out. There sketches meet first, and
+texts travel only for documents that have a similar sketch in the other tile.
 
 Defined results: texts without words, null texts and rows with null id link with
 nothing; rows with one id are one document; an empty table gives no rows; other
@@ -204,37 +206,78 @@ def _similar(sets, x: int, others: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (sizes + len(mine) - common)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of ``g``, which follow one another across batches."""
+    waiting: list[pa.RecordBatch] = []
+    current = None
+    for batch in slices(batches):
+        keys = batch.column("g").to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if keys[a] != current and waiting:
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            current = keys[a]
+            waiting.append(batch.slice(a, b - a))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _sketches(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8)
+    return group.column("id").to_numpy(), group.column("n").to_numpy(), sketches.reshape(group.num_rows, -1)
+
+
 def _walk_kernel(percent: int, lowest: float, words: int | None):
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            if group.num_rows < 2:
+                continue
+            ids, sizes, sketches = _sketches(group)
+            sets = part = None
+            if words is not None:
+                sets = [shingles(t, words) for t in group.column("text").to_pylist()]
+                part = group.column("part").to_numpy()
+            found = walk(ids, sizes, sketches, percent, lowest, sets, part)
+            if found:
+                src, dst = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return kernel
+
+
+def _similar_kernel(percent: int, lowest: float):
+    """Of a pair of tiles (side 0 and 1): documents with a similar sketch of another part on the other side."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for k in range(batch.num_rows):
-                members = batch.column("members").slice(k, 1).flatten()
-                ids = members.field("id").to_numpy()
-                sizes = members.field("n").to_numpy()
-                flat = b"".join(members.field("sketch").to_pylist())
-                sketches = np.frombuffer(flat, np.uint8).reshape(len(ids), -1)
-                sets = part = None
-                if words is not None:
-                    sets = [shingles(t, words) for t in members.field("text").to_pylist()]
-                    part = members.field("part").to_numpy()
-                found += walk(ids, sizes, sketches, percent, lowest, sets, part)
-            src, dst = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], schema=schema)
+        for group in _groups(batches):
+            ids, sizes, sketches = _sketches(group)
+            part, side = group.column("part").to_numpy(), group.column("side").to_numpy()
+            others, met = np.flatnonzero(side == 1), np.zeros(len(ids), bool)
+            for x in np.flatnonzero(side == 0):
+                low, high = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
+                near = others[(100 * low >= percent * high) & (part[others] != part[x])]
+                near = near[(sketches[near] == sketches[x]).sum(axis=1) >= lowest * sketches.shape[1]]
+                met[near] = True
+                met[x] |= len(near) > 0
+            if met.any():
+                yield pa.RecordBatch.from_arrays(
+                    [group.column(c).combine_chunks().filter(pa.array(met)) for c in ("g", "id", "key")], ["g", "id", "key"]
+                )
 
     return kernel
 
 
-def _edges(tiles: DataFrame, percent: int, lowest: float, words: int | None = None) -> DataFrame:
-    return tiles.select("members").mapInArrow(_walk_kernel(percent, lowest, words), "src long, dst long")
+def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of one ``g`` next to each other in one partition."""
+    return rows.select("g", *columns).repartition("g").sortWithinPartitions("g")
 
 
-def _pairs(tiles: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    """Members of a tile and of each tile it has to meet, as one list."""
-    right = others.select(*keys, F.col("tile").alias("_other"), F.col("members").alias("_more"))
-    return tiles.join(right, [*keys, "_other"]).select(F.concat("members", "_more").alias("members"))
+def _edges(rows: DataFrame, percent: int, lowest: float, words: int | None = None) -> DataFrame:
+    columns = ["id", "n", "sketch"] if words is None else ["id", "n", "sketch", "text", "part"]
+    return _dealt(rows, columns).mapInArrow(_walk_kernel(percent, lowest, words), "src long, dst long")
 
 
 def _bucket_edges(classes: DataFrame, percent: int, lowest: float) -> DataFrame:
@@ -247,13 +290,10 @@ def _bucket_edges(classes: DataFrame, percent: int, lowest: float) -> DataFrame:
         .select("band", "id", "key", tiles.alias("_tiles"), F.pmod(F.xxhash64("id", "key"), tiles).cast("int").alias("tile"))
         .join(classes.select("id", "key", "n", "sketch"), ["id", "key"])
     )
-    tiled = members.groupBy("band", "tile").agg(
-        F.collect_list(F.struct("id", "n", "sketch")).alias("members"), F.first("_tiles").alias("_tiles")
-    )
-    later = F.when(F.col("tile") + 1 < F.col("_tiles"), F.sequence(F.col("tile") + 1, F.col("_tiles") - 1))
-    left = tiled.where("_tiles > 1").select("band", F.explode(later).alias("_other"), "members")
-    lone = _edges(tiled.where(F.size("members") > 1), percent, lowest)
-    return lone.unionByName(_edges(_pairs(left, tiled.where("_tiles > 1"), ["band"]), percent, lowest))
+    # A tile of a large bucket meets each other tile: a row goes to the pairs its tile is part of.
+    every = F.sequence(F.lit(0), F.col("_tiles") - 1)
+    pair = F.transform(every, lambda t: F.xxhash64("band", F.least("tile", t), F.greatest("tile", t)))
+    return _edges(members.withColumn("g", F.explode(pair)), percent, lowest)
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -263,23 +303,18 @@ def _labels(edges: DataFrame) -> DataFrame:
 
 
 def _tiled(members: DataFrame) -> DataFrame:
-    """Clusters cut into tiles of bounded size: (root, tile, _tiles, members)."""
+    """``members`` with the tile of their cluster and the number of its tiles."""
     sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / CLUSTER_TILE).cast("int").alias("_tiles"))
-    return (
-        members.join(sizes, "root")
-        .withColumn("tile", F.pmod(F.xxhash64("id", "key"), F.col("_tiles")).cast("int"))
-        .groupBy("root", "tile")
-        .agg(
-            F.collect_list(F.struct("id", "n", "sketch", "text", "part")).alias("members"),
-            F.first("_tiles").alias("_tiles"),
-        )
-    )
+    tile = F.pmod(F.xxhash64("id", "key"), F.col("_tiles")).cast("int")
+    return members.join(sizes, "root").withColumn("tile", tile)
 
 
-def _confirmed(members: DataFrame, percent: int, lowest: float, words: int) -> DataFrame:
-    """Exact links that connect the documents of each cluster; members (root, id, key, n, sketch, text)."""
-    alone = members.withColumn("part", F.xxhash64("id", "key"))
-    edges = cut_lineage(_edges(_tiled(alone), percent, lowest, words))
+def _confirmed(members: DataFrame, texts: DataFrame, percent: int, lowest: float, words: int) -> DataFrame:
+    """Exact links that connect the documents of each cluster; members (root, id, key, n, sketch), texts (id, key, text)."""
+    walked = lambda rows: _edges(texts.join(rows, ["id", "key"]), percent, lowest, words)
+    in_tile = F.xxhash64("root", "tile")
+    alone = _tiled(members).withColumns({"part": F.xxhash64("id", "key"), "g": in_tile})
+    edges = cut_lineage(walked(alone))
     sizes = members.groupBy("root").agg(F.sum("n").alias("_n")).where(F.col("_n") > CLUSTER_TILE)
     large = cut_lineage(members.join(sizes.select("root"), "root", "left_semi"))
     if large.isEmpty():
@@ -293,19 +328,31 @@ def _confirmed(members: DataFrame, percent: int, lowest: float, words: int) -> D
         )
         if leaders:
             heads = parts.select("root", "part", F.col("_lead.id").alias("id"), F.col("_lead.key").alias("key"))
-            more = _edges(_tiled(parted.join(heads, ["root", "part", "id", "key"], "left_semi")), percent, lowest, words)
+            led = _tiled(parted.join(heads, ["root", "part", "id", "key"], "left_semi"))
+            more = walked(led.withColumn("g", in_tile))
         else:
-            largest = parts.groupBy("root").agg(F.max_by("part", F.struct("_size", "part")).alias("_main"))
-            rest = parted.join(largest, "root").where(F.col("part") != F.col("_main")).drop("_main")
-            tiles = cut_lineage(_tiled(parted))
-            meet = _tiled(rest).join(tiles.select("root", F.col("tile").alias("_other")), "root")
-            more = _edges(
-                _pairs(meet.select("root", "_other", "members"), tiles, ["root"]), percent, lowest, words
-            )
+            more = walked(_across(parted, parts, percent, lowest))
         edges = cut_lineage(edges.unionByName(more))
     return edges
 
 
+def _across(parted: DataFrame, parts: DataFrame, percent: int, lowest: float) -> DataFrame:
+    """Documents by pair of tiles ``g`` that may link: those outside of a cluster's largest part against all."""
+    largest = parts.groupBy("root").agg(F.max_by("part", F.struct("_size", "part")).alias("_main"))
+    rest = cut_lineage(_tiled(parted.join(largest, "root").where(F.col("part") != F.col("_main")).drop("_main")))
+    every = cut_lineage(_tiled(parted))
+    count = lambda df: df.groupBy("root").agg(F.first("_tiles").alias("_others"))
+    to_all = lambda df, others: df.join(count(others), "root").withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), F.col("_others") - 1))
+    )
+    left = to_all(rest, every).withColumns({"g": F.xxhash64("root", "tile", "_other"), "side": F.lit(0)})
+    right = to_all(every, rest).withColumns({"g": F.xxhash64("root", "_other", "tile"), "side": F.lit(1)})
+    columns = ["id", "key", "n", "sketch", "part", "side"]
+    both = left.select("g", *columns).unionByName(right.select("g", *columns))
+    met = _dealt(both, columns).mapInArrow(_similar_kernel(percent, lowest), "g long, id long, key long")
+    return met.distinct().join(parted.select("id", "key", "n", "sketch", "part"), ["id", "key"])
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, kept): one row per row of ``docs``.
 
@@ -335,10 +382,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         "shingle-classes",
     )
     similar = cut_lineage(_bucket_edges(classes, percent, lowest).distinct())
-    clusters = _labels(similar).join(classes.select("id", "key", "n", "sketch"), "id")
-    texts = rows.select(F.col("doc_id").alias("id"), "key", "text")
-    members = texts.join(clusters, ["id", "key"])
-    links = _confirmed(members, percent, lowest, words)
+    clusters = cut_lineage(_labels(similar).join(classes.select("id", "key", "n", "sketch"), "id"))
+    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "key", "text").dropDuplicates(["id", "key"])
+    links = _confirmed(clusters, texts, percent, lowest, words)
     found = _labels(links)
     per_class = classes.select("digest", "id").join(found, "id", "left").select(
         "digest", F.coalesce("root", "id").alias("_component")
@@ -354,8 +400,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near copies; repeated rows stay once."""
-    key = F.xxhash64(text_or_empty())
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    same = F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_key") == key)
-    return docs.join(kept.distinct(), same, "left_semi").dropDuplicates(docs.columns)
+    """``docs`` with one document of each group of near copies; repeated rows stay once.
+
+    Columns may have any names and types; map values are compared by their JSON.
+    """
+    inner = [f"_c{i}" for i in range(len(docs.columns))]
+    place = {c: x for c, x in zip(docs.columns, inner, strict=True)}
+    named = docs.toDF(*inner)
+    core = named.select(F.col(place["doc_id"]).alias("doc_id"), F.col(place["text"]).alias("text"))
+    kept = near_duplicates(core, words, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    key = F.xxhash64(text_or_empty(place["text"]))
+    same = F.col("_id").eqNullSafe(F.col(place["doc_id"]).cast("long")) & (F.col("_key") == key)
+    maps = {f"_m{x}": F.to_json(F.struct(x)) for x in inner if "map<" in named.schema[x].dataType.simpleString()}
+    plain = [x for x in inner if f"_m{x}" not in maps]
+    left = named.join(kept.distinct(), same, "left_semi").withColumns(maps).dropDuplicates([*plain, *maps])
+    return left.select(*inner).toDF(*docs.columns)

@@ -103,6 +103,15 @@ def test_hard_rows(spark, hard_docs, no_docs):
     assert sketch_dedup.near_duplicates(no_docs).count() == 0 and sketch_dedup.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_drop_keeps_columns_of_any_name_and_type(spark):
+    base = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, base, {"a": 1}, 5), (1, base, {"a": 1}, 5), (2, base + " x", {"b": 2}, 6), (3, "other words here", None, 7)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _key map<string,int>, `_id.x` int").withColumn("_id", F.lit(1))
+    kept = sketch_dedup.drop_near_duplicates(df)
+    assert kept.schema == df.schema
+    assert sorted((r.doc_id, r._key) for r in kept.collect()) == [(1, {"a": 1}), (3, None)]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
