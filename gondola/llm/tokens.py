@@ -1,23 +1,31 @@
 """Token ids of whole texts with a public tokenizer, inside tasks.
 
-A text is cut where the tokenizer's own pre-tokenization always cuts: around white
-space (a single blank stays with what follows) and between letters and the signs
-that end a word. The units between these cuts are encoded by the library once and
-kept, so its cost follows the vocabulary of a task and not its text; a unit that is
-one pre-token goes to the library's model directly. Texts with white space beyond
-ASCII or with the string of a special token are encoded whole.
+A text is cut at blanks, and the ids of each blank with the word behind it are kept: a
+pre-token never crosses a blank that stands between a character and a word, so words
+met before cost a look-up. A new word is cut further between letters and the signs that
+end it, where the tokenizer's own pre-tokenization always cuts; the units between these
+cuts are encoded by the library once and kept as well, so its cost follows the
+vocabulary of a task and not its text. A unit that is one pre-token goes to the
+library's model directly.
+
+Texts with a blank between two white spaces are cut by the pattern of the units alone;
+texts with white space beyond ASCII or with the string of a special token are encoded
+whole. All this rests on a byte-level tokenizer without normalizer, with the usual
+pattern, which is looked up when it is loaded: of any other one all texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 
-#: Units a worker keeps before it lets go of those it has not met lately.
-CACHE_UNITS = 500_000
+#: Units and words a worker keeps before it lets go of the older half.
+CACHE_UNITS = 600_000
 #: Characters encoded by one call of the library.
 CALL_CHARS = 200_000
 
@@ -27,6 +35,9 @@ _UNIT = re.compile(
     rf" ?[{_LETTERS}]+(?=[{_SIGNS}]*(?!\S))|(?<=[{_LETTERS}])[{_SIGNS}]+(?!\S)|\s+(?!\S)| ?\S+|\s", re.ASCII
 )
 _SINGLE = re.compile(rf" ?[{_LETTERS}]+|[{_SIGNS}]+", re.ASCII)
+_WORD = re.compile(rf"( [{_LETTERS}]+)([{_SIGNS}]*)", re.ASCII)
+#: A blank behind white space, which may belong to a longer run of it.
+_BLANKS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 _WHOLE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
@@ -38,6 +49,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _is_usual(tokenizer) -> bool:
+    """Byte-level BPE without normalizer and with the pattern that ``_UNIT`` refines."""
+    made = json.loads(tokenizer.to_str())
+    model, split = made["model"], made["pre_tokenizer"] or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token", "ignore_merges"))
+    usual = split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split["use_regex"]
+    return made["normalizer"] is None and usual and model["type"] == "BPE" and plain
+
+
 def _load(path: str) -> Callable[[list[str]], list[bytes]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -46,15 +66,19 @@ def _load(path: str) -> Callable[[list[str]], list[bytes]]:
     model, letters = tokenizer.model, _byte_letters()
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
-    known: dict[str, bytes] = {}
+    raw = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+    known: dict[str, bytes] = {}  # units
+    words: dict[str, bytes] = {}  # words, each with the blank before it
+
+    def encode_one(unit: str) -> bytes:
+        return b"".join([raw[t.id] for t in model.tokenize(unit.encode().decode("latin-1").translate(letters))])
 
     def encode_units(units: list[str]) -> None:
         call: list[str] = []
         size = 0
         for unit in units:
             if _SINGLE.fullmatch(unit):
-                tokens = model.tokenize(unit.encode().decode("latin-1").translate(letters))
-                known[unit] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+                known[unit] = encode_one(unit)
                 continue
             call.append(unit)
             size += len(unit)
@@ -68,16 +92,57 @@ def _load(path: str) -> Callable[[list[str]], list[bytes]]:
         for unit, e in zip(units, tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True):
             known[unit] = np.array(e.ids, "<u4").tobytes()
 
+    def by_units(texts: list[str]) -> list[bytes]:
+        cut = [_UNIT.findall(text) for text in texts]
+        encode_units([u for u in {u for units in cut for u in units} if u not in known])
+        return [b"".join([known[u] for u in units]) for units in cut]
+
+    def unit(one: str) -> bytes:
+        found = known.get(one)
+        if found is None:
+            found = known[one] = encode_one(one)
+        return found
+
+    def learn(new: list[str]) -> None:
+        """New words: letters and the signs behind them as two units, others by the pattern of the units."""
+        others = []
+        for w in new:
+            m = _WORD.fullmatch(f" {w}")
+            if m is None:
+                others.append(w)
+            else:
+                words[w] = unit(m[1]) + unit(m[2]) if m[2] else unit(m[1])
+        words.update(zip(others, by_units([f" {w}" for w in others]), strict=True))
+
+    def by_words(texts: list[str]) -> list[bytes]:
+        cut = [text.split(" ") for text in texts]
+        heads = by_units([one[0] for one in cut])
+        met = set().union(*[one[1:] for one in cut])
+        learn([w for w in met if w not in words])
+        ids = [head + b"".join([words[w] for w in one[1:]]) for head, one in zip(heads, cut, strict=True)]
+        for cache in (words, known):
+            if len(cache) > CACHE_UNITS:
+                for w in list(islice(cache, len(cache) // 2)):
+                    del cache[w]
+        return ids
+
+    def whole(texts: list[str]) -> list[bytes]:
+        made = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in made]
+
+    usual = _is_usual(tokenizer)
+
     def encode(texts: list[str]) -> list[bytes]:
-        cut = [
-            [text] if _WHOLE.search(text) or special.search(text) else _UNIT.findall(text) for text in texts
-        ]
-        met = {u for units in cut for u in units}
-        encode_units([u for u in met if u not in known])
-        ids = [b"".join([known[u] for u in units]) for units in cut]
-        if len(known) > CACHE_UNITS:
-            for unit in known.keys() - met:
-                del known[unit]
+        ways: dict = {whole: [], by_units: [], by_words: []}
+        for i, text in enumerate(texts):
+            if not usual or _WHOLE.search(text) or special.search(text):
+                ways[whole].append(i)
+            else:
+                ways[by_units if any(x in text for x in _BLANKS) else by_words].append(i)
+        ids: list[bytes] = [b""] * len(texts)
+        for way, places in ways.items():
+            for i, one in zip(places, way([texts[i] for i in places]) if places else [], strict=True):
+                ids[i] = one
         return ids
 
     return encode

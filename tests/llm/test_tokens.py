@@ -64,6 +64,23 @@ def check_packing(rows, docs, end=0):
     return per_doc
 
 
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello  World, it's\n fine", "", " a", "x" * 5000, "ÀB c."]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(path)(texts)] == want
+
+
+def test_caches_forget_without_changing_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 50)
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcé,.1\n", k=rng.randint(0, 6))) for _ in range(40)) for _ in range(60)]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch_fast(texts, add_special_tokens=False)]
+    encode = tokens.encoder(PATH)
+    got = [x for i in range(0, 60, 7) for x in encode(texts[i : i + 7])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
 def test_op1_against_the_library(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     rows = op1_packing(spark, SF).collect()
