@@ -26,8 +26,6 @@ import numpy as np
 
 #: Units and words a worker keeps before it lets go of the older half.
 CACHE_UNITS = 600_000
-#: Characters encoded by one call of the library.
-CALL_CHARS = 200_000
 
 # Only letters that every version of Unicode calls letters; signs without the apostrophe, which starts contractions.
 _LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
@@ -67,64 +65,39 @@ def _load(path: str) -> Callable[[list[str]], list[bytes]]:
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
     raw = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
-    known: dict[str, bytes] = {}  # units
-    words: dict[str, bytes] = {}  # words, each with the blank before it
 
-    def encode_one(unit: str) -> bytes:
-        return b"".join([raw[t.id] for t in model.tokenize(unit.encode().decode("latin-1").translate(letters))])
+    class Units(dict):
+        """Ids of units, encoded when first asked for."""
 
-    def encode_units(units: list[str]) -> None:
-        call: list[str] = []
-        size = 0
-        for unit in units:
+        def __missing__(self, unit: str) -> bytes:
             if _SINGLE.fullmatch(unit):
-                known[unit] = encode_one(unit)
-                continue
-            call.append(unit)
-            size += len(unit)
-            if size > CALL_CHARS:
-                encode_call(call)
-                call, size = [], 0
-        if call:
-            encode_call(call)
-
-    def encode_call(units: list[str]) -> None:
-        for unit, e in zip(units, tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True):
-            known[unit] = np.array(e.ids, "<u4").tobytes()
-
-    def by_units(texts: list[str]) -> list[bytes]:
-        cut = [_UNIT.findall(text) for text in texts]
-        encode_units([u for u in {u for units in cut for u in units} if u not in known])
-        return [b"".join([known[u] for u in units]) for units in cut]
-
-    def unit(one: str) -> bytes:
-        found = known.get(one)
-        if found is None:
-            found = known[one] = encode_one(one)
-        return found
-
-    def learn(new: list[str]) -> None:
-        """New words: letters and the signs behind them as two units, others by the pattern of the units."""
-        others = []
-        for w in new:
-            m = _WORD.fullmatch(f" {w}")
-            if m is None:
-                others.append(w)
+                made = model.tokenize(unit.encode().decode("latin-1").translate(letters))
+                ids = b"".join([raw[t.id] for t in made])
             else:
-                words[w] = unit(m[1]) + unit(m[2]) if m[2] else unit(m[1])
-        words.update(zip(others, by_units([f" {w}" for w in others]), strict=True))
-
-    def by_words(texts: list[str]) -> list[bytes]:
-        cut = [text.split(" ") for text in texts]
-        heads = by_units([one[0] for one in cut])
-        met = set().union(*[one[1:] for one in cut])
-        learn([w for w in met if w not in words])
-        ids = [head + b"".join([words[w] for w in one[1:]]) for head, one in zip(heads, cut, strict=True)]
-        for cache in (words, known):
-            if len(cache) > CACHE_UNITS:
-                for w in list(islice(cache, len(cache) // 2)):
-                    del cache[w]
-        return ids
+                ids = whole([unit])[0]
+            self[unit] = ids
+            return ids
+
+    class Words(dict):
+        """Ids of words, each with the blank before it: letters and the signs behind them, or units by the pattern."""
+
+        def __missing__(self, word: str) -> bytes:
+            m = _WORD.fullmatch(f" {word}")
+            if m:
+                ids = units[m[1]] + units[m[2]] if m[2] else units[m[1]]
+            else:
+                ids = by_units(f" {word}")
+            self[word] = ids
+            return ids
+
+    units, words = Units(), Words()
+
+    def by_units(text: str) -> bytes:
+        return b"".join([units[u] for u in _UNIT.findall(text)])
+
+    def by_words(text: str) -> bytes:
+        head, *rest = text.split(" ")
+        return by_units(head) + b"".join([words[w] for w in rest])
 
     def whole(texts: list[str]) -> list[bytes]:
         made = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -133,16 +106,21 @@ def _load(path: str) -> Callable[[list[str]], list[bytes]]:
     usual = _is_usual(tokenizer)
 
     def encode(texts: list[str]) -> list[bytes]:
-        ways: dict = {whole: [], by_units: [], by_words: []}
+        ids, left = [], []
         for i, text in enumerate(texts):
             if not usual or _WHOLE.search(text) or special.search(text):
-                ways[whole].append(i)
+                left.append(i)
+                ids.append(b"")
+            elif any(x in text for x in _BLANKS):
+                ids.append(by_units(text))
             else:
-                ways[by_units if any(x in text for x in _BLANKS) else by_words].append(i)
-        ids: list[bytes] = [b""] * len(texts)
-        for way, places in ways.items():
-            for i, one in zip(places, way([texts[i] for i in places]) if places else [], strict=True):
-                ids[i] = one
+                ids.append(by_words(text))
+        for i, one in zip(left, whole([texts[i] for i in left]) if left else [], strict=True):
+            ids[i] = one
+        for cache in (words, units):
+            if len(cache) > CACHE_UNITS:
+                for key in list(islice(cache, len(cache) // 2)):
+                    del cache[key]
         return ids
 
     return encode
