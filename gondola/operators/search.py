@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.functions.text import edge_ngrams, fold_accents, search_tokens
+from gondola.session import cut_lineage
 
 K1, B = 1.2, 0.75
 # Field boosts and page size of the product search.
 BOOSTS = {"name": 3.0, "brand": 1.0}
 PAGE_SIZE = 10
+#: Documents of a block of postings, and levels of contribution that blocks of a term are made of.
+BLOCK_DOCS, LEVELS = 128, 64
+#: Scores are rounded to six places; bounds allow for that and for sums in another order.
+_MARGIN = 2e-6
 
 
 def build_postings(docs: DataFrame, fields: tuple[str, ...] = ("name", "brand")) -> DataFrame:
@@ -53,19 +58,24 @@ def non_blank_query(queries: DataFrame) -> DataFrame:
     return queries.where(F.trim("text") != "")
 
 
-def score(queries: DataFrame, postings: DataFrame, stats: DataFrame, fold: bool = False) -> DataFrame:
-    """(query_id, doc_id, score) for every document that holds any query word.
+def asked_terms(queries: DataFrame, fold: bool = False) -> DataFrame:
+    """(query_id, term, times) of the words of every query that is not blank.
 
     ``fold`` folds the accents of the queries, for an index of folded names; the
     source application does not.
+    """
+    text = fold_accents(F.lower("text")) if fold else F.col("text")
+    words = non_blank_query(queries).select("query_id", F.explode(search_tokens(text)).alias("term"))
+    return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def contributions(asked: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, doc_id, part): what a document gains by a term, for the asked-for terms.
 
     Only postings of asked-for terms leave the index. A term's document count
-    comes from those rows, and both joins run on (field, term); adaptive
+    comes from those rows, and the joins run on (field, term); adaptive
     execution splits a term that most documents carry.
     """
-    text = fold_accents(F.lower("text")) if fold else F.col("text")
-    words = non_blank_query(queries).select("query_id", F.explode(search_tokens(text)).alias("term"))
-    asked = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     found = postings.join(asked.select("term").distinct(), "term", "left_semi")
     frequency = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     # ``stats`` has one row per indexed field.
@@ -73,16 +83,128 @@ def score(queries: DataFrame, postings: DataFrame, stats: DataFrame, fold: bool
     boost = F.lit(0.0)
     for field, weight in BOOSTS.items():
         boost = F.when(F.col("field") == field, weight).otherwise(boost)
-    weighed = found.join(known, ["field", "term"]).select(
+    return found.join(known, ["field", "term"]).select(
         "term",
         "doc_id",
         (boost * bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n_docs"), F.col("avg_dl"))).alias("part"),
     )
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
+
+
+def score(queries: DataFrame, postings: DataFrame, stats: DataFrame, fold: bool = False) -> DataFrame:
+    """(query_id, doc_id, score) for every document that holds any query word."""
+    asked = asked_terms(queries, fold)
+    return _summed(contributions(asked, postings, stats).join(asked, "term"))
+
+
+def blocks(parts: DataFrame) -> DataFrame:
+    """(term, top, docs): postings in blocks of about equal contribution, with the largest one of each.
+
+    A block belongs to one of ``LEVELS`` levels of its term and holds about ``BLOCK_DOCS``
+    documents; a term of most documents is divided by hash, never sorted in one task.
+    """
+    tops = parts.groupBy("term").agg(F.max("part").alias("most"))
+    level = F.ceil(LEVELS * F.col("part") / F.col("most")).cast("int")
+    placed = parts.join(tops, "term").select("term", "doc_id", "part", level.alias("level"))
+    sizes = placed.groupBy("term", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("n"))
+    cell = F.pmod(F.xxhash64("doc_id"), F.col("n"))
     return (
-        weighed.join(asked, "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
+        placed.join(sizes, ["term", "level"])
+        .groupBy("term", "level", cell.alias("cell"))
+        .agg(F.max("part").alias("top"), F.collect_list(F.struct("doc_id", "part")).alias("docs"))
+        .select("term", "top", "docs")
+    )
+
+
+def _exact(pairs: DataFrame, asked: DataFrame, parts: DataFrame) -> DataFrame:
+    """Scores of given (query_id, doc_id) pairs."""
+    wanted = pairs.join(asked, "query_id")
+    return _summed(wanted.join(parts, ["term", "doc_id"]))
+
+
+def _floors(asked: DataFrame, parts: DataFrame, blocked: DataFrame, k: int) -> DataFrame:
+    """(query_id, floor): a score that ``k`` documents of the query reach; 0 where it has fewer.
+
+    The first documents of each word's best blocks are scored; no other document has to be
+    looked at for a floor, and any ``k`` documents give a valid one.
+    """
+    best = Window.partitionBy("term").orderBy(F.desc("top"))
+    few = blocked.select("term", "top", F.slice("docs.doc_id", 1, k).alias("ids"))
+    first = few.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    tried = asked.select("query_id", "term").join(first, "term").select("query_id", F.explode("ids").alias("doc_id")).distinct()
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    kth = _exact(tried, asked, parts).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k)
+    floors = asked.select("query_id").distinct().join(kth.select("query_id", "score"), "query_id", "left")
+    return floors.select("query_id", F.coalesce("score", F.lit(0.0)).alias("floor"))
+
+
+def candidates(asked: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id) pairs among which the ``k`` best of every query are for certain.
+
+    A document needs one of the words whose bounds, together with those of all weaker
+    words, reach the floor; and from a block of such a word it can only reach the floor
+    if the block's largest contribution and the bounds of all other words do. Blocks that
+    cannot are never opened. What the opened blocks say of a document is then summed; a word
+    whose block stayed closed adds less than what would have opened it.
+    """
+    blocked = cut_lineage(blocks(parts))
+    floors = _floors(asked, parts, blocked, k)
+    bounds = blocked.groupBy("term").agg(F.max("top").alias("most"))
+    weaker = Window.partitionBy("query_id").orderBy("bound", "term")
+    bounded = asked.join(bounds, "term").withColumn("bound", F.col("times") * F.col("most"))
+    weighed = (
+        bounded.withColumn("reach", F.sum("bound").over(weaker))
+        .withColumn("rest", F.sum("bound").over(Window.partitionBy("query_id")) - F.col("bound"))
+        .join(floors, "query_id")
+        .withColumn("least", F.col("floor") - F.col("rest") - _MARGIN)
+        .withColumn("needed", F.col("reach") >= F.col("floor") - _MARGIN)
+    )
+    closed = F.when(F.col("needed"), F.least("bound", F.greatest("least", F.lit(0.0)))).otherwise(F.col("bound"))
+    known = cut_lineage(
+        weighed.withColumn("closed", closed).withColumn("spare", F.sum("closed").over(Window.partitionBy("query_id")))
+    )
+    opened = known.where("needed").join(blocked, "term").where(F.col("times") * F.col("top") >= F.col("least"))
+    each = opened.select("query_id", "times", "least", "closed", F.col("spare") - F.col("floor") + _MARGIN, F.inline("docs"))
+    each = each.toDF("query_id", "times", "least", "closed", "slack", "doc_id", "part").where(F.col("times") * F.col("part") >= F.col("least"))
+    summed = each.groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("times") * F.col("part") - F.col("closed")).alias("gain"), F.first("slack").alias("slack")
+    )
+    return summed.where(F.col("gain") + F.col("slack") >= 0).select("query_id", "doc_id")
+
+
+def best_hits(
+    queries: DataFrame, postings: DataFrame, stats: DataFrame, page: int = 1, size: int = PAGE_SIZE, fold: bool = False
+) -> DataFrame:
+    """(query_id, doc_id, score, rank) of one page, scoring only documents that can be on it."""
+    asked = cut_lineage(asked_terms(queries, fold))
+    parts = contributions(asked, postings, stats).groupBy("term", "doc_id").agg(F.sum("part").alias("part"))
+    parts = cut_lineage(parts)
+    pairs = candidates(asked, parts, page * size)
+    return page_of_hits(_exact(pairs, asked, parts), page, size)
+
+
+def count_hits(queries: DataFrame, postings: DataFrame, fold: bool = False) -> DataFrame:
+    """(query_id, total): documents that hold any word of the query; doc_id is an integer.
+
+    Documents of a term are bits, 32,768 to a bucket; a query's buckets are the union of its
+    words' buckets. No row per query and document is made.
+    """
+    asked = asked_terms(queries, fold)
+    terms = asked.select("term").distinct()
+    bits = (
+        postings.join(terms, "term", "left_semi")
+        .groupBy("term", F.bitmap_bucket_number("doc_id").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bits"))
+    )
+    merged = (
+        asked.join(bits, "term")
+        .groupBy("query_id", "bucket")
+        .agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
     )
+    return merged.groupBy("query_id").agg(F.sum("n").alias("total"))
 
 
 def total_hits(scores: DataFrame) -> DataFrame:
@@ -104,8 +226,7 @@ def search_products(
     queries: DataFrame, docs: DataFrame, postings: DataFrame, stats: DataFrame, page: int = 1, fold: bool = False
 ) -> DataFrame:
     """One page of documents per query with the total number of hits."""
-    scores = score(queries, postings, stats, fold)
-    hits = page_of_hits(scores, page).join(total_hits(scores), "query_id")
+    hits = best_hits(queries, postings, stats, page, fold=fold).join(count_hits(queries, postings, fold), "query_id")
     return hits.join(docs, hits["doc_id"] == docs["id"]).drop("id")
 
 
