@@ -22,6 +22,8 @@ from gondola.session import cut_lineage
 _SLACK = 1e-12
 # Above this reach the leading coordinates of unit vectors tell hardly any apart.
 _GRID_REACH = 0.5
+# Cells along the second axis; unit vectors span two at most, so a tile stands in few of them.
+_CELL = 1 / 32
 
 
 def _place(points: DataFrame, reach: float) -> DataFrame:
@@ -62,17 +64,27 @@ def _describe(packed: DataFrame, store: list[str]) -> DataFrame:
 def _near_tiles(small: DataFrame, store: list[str], reach: float, skip: Column | None = None) -> DataFrame:
     """Pairs of tiles that can hold points within reach, each pair once.
 
-    Tiles meet on (store, strip); the left one also stands in the strips next to
-    its own. The first strip two tiles share is the one that reports them.
+    Tiles meet on (store, strip, cell), a grid over two axes; the left one also stands
+    in the strips and cells next to its own, and only tiles that share one become a
+    pair. The first strip and cell they share report them.
     """
-    left = small.withColumn("_strip", F.explode(F.sequence(F.col("lo0") - 1, F.col("hi0") + 1)))
-    right = small.withColumn("_strip", F.explode(F.sequence("lo0", "hi0")))
-    once = (F.col("a.tile_id") <= F.col("b.tile_id")) & (
-        F.col("a._strip") == F.greatest(F.col("a.lo0") - 1, F.col("b.lo0"))
+    width = max(reach, _CELL)
+    cell = lambda c, by: F.floor((F.col(c) + by) / width).cast("int")
+    placed = small.withColumns(
+        {"_from": cell("lo1", -reach - 1e-9), "_to": cell("hi1", reach + 1e-9), "_own": cell("lo1", 0.0), "_end": cell("hi1", 0.0)}
+    )
+    left = placed.withColumn("_strip", F.explode(F.sequence(F.col("lo0") - 1, F.col("hi0") + 1)))
+    left = left.withColumn("_cell", F.explode(F.sequence("_from", "_to")))
+    right = placed.withColumn("_strip", F.explode(F.sequence("lo0", "hi0")))
+    right = right.withColumn("_cell", F.explode(F.sequence("_own", "_end")))
+    once = (
+        (F.col("a.tile_id") <= F.col("b.tile_id"))
+        & (F.col("a._strip") == F.greatest(F.col("a.lo0") - 1, F.col("b.lo0")))
+        & (F.col("a._cell") == F.greatest(F.col("a._from"), F.col("b._own")))
     )
     close = (F.col("a.lo1") - F.col("b.hi1") <= reach + 1e-9) & (F.col("b.lo1") - F.col("a.hi1") <= reach + 1e-9)
     condition = once & close if skip is None else once & close & ~skip
-    return X.pair(left, right, [*store, "_strip"], reach, condition)
+    return X.pair(left, right, [*store, "_strip", "_cell"], reach, condition)
 
 
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, store: list[str] | None = None) -> DataFrame:
@@ -179,16 +191,23 @@ def cluster_names(
     has_direction = F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
     alone = every.where(~has_direction).select(*store, "id", F.col("id").alias("root"))
     points = every.where(has_direction)
-    copies = points.groupBy(*store, "vec").agg(F.min("id").alias("rep"))
-    distinct = cut_lineage(copies.withColumn("unit", l2_normalize(F.col("vec"))))
+    # Vectors are compared as a whole only where two of a store have one hash.
+    hashed = points.withColumn("_hash", F.xxhash64("vec"))
+    shared = hashed.groupBy(*store, "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    on = [*store, "_hash"]
+    repeated = cut_lineage(hashed.join(shared, on, "left_semi"))
+    copies = repeated.groupBy(*store, "vec").agg(F.min("id").alias("rep"))
+    unshared = hashed.join(shared, on, "left_anti").select(*store, "vec", F.col("id").alias("rep"))
+    distinct = cut_lineage(unshared.unionByName(copies).withColumn("unit", l2_normalize(F.col("vec"))))
     directed = distinct.select(*store, F.col("rep").alias("id"), "unit").where(norm(F.col("unit")) > 0)
     packed = _tiles(directed, store, math.sqrt(2 * eps))
     roots = components(directed, _linking_edges(packed, store, eps)).select(F.col("id").alias("rep"), "root")
     rooted = distinct.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     first = rooted.select(*store, F.col("rep").alias("id"), "root")
     # Only further copies have to look their vector up.
-    others = points.join(first.select("id"), "id", "left_anti")
-    copied = others.join(rooted.drop("rep", "unit"), [*store, "vec"]).select(*store, "id", "root")
+    by_vector = copies.select(*store, "vec", "rep").join(rooted.select("rep", "root"), "rep")
+    others = repeated.drop("_hash").join(copies.select(F.col("rep").alias("id")), "id", "left_anti")
+    copied = others.join(by_vector.drop("rep"), [*store, "vec"]).select(*store, "id", "root")
     return cut_lineage(first.unionByName(copied).unionByName(alone))
 
 
