@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gondola.llm import arrays as A
+
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 
 
@@ -59,22 +61,16 @@ def format_conversations(rows: DataFrame, learn: str = "assistant") -> DataFrame
 
     pieces = sorted_turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["lead"])
-        end = start + F.length(x["body"])
-        spans = F.when(
-            x["learn"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        ).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+    def spans(found: Column) -> Column:
+        ends = A.sums(F.transform(found, lambda x: F.length(x["lead"]) + F.length(x["body"])))
+        span = lambda x, end: F.when(x["learn"], F.struct((end - F.length(x["body"])).alias("start"), end.alias("end")))
+        return F.array_compact(F.zip_with(found, ends, span))
 
-    begin = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")
-    )
     whole = F.transform("pieces", lambda x: F.concat(x["lead"], x["body"]))
     return pieces.select(
         "conv_id",
         F.concat(F.array_join(whole, ""), F.lit(END)).alias("formatted"),
-        F.aggregate("pieces", begin, step, lambda acc: acc["spans"]).alias("loss"),
+        spans(F.col("pieces")).alias("loss"),
     )
 
 
@@ -95,7 +91,4 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, loss: Column) -> Column:
     """All text below the loss mask, unescaped."""
-    texts = F.transform(
-        loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))
-    )
-    return F.array_join(texts, "")
+    return F.array_join(F.transform(A.cuts(formatted, loss), unescape), "")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.llm import spans as S
-from gondola.llm.staging import staged, text_or_empty
+from gondola.llm.staging import kept_columns, staged, text_or_empty
 from gondola.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -136,18 +136,14 @@ def learn(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame
 
 def find_pii(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(doc, base, spans): per input row the columns ``keep`` (all by default), fixed and all spans."""
-    doc = F.struct(*[F.col(c) for c in (docs.columns if keep is None else keep)])
+    doc = kept_columns(docs.columns if keep is None else keep)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc"), text_or_empty().alias("text"))
     found = staged(
         rows.select("row", "doc", base_spans(F.col("text")).alias("base"), _instances(F.col("text")).alias("instances")),
         "pii",
     )
-    near = lambda base, x: F.filter(base, lambda b: S.overlaps(b, x))
-    each = found.select("row", "base", F.explode("instances").alias("x")).select(
-        "row",
-        "x.*",
-        F.get(F.array_sort(F.transform(near(F.col("base"), F.col("x")), lambda b: b["rank"])), F.lit(0)).alias("rank"),
-    )
+    ranked = S.lowest_rank(F.col("base"), F.col("instances"), len(KINDS))
+    each = found.select("row", F.explode(ranked).alias("z")).select("row", "z.x.*", "z.rank")
     edges = cut_lineage(each.select(F.explode("patterns").alias("pattern"), "instance").distinct())
     seeds = cut_lineage(each.where("rank is not null").groupBy("instance").agg(F.min("rank").alias("rank")))
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.llm import spans as S
-from gondola.llm.staging import staged, text_or_empty
+from gondola.llm.staging import kept_columns, staged, text_or_empty
 
 LEDGER = f"blob string, rule string, version int, found {S.SPANS}"
 
@@ -110,14 +110,18 @@ def find_secrets(
     new = staged(scan(versions, ledger, rules), "secret-ledger")
     whole = new if ledger is None else ledger.unionByName(new)
     current = F.concat_ws(" ", "rule", F.col("version").cast("string")).isin(*[f"{r.name} {r.version}" for r in rules])
+    if ledger is not None:  # The history may hold far more blobs than this call asks about.
+        whole_asked = whole.join(versions.select(blob_of(text_or_empty()).alias("blob")).distinct(), "blob", "left_semi")
+    else:
+        whole_asked = whole
     # Written, so that the join deals out both of its sides and a blob that many paths hold can be split.
     per_blob = staged(
-        whole.where(current & (F.size("found") > 0))
+        whole_asked.where(current & (F.size("found") > 0))
         .groupBy("blob")
         .agg(F.flatten(F.collect_list("found")).alias("spans")),
         "secret-spans",
     )
-    doc = F.struct(*[F.col(c) for c in keep]).alias("doc")
+    doc = kept_columns(keep).alias("doc")
     paths = versions.select(doc, blob_of(text_or_empty()).alias("blob"))
     found = paths.join(per_blob, "blob", "left").select(
         "doc", "blob", F.coalesce("spans", S.empty_spans()).alias("spans")

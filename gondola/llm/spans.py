@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gondola.functions.bind import let
+from gondola.llm import arrays as A
+
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -23,35 +26,25 @@ def matches(text: Column, pattern: str) -> Column:
 
     array of (start, end, hit, before, after); before and after are the texts between
     neighbouring matches. The text is searched by one split and one extraction, and
-    positions are the summed lengths of the parts.
+    positions are the running sums of the lengths of the parts.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(hits, F.slice(gaps, 2, F.greatest(F.size(hits), F.lit(0))), _part)
-    kind = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
-    begin = F.struct(
-        F.length(F.get(gaps, F.lit(0))).alias("at"),
-        F.get(gaps, F.lit(0)).alias("before"),
-        F.array().cast(kind).alias("found"),
-    )
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["hit"])
-        found = F.struct(
-            acc["at"].alias("start"), end.alias("end"), x["hit"].alias("hit"),
-            acc["before"].alias("before"), x["after"].alias("after"),
+    def placed(parts: Column) -> Column:
+        hits, n = parts["hits"], F.size(parts["hits"])
+        before, after = F.slice(parts["gaps"], F.lit(1), n), F.slice(parts["gaps"], F.lit(2), n)
+        ends = A.sums(F.zip_with(before, hits, lambda g, h: F.length(g) + F.length(h)))
+        kind = "array<struct<hit:string,end:int,before:string,after:string>>"
+        return F.transform(
+            F.arrays_zip(hits, ends, before, after).cast(kind),
+            lambda x: F.struct(
+                (x["end"] - F.length(x["hit"])).alias("start"), x["end"].alias("end"), x["hit"].alias("hit"),
+                x["before"].alias("before"), x["after"].alias("after"),
+            ),
         )
-        return F.struct(
-            (end + F.length(x["after"])).alias("at"),
-            x["after"].alias("before"),
-            F.concat(acc["found"], F.array(found)).alias("found"),
-        )
-
-    return F.aggregate(parts, begin, step, lambda acc: acc["found"])
-
 
-def _part(hit: Column, after: Column) -> Column:
-    return F.struct(hit.alias("hit"), after.alias("after"))
+    return let(F.struct(hits.alias("hits"), gaps.alias("gaps")), placed)
 
 
 def find(
@@ -84,17 +77,55 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def lowest_rank(base: Column, others: Column, ranks: int) -> Column:
+    """array of (x, rank): each of ``others`` with the lowest rank of the ``base`` spans that it overlaps, or null.
+
+    Both are sorted together; the greatest end so far per rank, where one of
+    ``others`` ends, says whether a span of that rank reaches into it.
+    """
+    kind = "struct<" + ",".join(f"r{k}:int" for k in range(ranks)) + ">"
+    starts = F.transform(
+        base,
+        lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("turn"), s["rank"].alias("rank"), s["end"].alias("end")),
+    )
+    ends = F.transform(
+        others,
+        lambda x, i: F.struct(x["end"].alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("rank"), i.alias("end")),
+    )
+
+    def ranked(events: Column) -> Column:
+        own = F.transform(
+            events,
+            lambda e: F.struct(*[F.when(e["rank"] == k, e["end"]).otherwise(0).alias(f"r{k}") for k in range(ranks)]),
+        )
+        greatest = lambda a, b: F.struct(*[F.greatest(a[f"r{k}"], b[f"r{k}"]).alias(f"r{k}") for k in range(ranks)])
+        reach = A.running(own, kind, greatest, F.struct(*[F.lit(0).alias(f"r{k}") for k in range(ranks)]))
+        asked = F.filter(F.zip_with(events, reach, lambda e, r: F.struct(e.alias("e"), r.alias("r"))), lambda z: z["e"]["turn"] == 0)
+
+        def found(z: Column) -> Column:
+            x = F.get(others, z["e"]["end"])
+            rank = F.coalesce(*[F.when(z["r"][f"r{k}"] > x["start"], k) for k in range(ranks)])
+            return F.struct(x.alias("x"), rank.alias("rank"))
+
+        return F.transform(asked, found)
+
+    return let(F.array_sort(F.concat(starts, ends)), ranked)
+
+
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; overlapping spans share one mark."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(kept, mark))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+    def marked(found: Column) -> Column:
+        reach = A.maxima(F.transform(found, lambda s: s["end"]))
+        before = F.concat(F.array(F.lit(0)), reach)
+        seen = F.zip_with(
+            found,
+            F.slice(before, F.lit(1), F.size(found)),
+            lambda s, at: F.struct(at.alias("start"), s["start"].alias("end"), s["kind"].alias("kind")),
+        )
+        first = F.filter(seen, lambda s: s["end"] >= s["start"])
+        mark = lambda part, s: F.concat(part, F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        parts = let(first, lambda f: F.array_join(F.zip_with(A.cuts(text, f), f, mark), ""))
+        return F.concat(parts, F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
 
-    rest = lambda acc: F.concat(
-        F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))
-    )
-    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), begin, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.array_sort(spans), marked)).otherwise(text)

@@ -37,3 +37,16 @@ def test_round_trip(spark):
         blocks = 1 + sum(a[2] != b[2] for a, b in zip(own, own[1:], strict=False))
         assert got[conv].formatted.count(chat.TURN) == blocks == got[conv].formatted.count(chat.END)
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_very_many_turns(spark):
+    n = 60_000
+    rows = spark.range(n).selectExpr(
+        "1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('é<|', id) AS text"
+    )
+    made = chat.format_conversations(rows)
+    got = made.select(
+        chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned"), F.size(chat.read_turns(F.col("formatted"))).alias("turns")
+    ).first()
+    assert got.turns == n
+    assert got.learned == "".join(f"é<|{i}" for i in range(1, n, 2))

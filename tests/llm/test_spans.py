@@ -1,12 +1,14 @@
 """Personal data and secrets against plain regular expressions on hard texts."""
 
 import hashlib
+import itertools
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from gondola.llm import arrays as A
 from gondola.llm import pii, secrets
 from gondola.llm import spans as S
 from gondola.llm.span_queries import op4_pii, op10_secrets
@@ -161,3 +163,33 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, doc string, blob string, spans string")
     assert pii.find_pii(empty).count() == 0 and pii.redact(empty).columns == empty.columns
     assert secrets.find_secrets(empty, ["doc_id"])[0].count() == 0
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 50_000
+    text = "".join(f"wörd a{i}@ex.com, " for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert got == {1: "wörd [EMAIL], " * n, 2: None}
+
+
+def test_running_values_and_cuts(spark):
+    sizes = [0, 1, 255, 256, 257, 512, 1000]
+    df = spark.createDataFrame([(n, [i % 7 for i in range(n)], "aé😀x" * n) for n in sizes], "n int, v array<int>, text string")
+    spans = F.transform("v", lambda x, i: F.struct((i * 4 + 1).alias("start"), (i * 4 + 3).alias("end")))
+    for r in df.select("*", A.sums(F.col("v")).alias("sums"), A.maxima(F.col("v")).alias("top"), A.cuts(F.col("text"), spans).alias("parts")).collect():
+        assert r.sums == list(itertools.accumulate(r.v))
+        assert r.top == list(itertools.accumulate(r.v, max))
+        assert r.parts == ["é😀"] * r.n
+
+
+def test_lowest_rank_of_overlaps(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(20):
+        span = lambda: (lambda s: (s, rng.randrange(3), s + rng.randint(1, 9), "k"))(rng.randrange(400))
+        rows.append((k, [span() for _ in range(k * 30)], [(s, e) for s, _, e, _ in (span() for _ in range(k * 15))]))
+    df = spark.createDataFrame(rows, f"k int, base {S.SPANS}, x array<struct<start:int,end:int>>")
+    for r in df.select("*", S.lowest_rank(F.col("base"), F.col("x"), 3).alias("got")).collect():
+        want = [(x.start, x.end, min((b.rank for b in r.base if b.start < x.end and x.start < b.end), default=-1)) for x in r.x]
+        assert sorted((g.x.start, g.x.end, -1 if g.rank is None else g.rank) for g in r.got) == sorted(want)
