@@ -323,6 +323,44 @@ def c5(t: Inputs):
     return C.audit_catalogue(_seeded(t), t.stores)
 
 
+@query(
+    "c5_broken_catalogue_audit",
+    """+ bad_brands AS (SELECT brand_id, slug FROM brands WHERE slug < 'brand-4'
+         UNION ALL SELECT brand_id + 1000, slug FROM brands WHERE slug < 'brand-3'),
+       bad_families AS (SELECT family_id, brand_id, CASE WHEN name < 'm' THEN repeat(name, 99) ELSE name END AS name
+         FROM families WHERE name NOT LIKE 'small%'),
+       bad_products AS (SELECT * FROM products WHERE measure <> 'un'),
+       bad_offers AS (SELECT store_id, product_id FROM old_offers UNION ALL SELECT store_id, product_id FROM old_offers WHERE price > 20000),
+       bad_stores AS (SELECT store_id, CASE WHEN address LIKE 'Rua 1%' THEN 'same' ELSE slug END AS slug,
+         CASE WHEN address LIKE 'Rua 1%' THEN repeat(name, 99) ELSE name END AS name FROM stores WHERE address NOT LIKE 'Rua 2%'),
+       found AS (
+         SELECT 'unique brand slug' AS rule, count(*) AS n FROM (SELECT slug FROM bad_brands GROUP BY slug HAVING count(*) > 1) a
+         UNION ALL SELECT 'unique store slug', count(*) FROM (SELECT slug FROM bad_stores GROUP BY slug HAVING count(*) > 1) b
+         UNION ALL SELECT 'unique store product', count(*) FROM (SELECT 1 FROM bad_offers GROUP BY store_id, product_id HAVING count(*) > 1) c
+         UNION ALL SELECT 'family brand', count(*) FROM bad_families WHERE brand_id NOT IN (SELECT brand_id FROM bad_brands)
+         UNION ALL SELECT 'product family', count(*) FROM bad_products WHERE family_id NOT IN (SELECT family_id FROM bad_families)
+         UNION ALL SELECT 'offer product', count(*) FROM bad_offers WHERE product_id NOT IN (SELECT product_id FROM bad_products)
+         UNION ALL SELECT 'offer store', count(*) FROM bad_offers WHERE store_id NOT IN (SELECT store_id FROM bad_stores)
+         UNION ALL SELECT 'family length', count(*) FROM bad_families WHERE length(name) > 255
+         UNION ALL SELECT 'store length', count(*) FROM bad_stores WHERE length(name) > 255)
+       SELECT * FROM found WHERE n > 0""",
+    ("brands", "families", "products", "old_offers", "stores"),
+)
+def c5_broken(t: Inputs):
+    """A catalogue that breaks unique, reference and length rules: each one is counted."""
+    brands = t.brands.where("slug < 'brand-4'").union(t.brands.where("slug < 'brand-3'").selectExpr("brand_id + 1000", "slug"))
+    families = t.families.where("name not like 'small%'").withColumn("name", F.expr("if(name < 'm', repeat(name, 99), name)"))
+    offers = t.old_offers.unionByName(t.old_offers.where("price > 20000"))
+    first = F.col("address").like("Rua 1%")
+    stores = t.stores.where("address not like 'Rua 2%'").select(
+        "store_id",
+        F.when(first, "same").otherwise(F.col("slug")).alias("slug"),
+        F.when(first, F.repeat("name", F.lit(99))).otherwise(F.col("name")).alias("name"),
+    )
+    broken = C.Catalogue(brands.withColumn("name", F.col("slug")), families, t.products.where("measure <> 'un'"), offers)
+    return C.audit_catalogue(broken, stores)
+
+
 @query(
     "c16_unmatched_audit",
     """+ by_name AS (SELECT DISTINCT name FROM families), last AS (SELECT DISTINCT name, weight, measure FROM products)

@@ -66,3 +66,28 @@ def s12(t: Inputs):
     snapshot = C.Catalogue(t.brands.withColumn("name", F.col("slug")), t.family_vectors, t.products, t.old_offers)
     Y.write_catalogue(snapshot, root, "v1")
     return Y.read_catalogue(t.spark, root, "v1").store_products.select("store_product_id", "store_id", "product_id", "price")
+
+
+@query(
+    "s12_published_catalogue",
+    """SELECT o.store_product_id, o.store_id, o.price, p.name AS product, p.weight, f.name AS family, b.slug
+       FROM old_offers o JOIN products p USING (product_id) JOIN families f USING (family_id) JOIN brands b ON b.brand_id = f.brand_id
+       WHERE f.name NOT LIKE 'small%'""",
+    ("old_offers", "products", "families", "brands"),
+)
+def s12_published(t: Inputs):
+    """All four tables of the version published last, joined; a second version has replaced the first."""
+    root = _scratch(t)
+    first = C.Catalogue(t.brands.withColumn("name", F.col("slug")), t.family_vectors, t.products, t.old_offers)
+    Y.write_catalogue(first, root, "v1")
+    small = t.families.where("name like 'small%'").select("family_id")
+    Y.write_catalogue(C.delete_cascade(Y.read_catalogue(t.spark, root), small), root, "v2")
+    brands, families, products, offers = Y.read_catalogue(t.spark, root)
+    named = products.select("product_id", "family_id", F.col("name").alias("product"), "weight")
+    return (
+        offers.select("store_product_id", "store_id", "product_id", "price")
+        .join(named, "product_id")
+        .join(families.select("family_id", "brand_id", F.col("name").alias("family")), "family_id")
+        .join(brands.select("brand_id", "slug"), "brand_id")
+        .select("store_product_id", "store_id", "price", "product", "weight", "family", "slug")
+    )

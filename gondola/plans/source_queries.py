@@ -160,20 +160,23 @@ def r1(t: Inputs):
 
 @query("r2_cart_state_stream", f"+ {CART_STATE} SELECT * FROM state", ("cart_events",))
 def r2(t: Inputs):
-    """Three runs of events in order, then events of the first run again, which come too late."""
+    """Three runs of events in order, then events of the first run again, which come too late.
+
+    A run lands as many files as it has partitions, and the stream is resumed once per run.
+    """
     root = _scratch(t)
     events = t.cart_events.select("seq", "ts", "cart_id", "action", "item_key", "quantity")
     third = events.agg(F.max("seq")).first()[0] // 3 + 1
+    last = None
     for run in (0, 1, 2, 0):
         own = events.where(F.floor(F.col("seq") / third) == run)
-        own.coalesce(1).write.mode("append").parquet(f"{root}/landed")
-    reader = t.spark.readStream.schema(R.EVENT_SCHEMA).option("maxFilesPerTrigger", 1)
-    landed = reader.parquet(f"{root}/landed")
-    stream = R.start_cart_state(landed, f"{root}/state", f"{root}/offsets")
-    stream.awaitTermination()
-    if stream.exception() is not None:
-        raise stream.exception()
-    last = max(p["batchId"] for p in stream.recentProgress if p["numInputRows"])
+        own.write.mode("append").parquet(f"{root}/landed")
+        landed = t.spark.readStream.schema(R.EVENT_SCHEMA).parquet(f"{root}/landed")
+        stream = R.start_cart_state(landed, f"{root}/state", f"{root}/offsets")
+        stream.awaitTermination()
+        if stream.exception() is not None:
+            raise stream.exception()
+        last = max([p["batchId"] for p in stream.recentProgress if p["numInputRows"]], default=last)
     return R.read_state(t.spark, f"{root}/state", last)
 
 

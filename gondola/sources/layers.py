@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -89,13 +92,42 @@ def read_lookup(spark: SparkSession, root: str, table: str, *columns: str) -> Da
     return read_layer(spark, root, "catalogue", table).select(*columns)
 
 
+PUBLISHED_SCHEMA = "version string, attempt string, at long"
+
+
+def _published(root: str) -> str:
+    return layer_path(root, "catalogue_versions")
+
+
 def write_catalogue(catalogue, root: str, version: str) -> None:
-    """Write the four tables of a catalogue snapshot under a new version."""
+    """Write the four tables of a catalogue snapshot and then publish them together.
+
+    Every call writes to a folder of its own; one line in the list of published
+    versions, written last, makes it the one that is read. A call that ends before
+    that leaves what was published as it was.
+    """
+    attempt = uuid.uuid4().hex
     for name, part in catalogue._asdict().items():
-        part.write.mode("overwrite").parquet(layer_path(root, f"catalogue/{version}", name))
+        part.write.parquet(layer_path(root, f"catalogue/{version}/{attempt}", name))
+    spark = catalogue.brands.sparkSession
+    line = spark.createDataFrame([(version, attempt, time.time_ns())], PUBLISHED_SCHEMA)
+    line.coalesce(1).write.mode("append").json(_published(root))
+
+
+def catalogue_versions(spark: SparkSession, root: str) -> DataFrame:
+    """(version, attempt, at) of all published snapshots."""
+    return spark.read.schema(PUBLISHED_SCHEMA).json(_published(root))
 
 
-def read_catalogue(spark: SparkSession, root: str, version: str):
+def read_catalogue(spark: SparkSession, root: str, version: str | None = None):
+    """The four tables of the snapshot published last, of ``version`` if given."""
     from gondola.operators.catalogue import Catalogue
 
-    return Catalogue(*[read_layer(spark, root, f"catalogue/{version}", name) for name in Catalogue._fields])
+    known = catalogue_versions(spark, root)
+    if version is not None:
+        known = known.where(F.col("version") == version)
+    last = known.agg(F.max_by(F.struct("version", "attempt"), F.struct("at", "attempt")).alias("last")).first().last
+    if last is None:
+        raise ValueError(f"no published catalogue {version or ''} in {root}")
+    folder = f"catalogue/{last.version}/{last.attempt}"
+    return Catalogue(*[read_layer(spark, root, folder, name) for name in Catalogue._fields])

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from gondola.operators import catalogue as C
 from gondola.operators.gold import Gold, build_gold, flatten_gold, nest_gold
 from gondola.plans.catalogue_queries import _gold, _old, _unseeded
@@ -133,3 +136,21 @@ def test_gold_first_known_values_and_nesting(spark):
     back = flatten_gold(nest_gold(gold))
     assert rows(back.variations.select("store_id", "weight", "name", "image_url")) == rows(gold.variations.select("store_id", "weight", "name", "image_url"))
     assert back.sellers.count() == 4
+
+
+def test_catalogue_is_published_whole_or_not_at_all(spark, tmp_path):
+    from gondola.sources.layers import catalogue_versions, read_catalogue, write_catalogue
+
+    root = str(tmp_path)
+    one = lambda name: spark.createDataFrame([(1, name)], "id int, name string")
+    write_catalogue(C.Catalogue(*[one("first")] * 4), root, "v1")
+    broken = spark.range(1).select(F.raise_error(F.lit("stopped")).cast("int").alias("id"), F.lit("x").alias("name"))
+    for version in ("v1", "v2"):
+        with pytest.raises(Exception, match="stopped"):
+            write_catalogue(C.Catalogue(one("second"), one("second"), broken, one("second")), root, version)
+    assert [[r.name for r in part.collect()] for part in read_catalogue(spark, root)] == [["first"]] * 4
+    with pytest.raises(ValueError):
+        read_catalogue(spark, root, "v2")
+    write_catalogue(C.Catalogue(*[one("third")] * 4), root, "v1")
+    assert [[r.name for r in part.collect()] for part in read_catalogue(spark, root, "v1")] == [["third"]] * 4
+    assert catalogue_versions(spark, root).count() == 2
