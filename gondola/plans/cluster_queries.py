@@ -97,6 +97,21 @@ def v1(t: Inputs):
     return named.select("store_id", "ref_id", F.posexplode("embedded_name").alias("bucket", "x")).where("x <> 0")
 
 
+def _letters(names):
+    """A model of two numbers per name: its length and how often it has the letter a."""
+    return [(len(n), n.count("a")) for n in names]
+
+
+@query(
+    "u4_model_inference",
+    """SELECT p_partkey, CAST(length(p_name) AS DOUBLE) AS n_chars,
+         CAST(length(p_name) - length(replace(p_name, 'a', '')) AS DOUBLE) AS n_a FROM part""",
+)
+def u4(t: Inputs):
+    names = V.embed_texts(t.part.select("p_partkey", "p_name"), "p_name", "v", _letters)
+    return names.select("p_partkey", F.get("v", F.lit(0)).alias("n_chars"), F.get("v", F.lit(1)).alias("n_a"))
+
+
 @query("j12_epsilon_self_join", f"+ {VECTORS}, {_edges()} SELECT id_a, id_b, similarity FROM pairs", recursive=True)
 def j12(t: Inputs):
     return K.epsilon_self_join(t.embeddings, "vec_id", "embedding", EPS)

@@ -46,6 +46,15 @@ def s3(t: Inputs):
     return L.read_layer(t.spark, root, "silver")
 
 
+@query("s8_skip_if_empty", "SELECT ref_id, name, FALSE AS written FROM raw_listings", LISTINGS)
+def s8(t: Inputs):
+    """A run without rows leaves the table of the last run in place and says so."""
+    root = _scratch(t)
+    L.write_layer(t.raw_listings.select("ref_id", "name"), root, "silver", "listings")
+    written = L.write_layer(t.raw_listings.select("ref_id", "name").where("ref_id < 0"), root, "silver", "listings")
+    return L.read_layer(t.spark, root, "silver", "listings").withColumn("written", F.lit(written))
+
+
 @query(
     "s4_read_listing_pages",
     """SELECT name, brand, CAST(ref_id AS VARCHAR) AS ref_id, CASE WHEN ref_id % 13 = 0 OR ref_id % 17 = 0 THEN NULL
