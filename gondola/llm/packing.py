@@ -78,9 +78,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return staged(rows.mapInArrow(kernel, _TOKENS), "tokens")
 
 
-def _quanta(tokens: DataFrame, targets: DataFrame | None, window: int) -> DataFrame:
-    """(source, quantum): tokens a source may send per round; its own share if no target is given."""
-    sizes = tokens.groupBy("source").agg(F.sum("n").alias("_weight"))
+def _quanta(tokens: DataFrame, targets: DataFrame | None, flatten: float, window: int) -> DataFrame:
+    """(source, quantum): tokens a source may send per round, by its target or by its size to the power ``flatten``."""
+    size = F.sum("n").cast("double")
+    sizes = tokens.groupBy("source").agg(F.pow(size, F.lit(float(flatten))).alias("_weight"))
     if targets is not None:
         given = targets.groupBy("source").agg(F.sum("weight").alias("_given"))
         mean = given.agg(F.avg("_given")).first()[0] or 1.0
@@ -115,6 +116,7 @@ def _round_starts(segments: DataFrame) -> DataFrame:
 def layout(
     tokens: DataFrame,
     targets: DataFrame | None = None,
+    flatten: float = 1.0,
     sequence: int = SEQUENCE,
     window_sequences: int = WINDOW_SEQUENCES,
     buckets: int = BUCKETS,
@@ -122,8 +124,10 @@ def layout(
     """(row, start, length, sequence_id, offset, window_id): where each piece of a document lies.
 
     ``tokens`` needs row (unique), source and n. ``targets`` (source, weight) sets the mixture.
+    Without targets a source weighs its number of tokens to the power ``flatten``: 1 is its own
+    share, 0 the same for all, and between them small sources come more often than they are.
     """
-    quanta = _quanta(tokens, targets, sequence * window_sequences)
+    quanta = _quanta(tokens, targets, flatten, sequence * window_sequences)
     queued = tokens.select("row", "source", "n", F.pmod(F.xxhash64("row"), F.lit(buckets)).alias("_bucket"))
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = (

@@ -12,11 +12,13 @@ from gondola.llm.staging import shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+#: Mixture of the packed windows: sources weigh the root of their size.
+FLATTEN = 0.5
 
 
 @query("op1_packing")
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0, flatten=FLATTEN)
     return pieces.select(
         "doc_id",
         "start",

@@ -159,6 +159,22 @@ def test_ledger_scans_only_what_is_new(spark):
     assert {r.doc.path: len(r.spans) for r in both.collect()} == {"a": 2, "b": 2, "c": 0, "d": 1}
 
 
+def test_a_ledger_of_earlier_calls_changes_no_finding(spark):
+    words = ["token=abcdefghijklmno", "AKIA" + "Q" * 16, "0123456789abcdef0", "plain", "", "eyJabcdefghi.eyJabcdefghi.abcdefghij"]
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 3))) if i % 9 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, _ = secrets.find_secrets(docs, ["doc_id"])
+    early = docs.where(secrets.blob_of(F.coalesce("text", F.lit(""))) < "8")
+    ledger = secrets.scan(early)
+    assert 0 < ledger.select("blob").distinct().count() < docs.select("text").distinct().count()
+    assert secrets.scan(docs, ledger).join(ledger, ["blob", "rule", "version"]).count() == 0
+    after, whole = secrets.find_secrets(docs, ["doc_id"], ledger)
+    listed = lambda df: sorted((r.doc.doc_id, sorted(map(tuple, r.spans))) for r in df.collect())
+    assert listed(after) == listed(plain)
+    assert whole.count() == whole.select("blob", "rule", "version").distinct().count()
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, doc string, blob string, spans string")
     assert pii.find_pii(empty).count() == 0 and pii.redact(empty).columns == empty.columns

@@ -117,6 +117,23 @@ def test_packing_keeps_the_mixture(spark):
             assert 0 <= k * w * window - sent < 1024
 
 
+@pytest.mark.parametrize("flatten", [0.0, 0.5, 1.0])
+def test_flattened_mixture(spark, flatten):
+    rows = [(i, "hot" if i % 10 else "rare", 1 + i * 37 % 900) for i in range(6000)]
+    sizes = spark.createDataFrame(rows, "row long, source string, n long")
+    total = {s: sum(n for _, source, n in rows if source == s) for s in ("hot", "rare")}
+    weight = {s: n**flatten for s, n in total.items()}
+    quantum = {s: w / sum(weight.values()) * 1024 * 32 for s, w in weight.items()}
+    laid = packing.layout(sizes, flatten=flatten).join(sizes.select("row", "source"), "row")
+    sent = defaultdict(dict)
+    for r in packing.mixture(laid).collect():
+        sent[r.source][r.window_id] = r.tokens
+    assert {s: sum(w.values()) for s, w in sent.items()} == total
+    for s in total:
+        for k in range(1, int(total[s] / quantum[s])):
+            assert 0 <= k * quantum[s] - sum(sent[s].get(j, 0) for j in range(1, k + 1)) < 1024
+
+
 def test_sequences_are_padded_to_powers_of_two(spark):
     docs = spark.createDataFrame([(i, "word " * 300, "s") for i in range(9)], "doc_id long, text string, source string")
     got = packing.sequences(packing.pack(docs, PATH)).orderBy("sequence_id").collect()
