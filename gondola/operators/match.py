@@ -93,6 +93,42 @@ def prefix_filter(name: Column, word: Column) -> Column:
     return name.startswith(word)
 
 
+def number_names(names: DataFrame, group: list[str]) -> DataFrame:
+    """Distinct (group.., name) plus ``number``: their place in the order of group and name's bytes."""
+    known = names.select(*group, "name").na.drop().distinct().withColumn("_key", F.col("name").cast("binary"))
+    return number_rows(known, [*group, "_key"], "number").drop("_key")
+
+
+def prefix_intervals(numbered: DataFrame, words: DataFrame, group: list[str]) -> DataFrame:
+    """(group.., word, first, last): the numbers of the names that begin with each word.
+
+    Names that share a beginning are neighbours in the order of ``number_names``, so a
+    word needs one interval and no row per name. A mark before the word and one behind
+    all its extensions are sorted in among the names; the names ahead of a mark are its
+    number among all rows less its number among the marks. Any word will do, the empty
+    one has all names of its group; words that begin no name and null ones have no row.
+    """
+    asked = words.select(*group, "word").na.drop().distinct()
+    start = F.col("word").cast("binary")
+    # No byte of UTF-8 is FF, so the second mark lies behind every name that begins with the word.
+    ends = F.array(start, F.concat(start, F.lit(b"\xff")))
+    marks = cut_lineage(asked.withColumn("_key", F.explode(ends)).withColumn("_kind", F.lit(0)))
+    rows = numbered.select(*group, F.lit(None).cast("string").alias("word"), F.col("name").cast("binary").alias("_key"), F.lit(1).alias("_kind"))
+    order = [*group, "_key", "_kind"]
+    among_all = number_rows(marks.unionByName(rows), order, "_all").where("_kind = 0").drop("_kind")
+    among_marks = number_rows(marks, order, "_own").drop("_kind", "word")
+    ahead = among_all.join(among_marks, [*group, "_key"]).withColumn("_ahead", F.col("_all") - F.col("_own"))
+    found = ahead.groupBy(*group, "word").agg(F.min("_ahead").alias("first"), (F.max("_ahead") - 1).alias("last"))
+    return found.where("first <= last")
+
+
+def prefix_pairs(numbered: DataFrame, intervals: DataFrame, group: list[str]) -> DataFrame:
+    """(group.., word, name): the intervals written out, for those who want every pair."""
+    blocks = intervals.withColumn("_from", F.explode(F.sequence("first", "last", F.lit(_CHUNK).cast("long"))))
+    numbers = F.sequence("_from", F.least(F.col("_from") + _CHUNK - 1, F.col("last")))
+    return blocks.select(*group, "word", F.explode(numbers).alias("number")).join(numbered.select("number", "name"), "number").drop("number")
+
+
 def _prefixes(name: Column) -> Column:
     """Every beginning of the leading run that a first word can consist of."""
     run = F.regexp_extract(name, r"^\{*[a-zA-ZÀ-ÿ0-9]*", 0)

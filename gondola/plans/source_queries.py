@@ -230,14 +230,37 @@ def f25(t: Inputs):
        ON starts_with(a.p_name, regexp_extract(b.p_name, '^[a-z]+')) WHERE a.p_brand = b.p_brand""",
 )
 def p7(t: Inputs):
+    from gondola.operators.match import prefix_pairs
+
+    asked, numbered, intervals = _part_names(t)
+    return prefix_pairs(numbered, intervals, ["p_brand"]).join(asked, ["p_brand", "word"]).select("name", "listing").distinct()
+
+
+def _part_names(t: Inputs):
+    """Part names with their first words, the same numbered, and the interval of every word."""
     from gondola.functions.text import get_words
-    from gondola.operators.match import _prefixes, prefix_filter
+    from gondola.operators.match import number_names, prefix_intervals
 
     names = t.part.select("p_brand", F.col("p_name").alias("name")).distinct()
     asked = names.select("p_brand", F.col("name").alias("listing"), F.get(get_words(F.col("name")), F.lit(0)).alias("word"))
-    offered = names.select("p_brand", "name", F.explode(_prefixes(F.col("name"))).alias("word"))
-    pairs = asked.join(offered, ["p_brand", "word"]).where(prefix_filter(F.col("name"), F.col("word")))
-    return pairs.select("name", "listing").distinct()
+    numbered = number_names(names, ["p_brand"])
+    return asked, numbered, prefix_intervals(numbered, asked, ["p_brand"])
+
+
+@query(
+    "p7_prefix_intervals",
+    """WITH names AS (SELECT p_brand, p_name, row_number() OVER (ORDER BY p_brand, p_name) - 1 AS number
+         FROM (SELECT DISTINCT p_brand, p_name FROM part) p),
+       words AS (SELECT DISTINCT p_brand, regexp_extract(p_name, '^[a-z]+') AS word FROM names)
+       SELECT w.p_brand, w.word, min(number) AS first_name, max(number) AS last_name, count(*) AS n_names
+       FROM words w JOIN names n ON n.p_brand = w.p_brand AND starts_with(n.p_name, w.word) GROUP BY ALL""",
+)
+def p7_intervals(t: Inputs):
+    _, _, intervals = _part_names(t)
+    return intervals.select(
+        "p_brand", "word", F.col("first").alias("first_name"), F.col("last").alias("last_name"),
+        (F.col("last") - F.col("first") + 1).alias("n_names"),
+    )
 
 
 @query(

@@ -89,3 +89,18 @@ def test_variation_last_product_wins(spark):
 def test_prefix_is_case_sensitive(spark):
     df = spark.createDataFrame([("Leiteira", "Leite"), ("leite", "Leite")], "n string, w string")
     assert [r[0] for r in df.select(M.prefix_filter(F.col("n"), F.col("w"))).collect()] == [True, False]
+
+
+def test_prefix_intervals_against_all_pairs(spark):
+    rng = random.Random(4)
+    letters = ["a", "b", "ab", "é", "\U0010ffff", "😀", "{", " ", "B"]
+    make = lambda n: "".join(rng.choices(letters, k=rng.randint(0, n)))
+    names = [(rng.choice([1, 2, None]), make(6)) for _ in range(400)] + [(1, None), (3, "x")]
+    words = [(rng.choice([1, 2, 4, None]), make(3)) for _ in range(80)] + [(1, ""), (1, None), (3, "y"), (3, "x")]
+    numbered = M.number_names(spark.createDataFrame(names, "g int, name string"), ["g"])
+    intervals = M.prefix_intervals(numbered, spark.createDataFrame(words, "g int, word string"), ["g"]).cache()
+    got = sorted((r.g, r.word, r.name) for r in M.prefix_pairs(numbered, intervals, ["g"]).collect())
+    want = {(g, w, n) for g, w in words for h, n in names if g is not None and g == h and None not in (w, n) and n.startswith(w)}
+    assert got == sorted(want) and len({(r.g, r.word) for r in intervals.collect()}) == intervals.count()
+    none = spark.createDataFrame([], "g int, name string")
+    assert M.prefix_intervals(M.number_names(none, ["g"]), spark.createDataFrame(words, "g int, word string"), ["g"]).count() == 0
