@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.functions.similarity import EDIT_WEIGHT, WORD_WEIGHT, jaccard, mixed_of_processed, processed
@@ -14,10 +14,14 @@ from gondola.functions.text import get_words
 from gondola.functions.vectors import l2_normalize, norm, vector_literal
 from gondola.operators import tiles as X
 from gondola.operators.numbering import number_rows
-from gondola.session import cut_lineage
+from gondola.session import cut_lineage, forget
 
 # Brands and listing slugs of one block key that meet in one cell of its grid.
 _CHUNK, _SLUG_CHUNK = 4096, 65_536
+# Principal axes whose cells order the vectors of a block before they are cut into tiles.
+_AXES = 4
+# Nearest tiles a tile meets in the first round, and how many times more after each round.
+_FIRST, _MORE = 1, 4
 
 
 def _block_keys(p: Column, threshold: float) -> Column:
@@ -135,6 +139,71 @@ def _prefixes(name: Column) -> Column:
     return F.when(run != "", F.transform(F.sequence(F.lit(1), F.length(run)), lambda n: F.substr(run, F.lit(1), n)))
 
 
+def _in_cells(sides: list[DataFrame], axes_of: DataFrame, width: float) -> tuple[list[DataFrame], list[str]]:
+    """The sides with their cells along the principal axes of ``axes_of``, and the columns to sort by.
+
+    Neighbours in that order are near each other, so tiles cut from it are tight.
+    """
+    dims = axes_of.select(F.size("unit")).first()
+    if dims is None or axes_of.limit(2).count() < 2:
+        return [df.withColumn("_p", F.get("unit", F.lit(0))) for df in sides], ["_p"]
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    count = min(_AXES, dims[0])
+    typed = lambda df: df.withColumn("_vector", array_to_vector("unit"))
+    model = PCA(k=count, inputCol="_vector", outputCol="_projected").fit(typed(axes_of))
+    names = [f"_c{i}" for i in range(count)]
+
+    def placed(df: DataFrame) -> DataFrame:
+        on_axes = model.transform(typed(df)).withColumn("_axes", vector_to_array("_projected"))
+        cells = [F.floor(F.get("_axes", F.lit(i)) / width).cast("int").alias(c) for i, c in enumerate(names)]
+        return on_axes.select(*df.columns, *cells, F.get("_axes", F.lit(0)).alias("_p"))
+
+    return [placed(df) for df in sides], [*names, "_p"]
+
+
+def _best_first(left: DataFrame, right: DataFrame, block: list[str], similarity: float) -> DataFrame:
+    """(rep, family_id, similarity): the best family of every listing that has one.
+
+    Tiles meet nearest first. After each round a tile whose listings all have a family
+    drops the tiles that lie farther than its worst match so far; when none is left,
+    what was found is the best, as no closer vector was passed over.
+    """
+    reach = lambda worst: F.sqrt(2 * F.greatest(1 - worst + 2e-9, F.lit(0.0))) + 1e-9
+    low = similarity - 1e-12
+
+    def kernel(a: dict, b: dict) -> pd.DataFrame:
+        score = np.round(a["x"] @ b["x"].T, 9)
+        best = score.max(axis=1)
+        first = np.where(score == best[:, None], b["ids"][None, :], np.iinfo(np.int64).max).min(axis=1)
+        hit = best >= low
+        return pd.DataFrame({"tile": a["tile"], "rep": a["ids"][hit], "family_id": first[hit], "similarity": best[hit]})
+
+    widest = math.sqrt(max(0.0, 2 * (1 - similarity)))
+    nearest = Window.partitionBy("left_tile").orderBy("near", "right_tile")
+    met = X.pair(X.describe(left, *block), X.describe(right, *block), block, widest, measured=True)
+    waiting = cut_lineage(met.select("left_tile", "right_tile", "gap", F.row_number().over(nearest).alias("place")))
+    sizes = left.select(F.col("tile_id").alias("tile"), "n")
+    found, upto = None, _FIRST
+    while found is None or not waiting.isEmpty():
+        now = waiting.where(F.col("place") <= upto).select("left_tile", "right_tile")
+        hits = X.compare(now, left, right, kernel, "tile long, rep long, family_id long, similarity double")
+        earlier, behind = found, waiting
+        known = hits if earlier is None else hits.unionByName(earlier)
+        best = F.max_by(F.struct("family_id", "similarity"), F.struct("similarity", -F.col("family_id"))).alias("m")
+        found = cut_lineage(known.groupBy("tile", "rep").agg(best).select("tile", "rep", "m.*"))
+        worst = found.groupBy("tile").agg(F.min("similarity").alias("worst"), F.count(F.lit(1)).alias("matched"))
+        settled = worst.join(sizes, "tile").where("matched = n").select(F.col("tile").alias("left_tile"), "worst")
+        later = waiting.where(F.col("place") > upto).join(settled, "left_tile", "left")
+        still = F.col("worst").isNull() | (F.col("gap") <= reach(F.col("worst")))
+        waiting = cut_lineage(later.where(still).select("left_tile", "right_tile", "gap", "place"))
+        forget(hits, earlier, behind)
+        upto *= _MORE
+    forget(waiting)
+    return found.drop("tile")
+
+
 def match_family(
     listings: DataFrame, families: DataFrame, similarity: float = 0.9, id_col: str = "gold_id"
 ) -> DataFrame:
@@ -143,7 +212,7 @@ def match_family(
 
     ``listings`` has id, brand_id, name, embedded_name. Both vectors are rounded
     as stored. Equal (brand, word, vector) rows are matched once. Blocks are
-    compared tile by tile, so one brand may hold any share of the rows.
+    searched tile by tile, nearest first, so one brand may hold any share of the rows.
     """
     rounded = l2_normalize(vector_literal(F.col("embedded_name")))
     asked = listings.select(
@@ -159,24 +228,12 @@ def match_family(
         .where(norm(F.col("unit")) > 0)
     )
     block = ["brand_id", "word"]
-    first = F.get("unit", F.lit(0))
-    left = X.pack(unique.where(norm(F.col("unit")) > 0).withColumn("_s", first), block, "rep", "unit", ["_s", "rep"])
-    right = X.pack(offered.withColumn("_s", first), block, "family_id", "unit", ["_s", "family_id"])
-    low = similarity - 1e-12
-
-    def kernel(a: dict, b: dict) -> pd.DataFrame:
-        score = np.round(a["x"] @ b["x"].T, 9)
-        best = score.max(axis=1)
-        first = np.where(score == best[:, None], b["ids"][None, :], np.iinfo(np.int64).max).min(axis=1)
-        hit = best >= low
-        return pd.DataFrame({"rep": a["ids"][hit], "family_id": first[hit], "similarity": best[hit]})
-
-    pairs = X.pair(X.describe(left, *block), X.describe(right, *block), block, math.sqrt(max(0.0, 2 * (1 - similarity))))
-    found = X.compare(pairs, left, right, kernel, "rep long, family_id long, similarity double")
-    best = found.groupBy("rep").agg(
-        F.max_by(F.struct("family_id", "similarity"), F.struct("similarity", -F.col("family_id"))).alias("m")
-    )
-    chosen = unique.join(best, "rep").select(*block, "embedded_name", "m.family_id", "m.similarity")
+    sides = [unique.where(norm(F.col("unit")) > 0), cut_lineage(offered)]
+    (asking, offering), order = _in_cells(sides, sides[1], math.sqrt(max(0.02, 2 * (1 - similarity))))
+    left = X.pack(asking, block, "rep", "unit", [*order, "rep"])
+    right = X.pack(offering, block, "family_id", "unit", [*order, "family_id"])
+    best = _best_first(left, right, block, similarity)
+    chosen = unique.join(best, "rep").select(*block, "embedded_name", "family_id", "similarity")
     return asked.join(chosen, [*block, "embedded_name"]).select(F.col("id").alias(id_col), "family_id", "similarity")
 
 

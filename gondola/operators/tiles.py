@@ -111,9 +111,18 @@ def describe(tiles: DataFrame, *columns: str) -> DataFrame:
     return tiles.select(*columns, "tile_id", "centre", "radius")
 
 
-def pair(left: DataFrame, right: DataFrame, group: list[str], reach: float | None, condition: Column | None = None) -> DataFrame:
+def pair(
+    left: DataFrame,
+    right: DataFrame,
+    group: list[str],
+    reach: float | None,
+    condition: Column | None = None,
+    measured: bool = False,
+) -> DataFrame:
     """(left_tile, right_tile) with equal group that may hold points within ``reach``.
 
+    ``measured`` adds ``near``, the distance of the centres, and ``gap``, the least one of any points.
+
     The tiles of one group meet on a grid of (row stripe, column stripe) keys, so
     the pairs of a single large group are spread over many tasks.
     """
@@ -127,10 +136,12 @@ def pair(left: DataFrame, right: DataFrame, group: list[str], reach: float | Non
         on = on & (F.col(f"a.{g}") == F.col(f"b.{g}"))
     if condition is not None:
         on = on & condition
+    near = distance(F.col("a.centre"), F.col("b.centre"))
+    gap = near - F.col("a.radius") - F.col("b.radius")
     if reach is not None:
-        gap = distance(F.col("a.centre"), F.col("b.centre")) - F.col("a.radius") - F.col("b.radius")
         on = on & (gap <= reach + 1e-9)
-    return a.join(b, on).select(F.col("a.tile_id").alias("left_tile"), F.col("b.tile_id").alias("right_tile"))
+    measures = [near.alias("near"), gap.alias("gap")] if measured else []
+    return a.join(b, on).select(F.col("a.tile_id").alias("left_tile"), F.col("b.tile_id").alias("right_tile"), *measures)
 
 
 def compare(

@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gondola.operators import match as M
+from gondola.operators import tiles as X
 
 
 def lev(a, b):
@@ -104,3 +106,32 @@ def test_prefix_intervals_against_all_pairs(spark):
     assert got == sorted(want) and len({(r.g, r.word) for r in intervals.collect()}) == intervals.count()
     none = spark.createDataFrame([], "g int, name string")
     assert M.prefix_intervals(M.number_names(none, ["g"]), spark.createDataFrame(words, "g int, word string"), ["g"]).count() == 0
+
+
+def test_nearest_family_of_a_large_block(spark, monkeypatch):
+    rng, similarity = np.random.default_rng(7), 0.9
+    centres = rng.normal(size=(8, 12))
+    make = lambda n: np.round((centres[rng.integers(0, 8, n)] + rng.normal(scale=0.02, size=(n, 12))), 3)
+    known, asked = make(8000), make(6000)
+    asked[:200] = known[300:500]
+    known[7800:] = known[:200]  # Ties go to the lower id.
+    asked[-1] = rng.normal(size=12)
+    rows = lambda m: [(i, 1, "Leite", v.tolist()) for i, v in enumerate(m)]
+    fam = spark.createDataFrame(rows(known), "family_id int, brand_id int, name string, embedded_name array<double>")
+    ask = spark.createDataFrame(rows(asked), "gold_id long, brand_id int, name string, embedded_name array<double>")
+    compared = []
+    compare = X.compare
+
+    def counted(pairs, *rest, **kw):
+        compared.append(pairs.count())
+        return compare(pairs, *rest, **kw)
+
+    monkeypatch.setattr(X, "compare", counted)
+    got = {r.gold_id: (r.family_id, round(r.similarity, 6)) for r in M.match_family(ask, fam, similarity).collect()}
+    unit = lambda m: (lambda r: r / np.linalg.norm(r, axis=1, keepdims=True))(np.round(m, 6))
+    score = np.round(unit(asked) @ unit(known).T, 9)
+    best = score.max(axis=1)
+    want = {i: (int(score[i].argmax()), round(float(best[i]), 6)) for i in range(len(asked)) if best[i] >= similarity - 1e-12}
+    assert got == want
+    # 24 by 32 tiles; those that rounds open vary a little with the cuts of the range partitioning.
+    assert sum(compared) < 0.4 * 24 * 32, compared
