@@ -69,19 +69,21 @@ def build_gold(silver: DataFrame, eps: float = 0.01, model=None, stopwords=None)
 
     A name's vector depends on its cleaned text alone, so vectors exist per
     distinct text only: listings carry the text, never the vector, and equal
-    texts of a store are one point of the clustering.
+    texts of a store are one point of the clustering. Vectors of hashed words are
+    mostly zeros, so their files are many times smaller than their rows: merge joins
+    are asked for, as a broadcast chosen by the size of the files fills the driver.
     """
     priced = drop_unpriced(silver)
     numbered = priced if "row_id" in silver.columns else with_row_ids(priced)
     listings = cut_lineage(numbered.withColumn("_text", clean_names(F.col("name"), stopwords)))
     points = listings.groupBy("store_id", "_text").agg(F.min("row_id").alias("id"))
     vectors = cut_lineage(embed_texts(points.select("_text").distinct(), "_text", "embedded_name", model))
-    placed = cut_lineage(points.join(vectors, "_text"))
+    placed = cut_lineage(points.join(vectors.hint("merge"), "_text"))
     roots = cluster_names(placed, "id", "embedded_name", eps, ["store_id"])
     numbers = cluster_number(roots, ["store_id"]).select("id", "cluster")
-    by_text = placed.select("store_id", "_text", "id").join(numbers, "id").drop("id")
-    members = cut_lineage(group_families(listings.join(by_text, ["store_id", "_text"])))
-    families = representative(members, "_text").join(vectors, "_text").drop("_text")
+    by_text = placed.select("store_id", "_text", "id").join(numbers.hint("merge"), "id").drop("id")
+    members = cut_lineage(group_families(listings.join(by_text.hint("merge"), ["store_id", "_text"])))
+    families = representative(members, "_text").join(vectors.hint("merge"), "_text").drop("_text")
     return Gold(families, group_variations(members), sellers(members))
 
 

@@ -8,7 +8,6 @@ ever holds more than two tiles, however large a group is.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -111,6 +110,19 @@ def describe(tiles: DataFrame, *columns: str) -> DataFrame:
     return tiles.select(*columns, "tile_id", "centre", "radius")
 
 
+def _stripes(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame | None:
+    """(group.., _stripes) of the groups whose pairs are spread over more than one task; None without any."""
+    both = left.select(*group, F.lit(1).alias("_a")).unionByName(right.select(*group, F.lit(0).alias("_a")))
+    sizes = both.groupBy(*group).agg(F.greatest(F.sum("_a"), F.count(F.lit(1)) - F.sum("_a")).alias("_n")).where(F.col("_n") > _SPREAD_TILES)
+    large = cut_lineage(sizes.select(*group, F.ceil(F.sqrt(F.col("_n") / _SPREAD_TILES)).cast("int").alias("_stripes")))
+    return None if large.isEmpty() else large
+
+
+def _with_stripes(side: DataFrame, stripes: DataFrame, group: list[str]) -> DataFrame:
+    sized = side.join(stripes, group, "left") if group else side.crossJoin(stripes)
+    return sized.withColumn("_stripes", F.coalesce("_stripes", F.lit(1)))
+
+
 def pair(
     left: DataFrame,
     right: DataFrame,
@@ -124,13 +136,17 @@ def pair(
     ``measured`` adds ``near``, the distance of the centres, and ``gap``, the least one of any points.
 
     The tiles of one group meet on a grid of (row stripe, column stripe) keys, so
-    the pairs of a single large group are spread over many tasks.
+    the pairs of a single large group are spread over many tasks. The grid follows
+    the size of the group, so tiles of small groups stand in one cell only.
     """
-    tiles = max(left.count(), right.count())
-    stripes = max(1, math.ceil(math.sqrt(tiles / _SPREAD_TILES)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
-    a = left.withColumn("_row", F.pmod(F.hash("tile_id"), F.lit(stripes))).withColumn("_col", every).alias("a")
-    b = right.withColumn("_col", F.pmod(F.hash("tile_id"), F.lit(stripes))).withColumn("_row", every).alias("b")
+    stripes = _stripes(left, right, group)
+
+    def striped(side: DataFrame, own: str, every: str) -> DataFrame:
+        sized = side.withColumn("_stripes", F.lit(1)) if stripes is None else _with_stripes(side, stripes, group)
+        placed = sized.withColumn(own, F.pmod(F.hash("tile_id"), F.col("_stripes")))
+        return placed.withColumn(every, F.explode(F.sequence(F.lit(0), F.col("_stripes") - 1))).drop("_stripes")
+
+    a, b = striped(left, "_row", "_col").alias("a"), striped(right, "_col", "_row").alias("b")
     on = (F.col("a._row") == F.col("b._row")) & (F.col("a._col") == F.col("b._col"))
     for g in group:
         on = on & (F.col(f"a.{g}") == F.col(f"b.{g}"))
@@ -141,7 +157,7 @@ def pair(
     if reach is not None:
         on = on & (gap <= reach + 1e-9)
     measures = [near.alias("near"), gap.alias("gap")] if measured else []
-    return a.join(b, on).select(F.col("a.tile_id").alias("left_tile"), F.col("b.tile_id").alias("right_tile"), *measures)
+    return a.join(b.hint("merge"), on).select(F.col("a.tile_id").alias("left_tile"), F.col("b.tile_id").alias("right_tile"), *measures)
 
 
 def compare(
@@ -182,7 +198,7 @@ def compare(
                 if found is not None and len(found):
                     yield found
 
-    both = pairs.join(side(left, "left"), "left_tile").join(side(right, "right"), "right_tile")
+    both = pairs.join(side(left, "left").hint("merge"), "left_tile").join(side(right, "right").hint("merge"), "right_tile")
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "32")

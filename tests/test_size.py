@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gondola.operators import checkout as C
+from gondola.operators import tiles as X
 
 
 def test_sums_by_cart_ship_lists_not_joined_rows(spark, monkeypatch):
@@ -24,3 +25,27 @@ def test_sums_by_cart_ship_lists_not_joined_rows(spark, monkeypatch):
     full = sorted(map(str, C.full_offers(carts, offers).collect()))
     assert full == sorted(map(str, C.covers_whole_cart(C.offer_by_store(plain), carts).select("cart_id", "store_id", "total_cost", "n_items").collect()))
     assert dealt.where("cart_id = 0").select("_part").distinct().count() == 3
+
+
+def test_tiles_of_small_groups_stand_in_one_cell(spark, monkeypatch):
+    """The grid follows the largest side of a group, whatever the number of groups; nothing is broadcast."""
+    monkeypatch.setattr(X, "_SPREAD_TILES", 4)
+
+    def described(rows):
+        return spark.createDataFrame(rows, "g int, tile_id long, centre array<double>, radius double")
+
+    def pairs(rows, group):
+        tiles = described(rows)
+        met = X.pair(tiles, tiles, group, 1.0)
+        plan = met._jdf.queryExecution().simpleString()
+        return sorted(map(tuple, met.collect())), plan
+
+    small = [(g, 10 * g + i, [float(2 * i)], 0.25) for g in range(40) for i in range(3)]
+    found, plan = pairs(small, ["g"])
+    assert found == [(t, t) for _, t, _, _ in small]
+    assert X._stripes(described(small), described(small), ["g"]) is None
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    large = small + [(99, 1000 + i, [0.0], 0.25) for i in range(20)]
+    both = sorted([(t, t) for _, t, _, _ in small] + [(1000 + i, 1000 + j) for i in range(20) for j in range(20)])
+    assert pairs(large, ["g"])[0] == both
+    assert pairs(large[-20:], [])[0] == both[-400:]
