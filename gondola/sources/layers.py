@@ -25,10 +25,13 @@ def write_layer(df: DataFrame, root: str, layer: str, name: str, partition_by: l
     """Replace one table of a layer with gzip Parquet.
 
     An empty result leaves the table of the last run in place; the return value
-    says whether anything was written.
+    says whether anything was written. Rows of a partition are brought together
+    first, so that files grow with the partitions, not with partitions times tasks.
     """
     if skip_if_empty(df):
         return False
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").option("compression", "gzip")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gondola.operators import checkout as C
 from gondola.operators import tiles as X
+from gondola.sources import layers as L
 
 
 def test_sums_by_cart_ship_lists_not_joined_rows(spark, monkeypatch):
@@ -49,3 +50,10 @@ def test_tiles_of_small_groups_stand_in_one_cell(spark, monkeypatch):
     both = sorted([(t, t) for _, t, _, _ in small] + [(1000 + i, 1000 + j) for i in range(20) for j in range(20)])
     assert pairs(large, ["g"])[0] == both
     assert pairs(large[-20:], [])[0] == both[-400:]
+
+
+def test_layer_files_grow_with_partitions_alone(spark, tmp_path):
+    rows = spark.range(2000).select((F.col("id") % 5).cast("int").alias("store_id"), F.col("id").alias("ref_id")).repartition(8)
+    assert L.write_layer(rows, str(tmp_path), "silver", "t", partition_by=["store_id"])
+    assert len(list((tmp_path / "silver" / "t").glob("store_id=*/*.parquet"))) == 5
+    assert L.read_layer(spark, str(tmp_path), "silver", "t").count() == 2000
