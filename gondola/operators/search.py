@@ -74,7 +74,8 @@ def contributions(asked: DataFrame, postings: DataFrame, stats: DataFrame) -> Da
 
     Only postings of asked-for terms leave the index. A term's document count
     comes from those rows, and the joins run on (field, term); adaptive
-    execution splits a term that most documents carry.
+    execution splits a term that most documents carry. A merge join is asked for,
+    as compressed postings look small enough to be broadcast.
     """
     found = postings.join(asked.select("term").distinct(), "term", "left_semi")
     frequency = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -83,7 +84,7 @@ def contributions(asked: DataFrame, postings: DataFrame, stats: DataFrame) -> Da
     boost = F.lit(0.0)
     for field, weight in BOOSTS.items():
         boost = F.when(F.col("field") == field, weight).otherwise(boost)
-    return found.join(known, ["field", "term"]).select(
+    return found.join(known.hint("merge"), ["field", "term"]).select(
         "term",
         "doc_id",
         (boost * bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n_docs"), F.col("avg_dl"))).alias("part"),
@@ -122,7 +123,8 @@ def blocks(parts: DataFrame) -> DataFrame:
 def _exact(pairs: DataFrame, asked: DataFrame, parts: DataFrame) -> DataFrame:
     """Scores of given (query_id, doc_id) pairs."""
     wanted = pairs.join(asked, "query_id")
-    return _summed(wanted.join(parts, ["term", "doc_id"]))
+    # The files of ``parts`` are many times smaller than a broadcast of its rows.
+    return _summed(wanted.join(parts.hint("merge"), ["term", "doc_id"]))
 
 
 def _floors(asked: DataFrame, parts: DataFrame, blocked: DataFrame, k: int) -> DataFrame:

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from gondola.operators import checkout as C
+from gondola.operators import search as Q
 from gondola.operators import tiles as X
+from gondola.session import cut_lineage
 from gondola.sources import layers as L
 
 
@@ -57,3 +59,13 @@ def test_layer_files_grow_with_partitions_alone(spark, tmp_path):
     assert L.write_layer(rows, str(tmp_path), "silver", "t", partition_by=["store_id"])
     assert len(list((tmp_path / "silver" / "t").glob("store_id=*/*.parquet"))) == 5
     assert L.read_layer(spark, str(tmp_path), "silver", "t").count() == 2000
+
+
+def test_postings_of_a_cut_are_not_broadcast(spark):
+    """Small files may hold many postings: only words and statistics may be broadcast."""
+    docs = cut_lineage(spark.createDataFrame([(i, f"ring bolt {i % 7}", "b") for i in range(50)], "id long, name string, brand string"))
+    asked = spark.createDataFrame([("q", "ring", 1)], "query_id string, term string, times long")
+    parts = Q.contributions(asked, cut_lineage(Q.build_postings(docs)), Q.field_stats(docs))
+    joins = [line for line in parts._jdf.queryExecution().simpleString().split("\n") if "Join [field" in line and "term" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert parts.count() == 50
