@@ -23,18 +23,28 @@ def number_rows(df: DataFrame, order_by: list[str], name: str, start: int = 0) -
         .sortWithinPartitions(*order_by)
         .withColumn("_mono", F.monotonically_increasing_id())
     )
-    kept = cut_lineage(ranged).withColumn("_part", F.shiftright("_mono", _LOCAL_BITS))
+    return _placed(cut_lineage(ranged), "_mono", name, start).drop("_mono")
+
+
+def number_in_place(df: DataFrame, name: str) -> DataFrame:
+    """Add ``name`` = 0, 1, ... in the order of the partitions of ``df``, which is written once."""
+    return _placed(cut_lineage(df.withColumn("_mono", F.monotonically_increasing_id())), "_mono", name).drop("_mono")
+
+
+def _placed(kept: DataFrame, mono: str, name: str, start: int = 0) -> DataFrame:
+    """Add consecutive numbers to a cut whose column ``mono`` is ``monotonically_increasing_id()``."""
+    kept = kept.withColumn("_part", F.shiftright(mono, _LOCAL_BITS))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         kept.groupBy("_part")
         .count()
         .select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))
     )
-    local = F.col("_mono") - F.shiftleft(F.col("_part"), _LOCAL_BITS)
+    local = F.col(mono) - F.shiftleft(F.col("_part"), _LOCAL_BITS)
     return (
         kept.join(F.broadcast(offsets), "_part")
         .withColumn(name, (F.lit(start) + F.col("_offset") + local).cast("long"))
-        .drop("_mono", "_part", "_offset")
+        .drop("_part", "_offset")
     )
 
 

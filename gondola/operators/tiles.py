@@ -2,12 +2,14 @@
 
 Vectors are packed into tiles of bounded size; tiles that can hold a match are
 paired by an equi-join on small descriptions (group, centre, radius), and each
-surviving pair of tiles is compared by one matrix product inside a task. No task
-ever holds more than two tiles, however large a group is.
+surviving pair of tiles is compared by one matrix product inside a task. Tiles travel by
+rack, a bounded run of neighbouring tiles: a task holds one rack and one more tile
+at a time, however large a group is.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gondola.operators.numbering import number_in_place
 from gondola.session import cut_lineage
 
 TILE_ROWS = 256
 # Tiles per side of a pairing task before the pairing is spread out.
 _SPREAD_TILES = 4096
+# Bytes of vectors of one rack, and racks a side is divided into at least if it has as many tiles.
+_RACK_BYTES, _RACKS = 32 << 20, 16
 
 
 def pack(
@@ -32,7 +37,7 @@ def pack(
     extra: list[str] | None = None,
     rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Tiles (group.., tile_id, ids, extra.., vectors, n, centre, radius).
+    """Tiles (group.., tile_id, ids, extra.., vectors, n, centre, radius), numbered from 0.
 
     Range partitioning on (group, order) spreads a large group over many tasks
     and keeps neighbours together, so that tiles are tight.
@@ -96,8 +101,7 @@ def pack(
     keys = [*group, *order]
     needed = df.select(*dict.fromkeys([*group, id_col, vec_col, *order, *extra]))
     sorted_rows = needed.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    tiles = sorted_rows.mapInPandas(build, schema).withColumn("tile_id", F.monotonically_increasing_id())
-    return cut_lineage(tiles)
+    return number_in_place(sorted_rows.mapInPandas(build, schema), "tile_id")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -160,6 +164,12 @@ def pair(
     return a.join(b.hint("merge"), on).select(F.col("a.tile_id").alias("left_tile"), F.col("b.tile_id").alias("right_tile"), *measures)
 
 
+def _rack_tiles(tiles: DataFrame) -> int:
+    """Tiles of a rack; only their number and the largest size reach the driver."""
+    count, values = tiles.agg(F.count(F.lit(1)), F.max(F.col("n") * F.size("centre"))).first()
+    return max(1, min(_RACK_BYTES // (8 * max(1, values or 1)), math.ceil(count / _RACKS)))
+
+
 def compare(
     pairs: DataFrame,
     left: DataFrame,
@@ -171,38 +181,61 @@ def compare(
     """Run ``kernel`` on the two tiles of every pair and keep what it returns.
 
     A kernel gets dictionaries with ``tile``, ``ids``, ``x`` (the matrix) and the
-    extra columns. The result is written to the checkpoint folder at once, with
-    small Arrow batches, because one row carries two whole tiles.
+    extra columns. Pairs meet in cells of a left and a right rack: a tile is sent once
+    per cell it has a pair in, not once per pair. A task reads the right tiles of a cell,
+    then one left tile after the other with the numbers of those it meets. The result is
+    written to the checkpoint folder at once, with small Arrow batches, because one row
+    carries a whole tile.
     """
     spark = pairs.sparkSession
     fields = ["ids", "vectors", "n", *(extra or [])]
+    cell = ["_row", "_column"]
+    per_left = _rack_tiles(left)
+    per_right = per_left if right is left else _rack_tiles(right)
+    placed = pairs.select(
+        F.floor(F.col("left_tile") / per_left).alias("_row"), F.floor(F.col("right_tile") / per_right).alias("_column"),
+        "left_tile", "right_tile",
+    )
+    met = placed.groupBy(*cell, F.col("left_tile").alias("tile_id")).agg(F.collect_list("right_tile").alias("_others"))
+    wanted = placed.select(*cell, F.col("right_tile").alias("tile_id")).distinct()
+    wanted = wanted.withColumn("_others", F.lit(None).cast("array<long>"))
 
-    def side(tiles: DataFrame, name: str) -> DataFrame:
-        return tiles.select(F.col("tile_id").alias(f"{name}_tile"), *[F.col(c).alias(f"{name}_{c}") for c in fields])
+    def side(asked: DataFrame, tiles: DataFrame) -> DataFrame:
+        return asked.join(tiles.select("tile_id", *fields).hint("merge"), "tile_id").select(*cell, "_others", "tile_id", *fields)
 
-    def unpack(row, name: str) -> dict:
-        n = getattr(row, f"{name}_n")
+    def unpack(row) -> dict:
         out = {
-            "tile": getattr(row, f"{name}_tile"),
-            "ids": np.asarray(getattr(row, f"{name}_ids"), dtype=np.int64),
-            "x": np.frombuffer(getattr(row, f"{name}_vectors"), dtype=np.float64).reshape(n, -1),
+            "tile": row.tile_id,
+            "ids": np.asarray(row.ids, dtype=np.int64),
+            "x": np.frombuffer(row.vectors, dtype=np.float64).reshape(row.n, -1),
         }
         for c in extra or []:
-            out[c] = np.asarray(getattr(row, f"{name}_{c}"))
+            out[c] = np.asarray(getattr(row, c))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, rack = None, {}
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                found = kernel(unpack(row, "left"), unpack(row, "right"))
-                if found is not None and len(found):
-                    yield found
-
-    both = pairs.join(side(left, "left").hint("merge"), "left_tile").join(side(right, "right").hint("merge"), "right_tile")
+            others, at = batch["_others"].tolist(), list(zip(batch["_row"], batch["_column"]))
+            for place, asked, row in zip(at, others, batch.drop(columns=["_others", *cell]).itertuples(index=False)):
+                if place != here:
+                    here, rack = place, {}
+                tile = unpack(row)
+                if asked is None:
+                    rack[tile["tile"]] = tile
+                    continue
+                for other in asked:
+                    found = kernel(tile, rack[other])
+                    if found is not None and len(found):
+                        yield found
+
+    # Rows without a list, the right tiles, come first in their cell.
+    both = side(wanted, right).unionByName(side(met, left))
+    dealt = both.repartition(*cell).sortWithinPartitions(*cell, F.col("_others").isNotNull())
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "32")
     try:
-        return cut_lineage(both.mapInPandas(run, schema))
+        return cut_lineage(dealt.mapInPandas(run, schema))
     finally:
         spark.conf.set(setting, before)

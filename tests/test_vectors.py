@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,20 @@ def test_one_vector_and_only_zero_vectors(spark):
     assert {r.id: r.root for r in K.cluster_names(one, "id", "v", 0.01).collect()} == {1: 1, 2: 1}
     zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "id long, v array<double>")
     assert {r.id: r.root for r in K.cluster_names(zero, "id", "v", 0.01).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_tiles_are_sent_once_per_cell_not_once_per_pair(spark, monkeypatch):
+    monkeypatch.setattr(X, "_RACKS", 2)
+    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(16)], "id long, v array<double>")
+    tiles = X.pack(points.coalesce(1), [], "id", "v", ["id"], rows=2)
+    n = tiles.count()
+    small = X.describe(tiles)
+
+    def kernel(a, b):
+        b["met"] = b.get("met", 0) + 1
+        return pd.DataFrame({"a": [a["tile"]], "b": [b["tile"]], "met": [b["met"]]})
+
+    found = X.compare(X.pair(small, small, [], None), tiles, tiles, kernel, "a long, b long, met long").collect()
+    assert sorted((r.a, r.b) for r in found) == [(a, b) for a in range(n) for b in range(n)]
+    # Two racks on the left: each right tile arrives twice, whatever the number of its pairs.
+    assert sum(r.met == 1 for r in found) == 2 * n
