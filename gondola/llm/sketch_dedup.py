@@ -383,7 +383,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     similar = cut_lineage(_bucket_edges(classes, percent, lowest).distinct())
     clusters = cut_lineage(_labels(similar).join(classes.select("id", "key", "n", "sketch"), "id"))
-    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "key", "text").dropDuplicates(["id", "key"])
+    # All texts are shuffled once; the walks read those of clusters only, which are a part of them.
+    named = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "key", "text")
+    clustered = named.join(clusters.select("id", "key").hint("merge"), ["id", "key"], "left_semi")
+    texts = staged(clustered.dropDuplicates(["id", "key"]), "cluster-texts")
     links = _confirmed(clusters, texts, percent, lowest, words)
     found = _labels(links)
     per_class = classes.select("digest", "id").join(found, "id", "left").select(
