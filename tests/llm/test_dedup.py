@@ -232,3 +232,21 @@ def test_search_against_brute_force(spark, monkeypatch):
         total += len(scores)
     assert hits >= 0.99 * total
     assert one_bit_search.search(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
+
+
+def test_walks_read_the_texts_of_clusters_only(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rng = random.Random(5)
+    base = " ".join(rng.choices(words, k=80))
+    rows = [(i, " ".join(rng.choices(words, k=80))) for i in range(40)] + [(50, base), (51, base + " end"), (51, base + " end")]
+    read = []
+    confirmed = sketch_dedup._confirmed
+
+    def counted(members, texts, *rest):
+        read.extend(r.id for r in texts.collect())
+        return confirmed(members, texts, *rest)
+
+    monkeypatch.setattr(sketch_dedup, "_confirmed", counted)
+    got = sketch_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(read) == [50, 51]
+    assert {r.doc_id: r.component_id for r in got} == {**{i: i for i in range(40)}, 50: 50, 51: 50} and len(got) == 43
