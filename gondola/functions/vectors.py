@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gondola.functions.bind import let
 from gondola.functions.text import get_words, remove_stopwords
+from gondola.session import cut_lineage
 
 
 def portuguese_stopwords() -> list[str]:
@@ -62,10 +63,15 @@ def embed_names(
     stopwords: Iterable[str] | None = None,
     model: Callable[[pd.Series], list] | None = None,
 ) -> DataFrame:
-    """Add a vector per name; each distinct cleaned name is embedded once."""
-    cleaned = df.withColumn("_text", clean_names(F.col(name), stopwords))
-    vectors = embed_texts(cleaned.select("_text").distinct(), "_text", out, model)
-    return cleaned.join(vectors, "_text").drop("_text")
+    """Add a vector per name; each distinct name is cleaned once, each distinct cleaned name embedded once.
+
+    Merge joins are asked for: hashed words are mostly zeros, so vectors look far smaller than they are.
+    """
+    names = df.select(F.col(name).alias("_name")).where("_name is not null").distinct()
+    texts = cut_lineage(names.withColumn("_text", clean_names(F.col("_name"), stopwords)))
+    vectors = embed_texts(texts.select("_text").distinct(), "_text", out, model)
+    known = texts.join(vectors.hint("merge"), "_text").drop("_text")
+    return df.join(known.hint("merge"), F.col(name) == F.col("_name")).drop("_name")
 
 
 def _dot(a: Column, b: Column) -> Column:
