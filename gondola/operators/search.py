@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gondola.functions.bind import let
 from gondola.functions.text import edge_ngrams, fold_accents, search_tokens
 from gondola.session import cut_lineage
 
@@ -19,14 +20,43 @@ _MARGIN = 2e-6
 
 
 def build_postings(docs: DataFrame, fields: tuple[str, ...] = ("name", "brand")) -> DataFrame:
-    """(field, term, doc_id, tf, dl) for the edge n-grams of every field."""
-    by_field = F.explode(
-        F.array(*[F.struct(F.lit(f).alias("field"), edge_ngrams(F.col(f)).alias("grams")) for f in fields])
-    )
-    grams = docs.select(F.col("id").alias("doc_id"), by_field.alias("f")).select(
-        "doc_id", "f.field", F.size("f.grams").alias("dl"), F.explode("f.grams").alias("term")
+    """(field, term, doc_id, tf, dl) for the edge n-grams of every field.
+
+    The terms of a row are counted inside the row, so that no task holds its n-grams in a
+    table. Only rows whose id occurs again (or is null) are summed over rows.
+    """
+    salt = F.when(F.col("id").isNull(), F.xxhash64(*fields))
+    rows = docs.select("id", *fields).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id", salt)))
+    by_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _counted(edge_ngrams(F.col(f))).alias("g")) for f in fields]))
+
+    def grams(part: DataFrame) -> DataFrame:
+        listed = part.select(F.col("id").alias("doc_id"), by_field.alias("f"))
+        return listed.select("f.field", "doc_id", "f.g.dl", F.inline("f.g.terms")).select("field", "term", "doc_id", "dl", "tf")
+
+    again = F.col("id").isNull() | (F.col("_n") > 1)
+    summed = grams(rows.where(again)).groupBy("field", "term", "doc_id", "dl").agg(F.sum("tf").alias("tf"))
+    return grams(rows.where(~again)).unionByName(summed)
+
+
+def _counted(grams: Column) -> Column:
+    """Struct (dl, terms): the number of n-grams, and every different one with its count, from one sorted list."""
+
+    def runs(g: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(g))
+        # The first place of every run of equal n-grams, and the end of the list.
+        starts = F.filter(places, lambda i: (i == 0) | (i == F.size(g)) | ~F.get(g, i).eqNullSafe(F.get(g, i - 1)))
+        return let(
+            starts,
+            lambda s: F.transform(
+                F.slice(s, F.lit(1), F.size(s) - 1),
+                lambda i, k: F.struct(F.get(g, i).alias("term"), (F.get(s, k + 1) - i).cast("long").alias("tf")),
+            ),
+        )
+
+    return let(
+        F.array_sort(grams),
+        lambda g: F.struct(F.size(g).alias("dl"), F.when(F.size(g) > 0, runs(g)).alias("terms")),
     )
-    return grams.groupBy("field", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def nested_postings(variations: DataFrame) -> DataFrame:
@@ -98,7 +128,11 @@ def _summed(parts: DataFrame) -> DataFrame:
 def score(queries: DataFrame, postings: DataFrame, stats: DataFrame, fold: bool = False) -> DataFrame:
     """(query_id, doc_id, score) for every document that holds any query word."""
     asked = asked_terms(queries, fold)
-    return _summed(contributions(asked, postings, stats).join(asked, "term"))
+    pairs = contributions(asked, postings, stats).join(asked, "term")
+    # A frequent word makes a row per query and document in one task. Dealt out before they
+    # are summed, they wait in no task's table; a given number of parts is not merged again.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _summed(pairs.repartition(parts, "query_id", "doc_id"))
 
 
 def blocks(parts: DataFrame) -> DataFrame:

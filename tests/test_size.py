@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from gondola.functions import vectors as V
+from gondola.functions.text import edge_ngrams
 from gondola.operators import checkout as C
 from gondola.operators import search as Q
 from gondola.operators import tiles as X
@@ -69,3 +71,43 @@ def test_postings_of_a_cut_are_not_broadcast(spark):
     joins = [line for line in parts._jdf.queryExecution().simpleString().split("\n") if "Join [field" in line and "term" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
     assert parts.count() == 50
+
+
+def test_names_are_cleaned_once_each(spark, monkeypatch):
+    """Copies of a name cost a join, not another cleaning; null names stay out."""
+    seen, clean = spark.sparkContext.accumulator(0), V.clean_names
+
+    @F.udf("string")
+    def count(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(V, "clean_names", lambda name, stop=None: clean(count(name), stop))
+    names = [("Arroz de casa",), ("arroz CASA",), ("feijao",), (None,)]
+    df = spark.createDataFrame(names, "name string").crossJoin(spark.range(50))
+    got = V.embed_names(df, stopwords=["de"]).select("id", "name", "embedded_name").collect()
+    assert seen.value == 3
+    assert len(got) == 150 and len({tuple(r.embedded_name) for r in got}) == 2
+    assert {r.name for r in got} == {"Arroz de casa", "arroz CASA", "feijao"}
+
+
+def _terms(postings):
+    return sorted(map(str, postings.select("field", "term", "doc_id", "dl", "tf").collect()))
+
+
+def test_postings_are_counted_inside_rows(spark):
+    """Only rows whose id repeats or is null are summed over rows; a score's pairs are dealt out before they are summed."""
+    rows = [(1, "ba ba bo", "b"), (2, "ba", None), (2, "ba", "x"), (2, "bo", "x"), (3, None, None), (4, "", "--")]
+    rows += [(None, "ba", "b"), (None, "ba", "b"), (None, "bu", None)]
+    docs = spark.createDataFrame(rows, "id int, name string, brand string")
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), edge_ngrams(F.col(f)).alias("g")) for f in ("name", "brand")]))
+    plain = docs.select(F.col("id").alias("doc_id"), fields.alias("f")).select("doc_id", "f.field", F.size("f.g").alias("dl"), F.explode("f.g").alias("term"))
+    postings = Q.build_postings(docs)
+    assert _terms(postings) == _terms(plain.groupBy("field", "term", "doc_id", "dl").agg(F.count("*").alias("tf")))
+    plan = postings._jdf.queryExecution().simpleString()
+    dealt = [part for part in plan.split("Exchange hashpartitioning(")[1:] if part.startswith("field")]
+    assert dealt and all("_n" in part for part in dealt)
+    asked = spark.createDataFrame([("q", "ba b")], "query_id string, text string")
+    scored = Q.score(asked, postings, Q.field_stats(docs))
+    assert "REPARTITION_BY_NUM" in scored._jdf.queryExecution().simpleString()
+    assert {r.doc_id for r in scored.collect()} == {1, 2, None}
