@@ -26,6 +26,7 @@ from gondola.operators.match import (
     match_family,
     match_variation,
     number_families,
+    vector_key,
 )
 from gondola.operators.numbering import assign_ids
 from gondola.session import cut_lineage
@@ -254,14 +255,19 @@ def upsert_store_products(offers: DataFrame, store_products: DataFrame) -> DataF
 
 
 def match_gold(gold: Gold, old: Catalogue, threshold: float = 50.0, similarity: float = 0.9):
-    """(offers of listed rows, families to insert with family_id, ignored families)."""
+    """(offers of listed rows, families to insert with family_id, ignored families).
+
+    Families are written once with their vectors; from there on they travel without them.
+    """
+    gold = gold._replace(families=cut_lineage(gold.families))
     slugs = gold.families.select(F.col("brand").alias("slug"))
     brand = cut_lineage(match_brand(slugs, old.brands, threshold).select(F.col("slug").alias("brand"), "brand_id"))
-    branded = cut_lineage(gold.families.join(brand, "brand"))
+    keyed = gold.families.withColumns(vector_key(F.col("embedded_name")))
+    branded = cut_lineage(keyed.drop("embedded_name").join(brand, "brand"))
     offers = batch_offers(gold).join(branded.select(*FAMILY), FAMILY, "left_semi")
     listed = cut_lineage(existing_listings(offers, old.store_products))
-    open_families = cut_lineage(number_families(skip_matched_families(branded, listed)))
-    near = cut_lineage(match_family(open_families, old.families, similarity))
+    open_families = number_families(skip_matched_families(branded, listed))
+    near = cut_lineage(match_family(open_families, old.families, similarity, vectors=keyed))
     placed = open_families.join(near.select("gold_id", "family_id"), "gold_id")
     no_brand = gold.families.join(brand, "brand", "left_anti").select(*FAMILY, F.lit("no brand").alias("reason"))
     no_family = open_families.join(near, "gold_id", "left_anti").select(*FAMILY, F.lit("no family").alias("reason"))
@@ -273,7 +279,7 @@ def merge_listings(gold: Gold, old: Catalogue, threshold: float = 50.0, similari
 
     Brands and families are never created here; rows without one are ignored.
     """
-    gold = Gold(*[cut_lineage(part) for part in gold])
+    gold = Gold(gold.families, cut_lineage(gold.variations), cut_lineage(gold.sellers))
     listed, placed, ignored = match_gold(gold, old, threshold, similarity)
     updated = cut_lineage(update_existing(listed, old.store_products))
     family_ids = cut_lineage(placed.select(*FAMILY, "family_id"))

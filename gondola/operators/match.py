@@ -204,8 +204,14 @@ def _best_first(left: DataFrame, right: DataFrame, block: list[str], similarity:
     return found.drop("tile")
 
 
+def vector_key(v: Column) -> dict[str, Column]:
+    """Columns of 128 bits that stand for a vector, its length and the places of its nulls."""
+    holes = F.transform(v, lambda x: x.isNull())
+    return {"_v1": F.xxhash64(v, holes), "_v2": F.xxhash64(F.lit(1), v, holes)}
+
+
 def match_family(
-    listings: DataFrame, families: DataFrame, similarity: float = 0.9, id_col: str = "gold_id"
+    listings: DataFrame, families: DataFrame, similarity: float = 0.9, id_col: str = "gold_id", vectors: DataFrame | None = None
 ) -> DataFrame:
     """(id, family_id, similarity): nearest family of the same brand whose name
     begins with the listing's first word, if it is similar enough.
@@ -213,13 +219,22 @@ def match_family(
     ``listings`` has id, brand_id, name, embedded_name. Both vectors are rounded
     as stored. Equal (brand, word, vector) rows are matched once. Blocks are
     searched tile by tile, nearest first, so one brand may hold any share of the rows.
+
+    Listings travel with the key of their vector, a vector once per different one. With
+    ``vectors`` (key, embedded_name) listings have the key (``vector_key``) and no vector.
     """
     rounded = l2_normalize(vector_literal(F.col("embedded_name")))
+    key = ["_v1", "_v2"]
+    if vectors is None:
+        listings = listings.withColumns(vector_key(F.col("embedded_name")))
+        vectors = listings
     asked = listings.select(
-        F.col(id_col).cast("long").alias("id"), "brand_id", F.get(get_words(F.col("name")), F.lit(0)).alias("word"), "embedded_name"
+        F.col(id_col).cast("long").alias("id"), "brand_id", F.get(get_words(F.col("name")), F.lit(0)).alias("word"), *key
     ).where("word is not null and brand_id is not null")
-    copies = asked.groupBy("brand_id", "word", "embedded_name").agg(F.min("id").alias("rep"))
-    unique = cut_lineage(copies.withColumn("unit", rounded))
+    copies = asked.groupBy("brand_id", "word", *key).agg(F.min("id").alias("rep"))
+    # Few files may hold many vectors: no broadcast by the size of files.
+    held = copies.join(vectors.select(*key, "embedded_name").distinct().hint("merge"), key)
+    unique = cut_lineage(held.withColumn("unit", rounded).drop("embedded_name"))
     blocks = unique.select("brand_id", "word").distinct()
     offered = (
         families.select("family_id", "brand_id", F.explode(_prefixes(F.col("name"))).alias("word"), "embedded_name")
@@ -233,8 +248,8 @@ def match_family(
     left = X.pack(asking, block, "rep", "unit", [*order, "rep"])
     right = X.pack(offering, block, "family_id", "unit", [*order, "family_id"])
     best = _best_first(left, right, block, similarity)
-    chosen = unique.join(best, "rep").select(*block, "embedded_name", "family_id", "similarity")
-    return asked.join(chosen, [*block, "embedded_name"]).select(F.col("id").alias(id_col), "family_id", "similarity")
+    chosen = unique.join(best, "rep").select(*block, *key, "family_id", "similarity")
+    return asked.join(chosen, [*block, *key]).select(F.col("id").alias(id_col), "family_id", "similarity")
 
 
 def existing_listings(sellers: DataFrame, store_products: DataFrame) -> DataFrame:

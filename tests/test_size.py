@@ -6,7 +6,9 @@ from gondola.functions import vectors as V
 from gondola.functions.text import edge_ngrams
 from gondola.operators import checkout as C
 from gondola.operators import search as Q
+from gondola.operators import silver as S
 from gondola.operators import tiles as X
+from gondola.operators.match import match_family, vector_key
 from gondola.session import cut_lineage
 from gondola.sources import layers as L
 
@@ -111,3 +113,49 @@ def test_postings_are_counted_inside_rows(spark):
     scored = Q.score(asked, postings, Q.field_stats(docs))
     assert "REPARTITION_BY_NUM" in scored._jdf.queryExecution().simpleString()
     assert {r.doc_id for r in scored.collect()} == {1, 2, None}
+
+
+def test_listings_of_one_text_are_cleaned_once(spark, monkeypatch):
+    """Copies of a listing's texts cost a join, not another cleaning; null measures are texts too."""
+    seen, clean = spark.sparkContext.accumulator(0), S.normalize_name
+
+    @F.udf("string")
+    def count(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(S, "normalize_name", lambda name: clean(count(name)))
+    texts = [("arroz 1kg", "Casa", None, None), ("feijao original", "Casa", ["2"], ["kg"]), ("feijao original", "Casa", None, ["kg"]), (None, "Casa", ["1"], ["g"])]
+    listed = spark.createDataFrame(texts, "name string, brand string, weight array<string>, measure array<string>")
+    listings = listed.crossJoin(spark.range(40).select((F.col("id") % 2).cast("int").alias("store_id"), F.col("id").alias("ref_id")))
+    stores = spark.createDataFrame([(0, "casa"), (1, "outra")], "store_id int, slug string")
+    silver, rejected = S.build_silver(listings, stores, drops_original=[1])
+    got = silver.groupBy("store_id", "name", "brand").count().collect()
+    assert seen.value == 6 and rejected.count() == 40
+    assert sorted(tuple(r) for r in got) == [
+        (0, "Arroz", "", 20), (0, "Feijao Original", "", 40), (1, "Arroz", "casa", 20), (1, "Feijao", "casa", 40)
+    ]
+
+
+def test_listings_travel_without_vectors(spark):
+    """A vector moves once per different one, whatever the number of its listings; matches are those of the plain way."""
+    names, rows = ["arroz", "feijao"], 40
+    vectors = [[1.0, 0.0, 0.1], [0.0, 1.0, 0.1], [1.0, 0.05, 0.1], None, [0.0, 0.0, 0.0], [None, 1.0, 0.0]]
+    gold = [(i, i % 3, names[i % 2] + " x", vectors[i % 6]) for i in range(rows)] + [(99, None, "arroz", vectors[0])]
+    listings = spark.createDataFrame(gold, "gold_id long, brand_id int, name string, embedded_name array<double>")
+    offered = [(10 * b + k, b, n + " y", v) for b in range(2) for k, (n, v) in enumerate([("arroz", vectors[0]), ("feijao", vectors[1])])]
+    families = spark.createDataFrame(offered, "family_id int, brand_id int, name string, embedded_name array<double>")
+    found = match_family(listings, families)
+
+    def near(a, b):
+        if a is None or None in a or not any(a):
+            return False
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+        return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 >= 0.9
+
+    want = [(g, f) for g, brand, name, v in gold for f, b, n, w in offered if brand == b and n[:4] == name[:4] and near(v, w)]
+    assert sorted((r.gold_id, r.family_id) for r in found.collect()) == sorted(want) and want
+    joined = [line for line in found._jdf.queryExecution().simpleString().split("\n") if "Join" in line]
+    assert joined and not any("embedded_name" in line for line in joined)
+    keys = listings.select(vector_key(F.col("embedded_name"))["_v1"].alias("k"), F.col("embedded_name").cast("string").alias("v")).distinct()
+    assert keys.select("k").distinct().count() == keys.count()
