@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gondola.functions.measure import parse_measure
 from gondola.functions.text import brand_slug, normalize_name, remove_word_original, strip_private_label
+from gondola.session import cut_lineage
 from gondola.sources.stores import STORES, Store
 
 SILVER = {
@@ -78,17 +79,25 @@ def build_silver(
         )
     usable = F.col("name").isNotNull() & F.col("brand").isNotNull()
     rejected = listings.where(~usable)
-    named = listings.where(usable).withColumn(
-        "name",
-        F.when(F.col("store_id").isin(dropping), remove_word_original(F.col("name"), F.col("brand"))).otherwise(
-            F.col("name")
-        ),
+    # Sellers share names: each different text is cleaned once, and a listing fetches the result.
+    raw = ["name", "brand", "weight", "measure", "_drops"]
+    named = listings.where(usable).withColumn("_drops", F.coalesce(F.col("store_id").isin(dropping), F.lit(False)))
+    texts = named.select(*raw).distinct().select(
+        *[F.col(c).alias(f"_raw{i}") for i, c in enumerate(raw)],
+        F.when(F.col("_drops"), remove_word_original(F.col("name"), F.col("brand"))).otherwise(F.col("name")).alias("name"),
+        "brand", "weight", "measure",
     )
-    cleaned = named.select(
-        *[c for c in named.columns if c not in ("name", "brand", "weight", "measure")],
-        parse_measure(F.col("weight"), F.col("measure"), F.col("name"), strict_units).alias("_m"),
-        normalize_name(F.col("name")).alias("name"),
-        brand_slug(F.col("brand")).alias("brand"),
+    known = cut_lineage(
+        texts.select(
+            *[f"_raw{i}" for i in range(len(raw))],
+            parse_measure(F.col("weight"), F.col("measure"), F.col("name"), strict_units).alias("_m"),
+            normalize_name(F.col("name")).alias("_name"),
+            brand_slug(F.col("brand")).alias("_brand"),
+        )
+    )
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_raw{i}")) for i, c in enumerate(raw)])
+    cleaned = named.join(known.hint("merge"), same).select(
+        *[c for c in named.columns if c not in raw], "_m", F.col("_name").alias("name"), F.col("_brand").alias("brand")
     )
     own = cleaned.join(stores.select("store_id", F.col("slug").alias("_slug")), "store_id", "left").withColumn(
         "_n", strip_private_label(F.col("name"), F.col("brand"), F.coalesce("_slug", F.lit("\u0000")))
