@@ -28,8 +28,8 @@ from gondola.operators.match import (
     number_families,
     vector_key,
 )
-from gondola.operators.numbering import assign_ids
-from gondola.session import cut_lineage
+from gondola.operators.numbering import assign_group_ids, assign_ids
+from gondola.session import cut_lineage, joins_by_buckets
 
 ORDER = [*VARIATION, "row_id"]
 UPDATED = ["price", "old_price", "name", "link", "cart_link", "image_url"]
@@ -57,9 +57,12 @@ def _equal(left: str, right: str, *columns: str) -> Column:
     return out
 
 
-def batch_offers(gold: Gold) -> DataFrame:
-    """Sellers with the name and image of their variation; ref_id as a number."""
-    named = gold.sellers.join(gold.variations.select(*VARIATION, "name", "image_url"), VARIATION)
+def batch_offers(gold: Gold, *more: str) -> DataFrame:
+    """Sellers with the name, the image and ``more`` columns of their variation; ref_id as a number.
+
+    Few files may hold many variations: no broadcast by the size of files.
+    """
+    named = gold.sellers.join(gold.variations.select(*VARIATION, "name", "image_url", *more).hint("merge"), VARIATION)
     return named.withColumn("ref_id", F.col("ref_id").try_cast("int"))
 
 
@@ -99,15 +102,18 @@ def insert_families(
     """Append families; names already there under the same brand are left out.
 
     ``mirror`` appends without that check, as the source application does, so
-    that a second run repeats every family.
+    that a second run repeats every family. Families are chosen and numbered without
+    their vectors, which are fetched for the new ones alone.
     """
-    first = lookup_brand_id(dedupe_families(gold), brands).select(
-        "brand_id", "name", vector_literal(F.col("embedded_name")).alias("embedded_name")
-    )
+    key = [*FAMILY, "name"]
+    first = lookup_brand_id(dedupe_families(gold.select(*key)), brands)
     if not mirror:
         n, f = first.alias("n"), families.alias("f")
         first = n.join(f, _equal("n", "f", "brand_id", "name"), "left_anti").select("n.*")
-    return families.unionByName(assign_ids(first, families, "family_id", ["name"]).select(*families.columns))
+    n, g = assign_ids(first, families, "family_id", ["name"]).alias("n"), gold.select(*key, "embedded_name").alias("g")
+    vector = vector_literal(F.col("g.embedded_name")).alias("embedded_name")
+    made = n.join(g, _equal("n", "g", *key)).select("n.family_id", "n.brand_id", "n.name", vector)
+    return families.unionByName(made.dropDuplicates(["family_id"]).select(*families.columns))
 
 
 def last_wins_map(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
@@ -152,19 +158,25 @@ def lookup_product(offers: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def insert_store_products(gold: Gold, products: DataFrame, store_products: DataFrame) -> DataFrame:
-    """Append offers; an existing or earlier (store, product) is kept as it is."""
-    offers = lookup_product(batch_offers(gold), products).where("product_id is not null")
-    first = offers.groupBy("store_id", "product_id").agg(
-        F.min_by(F.struct(*OFFER), F.struct(*ORDER)).alias("_first")
-    )
-    new = first.select("store_id", "product_id", "_first.*").join(
-        store_products, ["store_id", "product_id"], "left_anti"
-    )
-    return _append_offers(store_products, new)
+    """Append offers; an existing or earlier (store, product) is kept as it is.
+
+    Products are looked up per variation, before its sellers join. Gold tables in equal
+    buckets of their family are joined where they lie.
+    """
+    known = lookup_product(gold.variations, products).where("product_id is not null")
+    key = ["store_id", "product_id"]
+    offers = batch_offers(gold._replace(variations=known), "product_id").join(store_products, key, "left_anti")
+    first = F.min_by(F.struct(*OFFER), F.struct(*ORDER)).alias("_first")
+    with joins_by_buckets(offers.sparkSession):
+        numbered = assign_group_ids(offers, store_products, "store_product_id", key, first)
+    return _with_offers(store_products, numbered.select("store_product_id", *key, "_first.*"))
 
 
 def _append_offers(store_products: DataFrame, new: DataFrame) -> DataFrame:
-    numbered = assign_ids(new, store_products, "store_product_id", ["store_id", "product_id"])
+    return _with_offers(store_products, assign_ids(new, store_products, "store_product_id", ["store_id", "product_id"]))
+
+
+def _with_offers(store_products: DataFrame, numbered: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType for f in store_products.schema}
     return store_products.unionByName(numbered.select(*[F.col(c).cast(kinds[c]) for c in store_products.columns]))
 
@@ -180,14 +192,16 @@ def unmatched_audit(gold: Gold, families: DataFrame, products: DataFrame) -> Dat
 
 
 def seed_catalogue(gold: Gold, old: Catalogue, store_id: int | None = None, mirror: bool = False) -> Catalogue:
-    """First load: brands, families, products and offers, of one store if given."""
+    """First load: brands, families, products and offers, of one store if given.
+
+    Each gold table is read where it is needed and not written again, so it should be stored or cheap to derive.
+    """
     if store_id is not None:
         gold = Gold(*[part.where(F.col("store_id") == store_id) for part in gold])
-    gold = Gold(*[cut_lineage(part) for part in gold])
     brands = cut_lineage(insert_brands(gold.families, old.brands))
     families = cut_lineage(insert_families(gold.families, brands, old.families, mirror))
     products = cut_lineage(insert_products(gold, families, old.products))
-    return Catalogue(brands, families, products, cut_lineage(insert_store_products(gold, products, old.store_products)))
+    return Catalogue(brands, families, products, insert_store_products(gold, products, old.store_products))
 
 
 # --- merging -----------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.session import cut_lineage
@@ -18,17 +18,12 @@ def number_rows(df: DataFrame, order_by: list[str], name: str, start: int = 0) -
     there; one count per partition gives the offsets. The offsets table has one
     row per partition, which is what makes its broadcast bounded.
     """
-    ranged = (
-        df.repartitionByRange(*[F.col(c) for c in order_by])
-        .sortWithinPartitions(*order_by)
-        .withColumn("_mono", F.monotonically_increasing_id())
-    )
-    return _placed(cut_lineage(ranged), "_mono", name, start).drop("_mono")
+    return number_in_place(df.repartitionByRange(*[F.col(c) for c in order_by]).sortWithinPartitions(*order_by), name, start)
 
 
-def number_in_place(df: DataFrame, name: str) -> DataFrame:
-    """Add ``name`` = 0, 1, ... in the order of the partitions of ``df``, which is written once."""
-    return _placed(cut_lineage(df.withColumn("_mono", F.monotonically_increasing_id())), "_mono", name).drop("_mono")
+def number_in_place(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Add ``name`` = start, start+1, ... in the order of the partitions of ``df``, which is written once."""
+    return _placed(cut_lineage(df.withColumn("_mono", F.monotonically_increasing_id())), "_mono", name, start).drop("_mono")
 
 
 def _placed(kept: DataFrame, mono: str, name: str, start: int = 0) -> DataFrame:
@@ -53,5 +48,17 @@ def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str, order_by:
 
     That id is the only value that reaches the driver.
     """
-    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]
-    return number_rows(new_rows, order_by, id_col, start=top + 1)
+    return number_rows(new_rows, order_by, id_col, start=_next_id(existing, id_col))
+
+
+def assign_group_ids(rows: DataFrame, existing: DataFrame, id_col: str, keys: list[str], *aggregates: Column) -> DataFrame:
+    """One row per key with its aggregates, numbered in the order of the keys above the largest id in ``existing``.
+
+    Rows are range partitioned by the keys once, which serves both the groups and their numbers.
+    """
+    groups = rows.repartitionByRange(*[F.col(k) for k in keys]).groupBy(*keys).agg(*aggregates)
+    return number_in_place(groups.sortWithinPartitions(*keys), id_col, _next_id(existing, id_col))
+
+
+def _next_id(existing: DataFrame, id_col: str) -> int:
+    return existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0] + 1

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from gondola.operators import catalogue as C
 from gondola.operators import match as M
-from gondola.operators.gold import Gold
+from gondola.operators.gold import FAMILY, Gold
 from gondola.plans.registry import Inputs, query
 from gondola.plans.text_queries import _words
+from gondola.session import cut_lineage
 
 _PROCESSED = r"lower(trim(regexp_replace({}, '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' '))"
 
@@ -86,8 +87,6 @@ def _branded(t: Inputs):
     GOLD,
 )
 def j11(t: Inputs):
-    from gondola.session import cut_lineage
-
     branded = cut_lineage(_branded(t))
     found = M.match_family(branded, t.family_vectors)
     return branded.join(found, "gold_id").select(
@@ -288,7 +287,9 @@ def _unseeded(t: Inputs) -> C.Catalogue:
 
 
 def _seeded(t: Inputs) -> C.Catalogue:
-    return C.seed_catalogue(_gold(t), _unseeded(t))
+    t = t.holding(["gold_members", "gold_family_keys"], FAMILY)
+    old = _unseeded(t)
+    return C.seed_catalogue(_gold(t), old._replace(brands=cut_lineage(old.brands)))
 
 
 @query("c1_insert_brands", f"+ {SEED} SELECT CAST(brand_id AS BIGINT) AS brand_id, slug, name FROM seed_brands", GOLD)

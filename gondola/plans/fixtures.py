@@ -13,6 +13,8 @@ TABLES = (
 ).split()
 
 VIEWS: dict[str, str] = {}
+# Parts of views that Spark reads by name, so that they can be written once and shared.
+PARTS: dict[str, str] = {}
 USES: dict[str, tuple[str, ...]] = {}
 
 
@@ -194,7 +196,7 @@ _view(
 SELECT g.store_id, g.brand, g.cluster,
        CASE WHEN g.family_id % 6 = 5 THEN concat('zzz ', g.family_name) ELSE concat(g.family_name, ' extra') END AS name,
        {perturbed} AS embedded_name
-FROM (SELECT DISTINCT store_id, brand, cluster, family_id, family_name FROM gold_members) g
+FROM {family_keys} g
   CROSS JOIN (SELECT count(*) AS vectors FROM embeddings) n
   JOIN embeddings e ON e.vec_id = (CASE WHEN g.family_id % 7 = 0 THEN g.family_id + 1 ELSE g.family_id END) % n.vectors""",
     uses=("gold_members",),
@@ -215,8 +217,11 @@ FROM gold_members""",
     uses=("gold_members",),
 )
 
+PARTS["gold_family_keys"] = "SELECT DISTINCT store_id, brand, cluster, family_id, family_name FROM gold_members"
+
 # Fragments that the two engines spell differently.
 _SPELLING = {
+    "family_keys": ("gold_family_keys", f"({PARTS['gold_family_keys']})"),
     "half_even": (
         "CAST(bround(CAST((s_suppkey * 31) % 5400 AS DOUBLE) / 60) AS INT)",
         "CAST(round_even(CAST((s_suppkey * 31) % 5400 AS DOUBLE) / 60, 0) AS INT)",
@@ -262,13 +267,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view (or plain table) as a DataFrame."""
-    if name not in VIEWS:
+def view(spark: SparkSession, sf_dir: str, name: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A view (or plain table) as a DataFrame; views and parts that are ``held`` are read from there."""
+    held = held or {}
+    if name in held:
+        return held[name]
+    if name not in VIEWS and name not in PARTS:
         return table(spark, sf_dir, name)
-    text = view_sql(name, "spark")
-    for needed in _ordered(USES[name]):
-        view(spark, sf_dir, needed).createOrReplaceTempView(needed)
+    text = view_sql(name, "spark") if name in VIEWS else PARTS[name]
+    parts = [p for p in PARTS if f"FROM {p}" in text]
+    needs = () if parts and all(p in held for p in parts) else ("gold_members",) if name in PARTS else USES[name]
+    for needed in (*_ordered(needs), *parts):
+        view(spark, sf_dir, needed, held).createOrReplaceTempView(needed)
     for source in TABLES:
         if f"FROM {source}" in text or f"JOIN {source}" in text:
             table(spark, sf_dir, source).createOrReplaceTempView(source)

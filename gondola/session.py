@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +71,32 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_in_buckets(df: DataFrame, keys: list[str], name: str = "cut") -> DataFrame:
+    """As ``cut_lineage``, one file per bucket of ``keys``: groups and joins by these and more columns need no shuffle."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{path[-32:]}"
+    dealt = df.repartition(count, *keys).write.format("parquet").option("compression", "zstd").option("path", path)
+    dealt.bucketBy(count, *keys).saveAsTable(table)
+    return spark.table(table)
+
+
+@contextmanager
+def joins_by_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside join sides that lie in the same buckets where they are, also by more keys than those of the buckets.
+
+    One bucket is one task then, so a bucket key must not hold a large share of the rows.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(*cuts: DataFrame | None) -> None:
     """Remove the files of cuts that nothing reads any more; a loop calls it for the rounds behind it."""
     for df in cuts:

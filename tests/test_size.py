@@ -4,12 +4,16 @@ from pyspark.sql import functions as F
 
 from gondola.functions import vectors as V
 from gondola.functions.text import edge_ngrams
+from gondola.operators import catalogue as A
 from gondola.operators import checkout as C
+from gondola.operators import numbering as N
 from gondola.operators import search as Q
 from gondola.operators import silver as S
 from gondola.operators import tiles as X
+from gondola.operators.gold import Gold
 from gondola.operators.match import match_family, vector_key
-from gondola.session import cut_lineage
+from gondola.plans.registry import Inputs
+from gondola.session import cut_in_buckets, cut_lineage
 from gondola.sources import layers as L
 
 
@@ -159,3 +163,73 @@ def test_listings_travel_without_vectors(spark):
     assert joined and not any("embedded_name" in line for line in joined)
     keys = listings.select(vector_key(F.col("embedded_name"))["_v1"].alias("k"), F.col("embedded_name").cast("string").alias("v")).distinct()
     assert keys.select("k").distinct().count() == keys.count()
+
+
+def _seeding(spark):
+    """Two stores with variations of one product under several families, a hot one, nulls and repeats."""
+    family = "store_id int, brand string, cluster long, "
+    names = ["b", None, "a", "b"]
+    named = [(s, "x", c, names[c % 4], [float(c), 1.0 / 3]) for s in (2, 1) for c in range(6)] + [(1, None, 9, "lost", None)]
+    families = spark.createDataFrame(named, family + "name string, embedded_name array<double>")
+    sized = [(s, "x", c, w, "g", None if w == 3 else f"p{w}", f"img {c}") for s in (2, 1) for c in range(6) for w in (1, 2, 3)]
+    variations = spark.createDataFrame(sized + [(2, "y", 7, 1, "g", "p1", "no family")], family + "weight int, measure string, name string, image_url string")
+    sold = [(s, "x", c, w, "g", 100 * c + i, float(i), None, "l", "c", str(i)) for s in (1, 2) for c in range(5, 0, -1) for w in (1, 2, 3) for i in range(4, 0, -1)]
+    sold += [(2, "y", 7, 1, "g", 1, 9.0, 9.0, "l", "c", "x"), (None, "x", 0, 1, "g", 1, 9.0, 9.0, "l", "c", "1")]
+    kinds = family + "weight int, measure string, row_id long, price double, old_price double, link string, cart_link string, ref_id string"
+    return Gold(families, variations, spark.createDataFrame(sold, kinds))
+
+
+def test_offers_are_grouped_and_numbered_by_one_shuffle(spark, monkeypatch):
+    """First offer per store and product in the order of their ids; sellers and variations in buckets are joined where they lie."""
+    gold = _seeding(spark)
+    products = cut_lineage(spark.createDataFrame([(7, "p1", 1, "g"), (8, "p2", 2, "g"), (9, None, 3, "g")], "product_id int, name string, weight int, measure string"))
+    kinds = "store_product_id long, store_id int, product_id int, ref_id int, name string, price double, old_price double, link string, cart_link string, image_url string"
+    old = spark.createDataFrame([(40, 1, 8, 1, "old", 1.0, 1.0, "l", "c", "i")], kinds)
+    dealt = [cut_in_buckets(part, ["store_id", "brand", "cluster"], "seeding") for part in (gold.variations, gold.sellers)]
+    plans, cut = [], N.cut_lineage
+
+    def seen(df, *name):
+        plans.append(df._jdf.queryExecution().simpleString())
+        return cut(df, *name)
+
+    monkeypatch.setattr(N, "cut_lineage", seen)
+    out = A.insert_store_products(Gold(gold.families, *dealt), products, old)
+    got = [(r.store_product_id, r.store_id, r.product_id, r.ref_id, r.name, r.price, r.image_url) for r in out.collect()]
+    first = [(s, p, 1, n, 1.0, "img 1") for s in (1, 2) for p, n in ((7, "p1"), (8, "p2"), (9, None)) if (s, p) != (1, 8)]
+    assert sorted(got) == [(40, 1, 8, 1, "old", 1.0, "i")] + [(41 + i, *row) for i, row in enumerate(first)]
+    assert A.insert_store_products(Gold(gold.families, *dealt), products, old.where("false")).count() == 6
+    merges = [plan for plan in plans if plan.count("SortMergeJoin") and plan.count("Exchange rangepartitioning(") == 1]
+    assert len(merges) == len(plans) == 2
+    moved = [line for plan in plans for line in plan.split("\n") if "Exchange hashpartitioning(store_id" in line]
+    assert not any("brand" in line for line in moved) and not any(line in plans[1] for line in moved)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_families_are_chosen_without_vectors(spark, monkeypatch):
+    """Vectors are neither sorted, numbered nor moved for families that are not chosen; null names and vectors are kept."""
+    gold, seen, assign = _seeding(spark), [], A.assign_ids
+
+    def noted(df, *rest):
+        seen.append(df)
+        return assign(df, *rest)
+
+    monkeypatch.setattr(A, "assign_ids", noted)
+    brands = spark.createDataFrame([(3, "x", "x")], "brand_id long, slug string, name string")
+    none = spark.createDataFrame([], "family_id long, brand_id long, name string, embedded_name array<double>")
+    twice = gold.families.unionByName(gold.families)
+    got = [tuple(r) for r in A.insert_families(twice, brands, none).orderBy("family_id").collect()]
+    third = 0.333333
+    assert got == [(1, 3, None, [1.0, third]), (2, 3, "a", [2.0, third]), (3, 3, "b", [0.0, third]), (4, None, "lost", None)]
+    assert len(seen) == 1 and "embedded_name" not in seen[0].columns
+
+
+def test_views_that_are_held_are_read_from_their_files(spark):
+    """Gold views of seeding come from members written once; their groups and joins need no shuffle, the rows are the same."""
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    held = t.holding(["gold_members", "gold_family_keys"], ["store_id", "brand", "cluster"])
+    for name in ("gold_families", "gold_variations", "gold_sellers"):
+        a, b = getattr(t, name), getattr(held, name)
+        assert a.schema.simpleString() == b.schema.simpleString()
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert all("lineitem" not in f for f in b.inputFiles())
+    assert "Exchange" not in held.gold_variations._jdf.queryExecution().simpleString()
