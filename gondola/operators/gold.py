@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.functions.vectors import clean_names, embed_texts
+from gondola.functions.vectors import clean_names, embed_texts, vector_key
 from gondola.operators.clusters import cluster_names, cluster_number
 from gondola.operators.lists import nest
 from gondola.operators.numbering import number_rows
@@ -67,23 +67,29 @@ def with_row_ids(silver: DataFrame) -> DataFrame:
 def build_gold(silver: DataFrame, eps: float = 0.01, model=None, stopwords=None) -> Gold:
     """Cluster the names of each store and group listings by (brand, cluster).
 
-    A name's vector depends on its cleaned text alone, so vectors exist per
-    distinct text only: listings carry the text, never the vector, and equal
-    texts of a store are one point of the clustering. Vectors of hashed words are
-    mostly zeros, so their files are many times smaller than their rows: merge joins
-    are asked for, as a broadcast chosen by the size of the files fills the driver.
+    A name's vector depends on its cleaned text alone. Each distinct name is cleaned once
+    and each distinct text embedded once; listings carry neither text nor vector, and equal
+    texts of a store are one point of the clustering, which gets the keys of their vectors.
+    Vectors of hashed words are mostly zeros, so their files are many times smaller than
+    their rows: merge joins are asked for, as a broadcast chosen by the size of the files
+    fills the driver.
     """
     priced = drop_unpriced(silver)
-    numbered = priced if "row_id" in silver.columns else with_row_ids(priced)
-    listings = cut_lineage(numbered.withColumn("_text", clean_names(F.col("name"), stopwords)))
-    points = listings.groupBy("store_id", "_text").agg(F.min("row_id").alias("id"))
-    vectors = cut_lineage(embed_texts(points.select("_text").distinct(), "_text", "embedded_name", model))
-    placed = cut_lineage(points.join(vectors.hint("merge"), "_text"))
-    roots = cluster_names(placed, "id", "embedded_name", eps, ["store_id"])
+    listings = cut_lineage(priced if "row_id" in silver.columns else with_row_ids(priced))
+    names = listings.select("name").where("name is not null").distinct()
+    texts = cut_lineage(names.withColumn("_text", clean_names(F.col("name"), stopwords)))
+    embedded = embed_texts(texts.select("_text").distinct(), "_text", "embedded_name", model)
+    vectors = cut_lineage(embedded.withColumns(vector_key(F.col("embedded_name"))))
+    by_name = listings.groupBy("store_id", "name").agg(F.min("row_id").alias("id"))
+    named = cut_lineage(by_name.join(texts.hint("merge"), "name"))
+    points = named.groupBy("store_id", "_text").agg(F.min("id").alias("id"))
+    placed = cut_lineage(points.join(vectors.select("_text", "_v1", "_v2").hint("merge"), "_text"))
+    roots = cluster_names(placed, "id", "embedded_name", eps, ["store_id"], vectors=vectors)
     numbers = cluster_number(roots, ["store_id"]).select("id", "cluster")
     by_text = placed.select("store_id", "_text", "id").join(numbers.hint("merge"), "id").drop("id")
-    members = cut_lineage(group_families(listings.join(by_text.hint("merge"), ["store_id", "_text"])))
-    families = representative(members, "_text").join(vectors.hint("merge"), "_text").drop("_text")
+    clustered = named.drop("id").join(by_text.hint("merge"), ["store_id", "_text"])
+    members = cut_lineage(group_families(listings.join(clustered.hint("merge"), ["store_id", "name"])))
+    families = representative(members, "_text").join(vectors.drop("_v1", "_v2").hint("merge"), "_text").drop("_text")
     return Gold(families, group_variations(members), sellers(members))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gondola.functions.similarity import EDIT_WEIGHT, WORD_WEIGHT, jaccard, mixed_of_processed, processed
 from gondola.functions.text import get_words
-from gondola.functions.vectors import l2_normalize, norm, vector_literal
+from gondola.functions.vectors import l2_normalize, norm, vector_key, vector_literal
 from gondola.operators import tiles as X
 from gondola.operators.numbering import number_rows
 from gondola.session import cut_lineage, forget
@@ -204,12 +204,6 @@ def _best_first(left: DataFrame, right: DataFrame, block: list[str], similarity:
     return found.drop("tile")
 
 
-def vector_key(v: Column) -> dict[str, Column]:
-    """Columns of 128 bits that stand for a vector, its length and the places of its nulls."""
-    holes = F.transform(v, lambda x: x.isNull())
-    return {"_v1": F.xxhash64(v, holes), "_v2": F.xxhash64(F.lit(1), v, holes)}
-
-
 def match_family(
     listings: DataFrame, families: DataFrame, similarity: float = 0.9, id_col: str = "gold_id", vectors: DataFrame | None = None
 ) -> DataFrame:

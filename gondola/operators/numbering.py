@@ -21,9 +21,10 @@ def number_rows(df: DataFrame, order_by: list[str], name: str, start: int = 0) -
     return number_in_place(df.repartitionByRange(*[F.col(c) for c in order_by]).sortWithinPartitions(*order_by), name, start)
 
 
-def number_in_place(df: DataFrame, name: str, start: int = 0) -> DataFrame:
-    """Add ``name`` = start, start+1, ... in the order of the partitions of ``df``, which is written once."""
-    return _placed(cut_lineage(df.withColumn("_mono", F.monotonically_increasing_id())), "_mono", name, start).drop("_mono")
+def number_in_place(df: DataFrame, name: str, start: int = 0, rows: int | None = None) -> DataFrame:
+    """Add ``name`` = start, start+1, ... in the order of the partitions of ``df``, which is written once, in row groups of ``rows``."""
+    kept = cut_lineage(df.withColumn("_mono", F.monotonically_increasing_id()), rows=rows)
+    return _placed(kept, "_mono", name, start).drop("_mono")
 
 
 def _placed(kept: DataFrame, mono: str, name: str, start: int = 0) -> DataFrame:

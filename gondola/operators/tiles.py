@@ -26,6 +26,8 @@ TILE_ROWS = 256
 _SPREAD_TILES = 4096
 # Bytes of vectors of one rack, and racks a side is divided into at least if it has as many tiles.
 _RACK_BYTES, _RACKS = 32 << 20, 16
+# Tiles that a reader takes into memory at once.
+_READ_TILES = 128
 
 
 def pack(
@@ -101,7 +103,7 @@ def pack(
     keys = [*group, *order]
     needed = df.select(*dict.fromkeys([*group, id_col, vec_col, *order, *extra]))
     sorted_rows = needed.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return number_in_place(sorted_rows.mapInPandas(build, schema), "tile_id")
+    return number_in_place(sorted_rows.mapInPandas(build, schema), "tile_id", rows=_READ_TILES)
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -59,15 +59,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and continue from there.
 
     Unlike a checkpoint, which keeps the size estimate of the plan it cuts, the
     result is sized by its files, so that estimates do not multiply from cut to
-    cut and joins are planned by what is there.
+    cut and joins are planned by what is there. ``rows`` are the rows of a row group
+    at most: a reader takes up to 4,096 of one into memory at once, too many of large rows.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    groups = {"parquet.block.row.count.limit": str(rows)} if rows else {}
+    df.write.options(compression="zstd", **groups).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

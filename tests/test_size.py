@@ -1,11 +1,15 @@
 """Plans that must hold at size: what is shuffled and broadcast, with the rows of the plain way."""
 
+import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from gondola.functions import vectors as V
 from gondola.functions.text import edge_ngrams
 from gondola.operators import catalogue as A
 from gondola.operators import checkout as C
+from gondola.operators import clusters as K
+from gondola.operators import gold as G
 from gondola.operators import numbering as N
 from gondola.operators import search as Q
 from gondola.operators import silver as S
@@ -233,3 +237,63 @@ def test_views_that_are_held_are_read_from_their_files(spark):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
         assert all("lineitem" not in f for f in b.inputFiles())
     assert "Exchange" not in held.gold_variations._jdf.queryExecution().simpleString()
+
+
+def test_stores_are_compared_whole_or_by_tiles(spark, monkeypatch):
+    """Small stores make no tiles, large ones do; roots are the same, and points without store, direction or vector stay alone."""
+    rng = np.random.default_rng(3)
+    rows = [(int(s), [float(x) for x in rng.integers(1, 6, size=2)]) for s in range(6) for _ in range(5 + 12 * (s == 2))]
+    rows += [(None, [1.0, 1.0])] * 2 + [(1, [0.0, 0.0])] * 2 + [(1, None), (1, [None, 1.0]), (1, [None, 1.0])]
+    df = spark.createDataFrame([(i, s, v) for i, (s, v) in enumerate(rows)], "id long, store int, v array<double>").repartition(3)
+    packed, pack = [], X.pack
+
+    def seen(*args, **kwargs):
+        packed.append(sorted(r.store for r in args[0].select("store").distinct().collect()))
+        return pack(*args, **kwargs)
+
+    monkeypatch.setattr(X, "pack", seen)
+    found = []
+    for limit in (2048, 8, 0):
+        monkeypatch.setattr(K, "_WHOLE", limit)
+        found.append({r.id: r.root for r in K.cluster_names(df, "id", "v", 0.01, ["store"]).collect()})
+    assert packed == [[2], [0, 1, 2, 3, 4, 5]]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows[:42]]
+    root = list(range(42))
+    for _ in root:
+        root = [min(root[j] for j in range(42) if rows[i][0] == rows[j][0] and unit[i] @ unit[j] >= 0.99) for i in range(42)]
+    assert [found[0][i] for i in range(42)] == root
+    alone = len(rows) - 2
+    assert [found[0][i] for i in range(42, len(rows))] == [*range(42, alone), alone, alone]
+
+
+def test_tiles_are_read_in_small_groups(spark, monkeypatch):
+    """A reader takes a row group's rows into memory at once, so few tiles are in one."""
+    monkeypatch.setattr(X, "_READ_TILES", 3)
+    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, v array<double>").coalesce(1)
+    tiles = X.pack(points, [], "id", "v", ["id"], rows=2)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in tiles.inputFiles()]
+    rows = [m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)]
+    assert sum(rows) == tiles.count() >= 20 and max(rows) <= 3
+
+
+def test_names_of_listings_are_cleaned_once_for_gold(spark, monkeypatch):
+    """Copies of a name in many stores cost a join, not another cleaning; a null name has no family."""
+    seen, clean = spark.sparkContext.accumulator(0), G.clean_names
+
+    @F.udf("string")
+    def count(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(G, "clean_names", lambda name, stop=None: clean(count(name), stop))
+    names = spark.createDataFrame([("Arroz de casa",), ("arroz CASA",), ("feijao",), (None,)], "name string")
+    listed = names.crossJoin(spark.range(30).select((F.col("id") % 3).cast("int").alias("store_id"), F.col("id").alias("row_id")))
+    silver = listed.select(
+        "store_id", "name", F.xxhash64("name", "row_id").alias("row_id"), F.lit("b").alias("brand"), F.lit(1).alias("weight"), F.lit("g").alias("measure"),
+        *[F.lit(1.0).alias(c) for c in ("price", "old_price")], *[F.lit("x").alias(c) for c in ("link", "cart_link", "ref_id", "image_url")],
+    )
+    gold = G.build_gold(silver, stopwords=["de"])
+    assert seen.value == 3
+    assert sorted((r.store_id, r.cluster) for r in gold.families.collect()) == [(s, c) for s in range(3) for c in range(2)]
+    assert gold.sellers.count() == 90 and gold.variations.count() == 6
