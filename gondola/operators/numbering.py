@@ -23,7 +23,8 @@ def number_rows(df: DataFrame, order_by: list[str], name: str, start: int = 0) -
 
 def number_in_place(df: DataFrame, name: str, start: int = 0, rows: int | None = None) -> DataFrame:
     """Add ``name`` = start, start+1, ... in the order of the partitions of ``df``, which is written once, in row groups of ``rows``."""
-    kept = cut_lineage(df.withColumn("_mono", F.monotonically_increasing_id()), rows=rows)
+    marked = df.withColumn("_mono", F.monotonically_increasing_id())
+    kept = cut_lineage(marked, rows=rows) if rows else cut_lineage(marked)
     return _placed(kept, "_mono", name, start).drop("_mono")
 
 

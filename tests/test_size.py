@@ -297,3 +297,37 @@ def test_names_of_listings_are_cleaned_once_for_gold(spark, monkeypatch):
     assert seen.value == 3
     assert sorted((r.store_id, r.cluster) for r in gold.families.collect()) == [(s, c) for s in range(3) for c in range(2)]
     assert gold.sellers.count() == 90 and gold.variations.count() == 6
+
+
+def test_offers_travel_as_short_codes(spark, monkeypatch):
+    """Offers of whole numbers and decimals are shuffled as bytes and shorts; extremes, nulls and other types are kept."""
+    monkeypatch.setattr(C, "_CART", 2)
+    carts = spark.createDataFrame([(c, p, 2) for c in range(5) for p in range(4) if c == 0 or (c + p) % 2] + [(None, 1, 1)], "cart_id long, product_id int, quantity int")
+    sold = [(s, p, f"{s * 977 - p}.{p}5") for s in range(-3, 300, 7) for p in range(4)] + [(None, 1, "-9.99"), (5, 1, None), (None, 2, None)]
+    text = spark.createDataFrame(sold, "store_id int, product_id int, price string")
+    wide = spark.createDataFrame([(s, p, x) for s, p, _ in sold[:8] for x in ("1.00", "9999999999999999.99", "-9999999999999999.99")], text.schema)
+    for kind, offers, coded in (("decimal(18,2)", text, True), ("int", text, True), ("decimal(18,2)", wide, False), ("string", text, False)):
+        typed = offers.withColumn("price", F.expr(f"try_cast(price as {kind})"))
+        dealt = C._offers_by_cart(cut_lineage(carts), typed)
+        plain = carts.join(typed, "product_id")
+        assert {f.name: f.dataType for f in dealt.drop("_part").schema} == {f.name: f.dataType for f in plain.schema}
+        columns = sorted(plain.columns)
+        assert sorted(map(str, dealt.select(*columns).collect())) == sorted(map(str, plain.select(*columns).collect()))
+        dealing = [line for line in dealt._jdf.queryExecution().simpleString().split("\n") if "Project" in line and "_part" in line]
+        assert any("_c0" in line for line in dealing) == coded
+
+
+def test_offers_are_not_sorted_by_store(spark, monkeypatch):
+    """A table of few stores is sent to the offers, whatever its files' size; one of many is merged."""
+    offers = spark.createDataFrame([(c, s, c) for c in range(4) for s in range(9)], "cart_id long, store_id int, total_cost int")
+    near = spark.createDataFrame([(s, 1.5, 2) for s in range(0, 9, 2)], "store_id int, distance_km double, duration_min int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit, join in ((5, "BroadcastHashJoin"), (4, "SortMergeJoin")):
+            monkeypatch.setattr(C, "_SENT", limit)
+            found, lost = C.attach_distance(offers, near), C.offers_without_distance(offers, near)
+            assert all(join in df._jdf.queryExecution().simpleString() for df in (found, lost))
+            assert found.count() == 20 and sorted(r.store_id for r in lost.collect()) == sorted([1, 3, 5, 7] * 4)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
