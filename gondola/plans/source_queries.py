@@ -66,7 +66,7 @@ def s4(t: Inputs):
     path = f"{_scratch(t)}/pages"
     listing = F.struct(*[F.col(c) for c in bronze(t).columns if c != "store_id"])
     page = F.when(F.col("productId").cast("int") % 10 == 0, F.array(listing, listing)).otherwise(F.array(listing))
-    bronze(t).select(F.to_json(page).alias("value")).write.text(path)
+    bronze(t).select(F.to_json(page).alias("value")).write.text(path, compression="gzip")
     listings, _ = L.read_listing_pages(t.spark, path, STORES[0])
     offer = S.extract_offer(F.col("items"))
     ref = F.col("productId")

@@ -16,7 +16,8 @@ from gondola.operators import silver as S
 from gondola.operators import tiles as X
 from gondola.operators.gold import Gold
 from gondola.operators.match import match_family, vector_key
-from gondola.plans.registry import Inputs
+from gondola.plans import catalog  # noqa: F401  (registers the queries)
+from gondola.plans.registry import QUERIES, Inputs
 from gondola.session import cut_in_buckets, cut_lineage
 from gondola.sources import layers as L
 
@@ -331,3 +332,10 @@ def test_offers_are_not_sorted_by_store(spark, monkeypatch):
             assert found.count() == 20 and sorted(r.store_id for r in lost.collect()) == sorted([1, 3, 5, 7] * 4)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pages_land_compressed(spark):
+    """Landed pages repeat their field names in every line, so they are written and read back as gzip."""
+    listings = QUERIES["s4_read_listing_pages"](spark, "/root/testdata/sf0.001")
+    assert listings.inputFiles() and all(f.endswith(".gz") for f in listings.inputFiles())
+    assert listings.count() > Inputs(spark, "/root/testdata/sf0.001").raw_listings.count()
