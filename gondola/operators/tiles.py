@@ -176,12 +176,16 @@ def compare(
     pairs: DataFrame,
     left: DataFrame,
     right: DataFrame,
-    kernel: Callable[[dict, dict], pd.DataFrame | None],
+    kernel: Callable[[dict, dict], pd.DataFrame | None] | Callable[[dict, list[dict]], pd.DataFrame | None],
     schema: str,
     extra: list[str] | None = None,
+    together: bool = False,
 ) -> DataFrame:
     """Run ``kernel`` on the two tiles of every pair and keep what it returns.
 
+    With ``together`` it gets a left tile and the list of all right tiles it meets in a
+    rack, so that what it returns need not grow with the pairs.
+
     A kernel gets dictionaries with ``tile``, ``ids``, ``x`` (the matrix) and the
     extra columns. Pairs meet in cells of a left and a right rack: a tile is sent once
     per cell it has a pair in, not once per pair. A task reads the right tiles of a cell,
@@ -226,8 +230,8 @@ def compare(
                 if asked is None:
                     rack[tile["tile"]] = tile
                     continue
-                for other in asked:
-                    found = kernel(tile, rack[other])
+                met = [rack[other] for other in asked]
+                for found in [kernel(tile, met)] if together else (kernel(tile, other) for other in met):
                     if found is not None and len(found):
                         yield found
 

@@ -339,3 +339,27 @@ def test_pages_land_compressed(spark):
     listings = QUERIES["s4_read_listing_pages"](spark, "/root/testdata/sf0.001")
     assert listings.inputFiles() and all(f.endswith(".gz") for f in listings.inputFiles())
     assert listings.count() > Inputs(spark, "/root/testdata/sf0.001").raw_listings.count()
+
+
+def test_silhouette_sums_inside_racks(spark, monkeypatch):
+    """What leaves the comparison grows with points and clusters, not with pairs of tiles; the value is that of all pairs."""
+    monkeypatch.setattr(X.pack, "__defaults__", (None, 4))
+    monkeypatch.setattr(X, "_RACKS", 1)
+    rng = np.random.default_rng(11)
+    x, label = rng.normal(size=(98, 3)), np.array([i % 2 for i in range(96)] + [5, 6])
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], int(label[i])) for i in range(98)], "id long, v array<double>, c int")
+    sent, compare = [], X.compare
+
+    def seen(*args, **kwargs):
+        sent.append(compare(*args, **kwargs))
+        return sent[-1]
+
+    monkeypatch.setattr(X, "compare", seen)
+    got = K.silhouette(df, "id", "v", "c").first()[0]
+    assert sent[0].count() <= 98 * 5
+    gap, scores = np.linalg.norm(x[:, None] - x[None], axis=2), []
+    for i in range(98):
+        a = gap[i][label == label[i]].sum() / max((label == label[i]).sum() - 1, 1)
+        b = min(gap[i][label == k].mean() for k in {0, 1, 5, 6} - {int(label[i])})
+        scores.append((b - a) / max(a, b) if i < 96 else 0.0)
+    assert abs(got - np.mean(scores)) < 1e-9
