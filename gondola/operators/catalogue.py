@@ -247,9 +247,11 @@ def upsert_store_products(offers: DataFrame, store_products: DataFrame) -> DataF
     """Insert offers; where (store, product) exists only the price is replaced.
 
     Several offers of one batch for the same pair: the first one's attributes
-    with the last one's price.
+    with the last one's price. Offers are dealt by that pair as they are: most pairs
+    come once, and what aggregations would send is an offer with its order twice.
     """
-    batch = offers.groupBy("store_id", "product_id").agg(
+    needed = dict.fromkeys(["store_id", "product_id", *OFFER, *ORDER])
+    batch = offers.select(*needed).repartition("store_id", "product_id").groupBy("store_id", "product_id").agg(
         F.min_by(F.struct(*OFFER), F.struct(*ORDER)).alias("_first"),
         F.max_by(F.struct("price"), F.struct(*ORDER)).alias("last"),
     )
@@ -272,14 +274,16 @@ def match_gold(gold: Gold, old: Catalogue, threshold: float = 50.0, similarity:
     """(offers of listed rows, families to insert with family_id, ignored families).
 
     Families are written once with their vectors; from there on they travel without them.
+    Sellers and variations are read in place; in equal buckets of their family they are joined where they lie.
     """
     gold = gold._replace(families=cut_lineage(gold.families))
     slugs = gold.families.select(F.col("brand").alias("slug"))
     brand = cut_lineage(match_brand(slugs, old.brands, threshold).select(F.col("slug").alias("brand"), "brand_id"))
     keyed = gold.families.withColumns(vector_key(F.col("embedded_name")))
     branded = cut_lineage(keyed.drop("embedded_name").join(brand, "brand"))
-    offers = batch_offers(gold).join(branded.select(*FAMILY), FAMILY, "left_semi")
-    listed = cut_lineage(existing_listings(offers, old.store_products))
+    with joins_by_buckets(branded.sparkSession):
+        offers = batch_offers(gold).join(branded.select(*FAMILY), FAMILY, "left_semi")
+        listed = cut_lineage(existing_listings(offers, old.store_products))
     open_families = number_families(skip_matched_families(branded, listed))
     near = cut_lineage(match_family(open_families, old.families, similarity, vectors=keyed))
     placed = open_families.join(near.select("gold_id", "family_id"), "gold_id")
@@ -291,18 +295,21 @@ def match_gold(gold: Gold, old: Catalogue, threshold: float = 50.0, similarity:
 def merge_listings(gold: Gold, old: Catalogue, threshold: float = 50.0, similarity: float = 0.9) -> Merge:
     """Match a gold batch to the catalogue, update what is listed, add what is new.
 
-    Brands and families are never created here; rows without one are ignored.
+    Brands and families are never created here; rows without one are ignored. Variations
+    and sellers are read where they are needed and not written again, so they should be
+    stored or cheap to derive.
     """
-    gold = Gold(gold.families, cut_lineage(gold.variations), cut_lineage(gold.sellers))
     listed, placed, ignored = match_gold(gold, old, threshold, similarity)
     updated = cut_lineage(update_existing(listed, old.store_products))
     family_ids = cut_lineage(placed.select(*FAMILY, "family_id"))
-    variations = cut_lineage(match_variation(gold.variations.join(family_ids, FAMILY), old.products))
+    with joins_by_buckets(family_ids.sparkSession):
+        variations = cut_lineage(match_variation(gold.variations.join(family_ids, FAMILY), old.products))
     products, product_ids = insert_variations(variations, old.products)
     key = ["family_id", "weight", "measure"]
     o, p = batch_offers(gold).join(family_ids, FAMILY).alias("o"), product_ids.alias("p")
     offers = o.join(p, _equal("o", "p", *key)).select("o.*", "p.product_id")
-    store_products = upsert_store_products(offers, updated)
+    with joins_by_buckets(family_ids.sparkSession):
+        store_products = upsert_store_products(offers, updated)
     ignored = cut_lineage(ignored)
     return Merge(
         Catalogue(old.brands, old.families, products, store_products),

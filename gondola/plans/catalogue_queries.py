@@ -9,7 +9,7 @@ from gondola.operators import match as M
 from gondola.operators.gold import FAMILY, Gold
 from gondola.plans.registry import Inputs, query
 from gondola.plans.text_queries import _words
-from gondola.session import cut_lineage
+from gondola.session import cut_lineage, joins_by_buckets
 
 _PROCESSED = r"lower(trim(regexp_replace({}, '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' '))"
 
@@ -71,6 +71,16 @@ def _gold(t: Inputs) -> Gold:
     return Gold(t.gold_families, t.gold_variations, t.gold_sellers)
 
 
+def _held(t: Inputs) -> Inputs:
+    """The gold views read from members and family keys that are written once, in buckets of their family."""
+    return t.holding(["gold_members", "gold_family_keys"], FAMILY)
+
+
+def _merged(t: Inputs) -> C.Merge:
+    t = _held(t)
+    return C.merge_listings(_gold(t), _old(t))
+
+
 def _old(t: Inputs) -> C.Catalogue:
     brands = t.brands.withColumn("name", F.col("slug"))
     return C.Catalogue(brands, t.family_vectors, t.products, t.old_offers)
@@ -140,6 +150,7 @@ def j13(t: Inputs):
 
 @query("c6_update_existing", f"+ {MERGE} SELECT store_product_id, {OFFER_COLUMNS} FROM updated", GOLD)
 def c6(t: Inputs):
+    t = _held(t)
     listed, _, _ = C.match_gold(_gold(t), _old(t))
     return C.update_existing(listed, t.old_offers)
 
@@ -150,6 +161,7 @@ def c6(t: Inputs):
     GOLD,
 )
 def c7(t: Inputs):
+    t = _held(t)
     return C.match_gold(_gold(t), _old(t))[1].select("store_id", "brand", "cluster", "family_id")
 
 
@@ -172,12 +184,12 @@ def j14(t: Inputs):
     GOLD,
 )
 def c8(t: Inputs):
-    return C.merge_listings(_gold(t), _old(t)).catalogue.products
+    return _merged(t).catalogue.products
 
 
 @query("c10_merge_listings", f"+ {MERGE} SELECT {OFFER_COLUMNS} FROM merged", GOLD)
 def c10(t: Inputs):
-    return C.merge_listings(_gold(t), _old(t)).catalogue.store_products.drop("store_product_id")
+    return _merged(t).catalogue.store_products.drop("store_product_id")
 
 
 @query(
@@ -189,7 +201,7 @@ def c10(t: Inputs):
     GOLD,
 )
 def a16(t: Inputs):
-    return C.merge_listings(_gold(t), _old(t)).metrics
+    return _merged(t).metrics
 
 
 @query(
@@ -200,8 +212,10 @@ def a16(t: Inputs):
     GOLD,
 )
 def c9(t: Inputs):
-    offers = C.batch_offers(_gold(t)).withColumn("product_id", F.col("ref_id"))
-    return C.upsert_store_products(offers, t.old_offers).select("store_id", "product_id", "price", "link")
+    t = _held(t)
+    offers, old = C.batch_offers(_gold(t)).withColumn("product_id", F.col("ref_id")), cut_lineage(t.old_offers)
+    with joins_by_buckets(t.spark):
+        return C.upsert_store_products(offers, old).select("store_id", "product_id", "price", "link")
 
 
 @query("a4_distinct_brands", "SELECT DISTINCT brand FROM gold_families", GOLD)
@@ -287,7 +301,7 @@ def _unseeded(t: Inputs) -> C.Catalogue:
 
 
 def _seeded(t: Inputs) -> C.Catalogue:
-    t = t.holding(["gold_members", "gold_family_keys"], FAMILY)
+    t = _held(t)
     old = _unseeded(t)
     return C.seed_catalogue(_gold(t), old._replace(brands=cut_lineage(old.brands)))
 

@@ -18,7 +18,7 @@ from gondola.operators.gold import Gold
 from gondola.operators.match import match_family, vector_key
 from gondola.plans import catalog  # noqa: F401  (registers the queries)
 from gondola.plans.registry import QUERIES, Inputs
-from gondola.session import cut_in_buckets, cut_lineage
+from gondola.session import cut_in_buckets, cut_lineage, joins_by_buckets
 from gondola.sources import layers as L
 
 
@@ -363,3 +363,26 @@ def test_silhouette_sums_inside_racks(spark, monkeypatch):
         b = min(gap[i][label == k].mean() for k in {0, 1, 5, 6} - {int(label[i])})
         scores.append((b - a) / max(a, b) if i < 96 else 0.0)
     assert abs(got - np.mean(scores)) < 1e-9
+
+
+def test_merge_joins_sellers_where_they_lie(spark, monkeypatch):
+    """Sellers and variations in buckets of their family are joined without a shuffle, upserts send offers once, with the rows of the plain way."""
+    gold = _seeding(spark)
+    old = "store_product_id long, store_id int, product_id int, ref_id int, name string, price double, old_price double, link string, cart_link string, image_url string"
+    known = spark.createDataFrame([(40, 1, 1, 1, "old", 1.0, 1.0, "l", "c", "i")], old)
+    dealt = Gold(gold.families, *[cut_in_buckets(part, ["store_id", "brand", "cluster"], "merging") for part in gold[1:]])
+    plans, cut = [], A.cut_lineage
+
+    def seen(df, *name):
+        plans.append(df._jdf.queryExecution().simpleString())
+        return cut(df, *name)
+
+    monkeypatch.setattr(A, "cut_lineage", seen)
+    rows = []
+    for part in (gold, dealt):
+        offers = A.batch_offers(part).withColumn("product_id", F.col("ref_id"))
+        with joins_by_buckets(spark):
+            rows.append(sorted(map(str, A.upsert_store_products(offers, known).collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == 9
+    shuffles = [line for line in plans[1].split("\n") if "Exchange hashpartitioning(" in line]
+    assert len(shuffles) == 1 and "REPARTITION_BY_COL" in shuffles[0] and "SortMergeJoin" in plans[1]
